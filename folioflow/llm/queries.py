@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioflow.llm.shared import scratch, table
 
@@ -25,7 +26,22 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 49_408, 2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_warc": op1_warc, "op9_token_ids": op9_token_ids}
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.langid import fit, identify
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = fit(documents.filter(~held_out).select("text", "lang"))
+    return identify(documents.select("doc_id", held_out.alias("held_out"), "text"), model, drop_text=True)
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.media import media_features, store_text_media
+
+    return media_features(store_text_media(table(spark, sf_dir, "documents"))).drop("hash")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_warc": op1_warc, "op2_language_id": op2_language_id, "op4_media": op4_media, "op9_token_ids": op9_token_ids}
 
 _BASE32 = """array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
   1 + 16 * CAST(substr(bits, CAST(5 * i + 1 AS BIGINT), 1) AS INT) + 8 * CAST(substr(bits, CAST(5 * i + 2 AS BIGINT), 1) AS INT) + 4 * CAST(substr(bits, CAST(5 * i + 3 AS BIGINT), 1) AS INT)
