@@ -18,6 +18,25 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri")
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.urlrank import judge
+
+    rules = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+    return judge(table(spark, sf_dir, "pages"), rules)
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.decontaminate import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.chat import collapse
+
+    return collapse(table(spark, sf_dir, "conversations"))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,7 +60,15 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(store_text_media(table(spark, sf_dir, "documents"))).drop("hash")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_warc": op1_warc, "op2_language_id": op2_language_id, "op4_media": op4_media, "op9_token_ids": op9_token_ids}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
+    "op2_language_id": op2_language_id,
+    "op4_media": op4_media,
+    "op5_url_filters": op5_url_filters,
+    "op6_decontamination": op6_decontamination,
+    "op7_chat": op7_chat,
+    "op9_token_ids": op9_token_ids,
+}
 
 _BASE32 = """array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
   1 + 16 * CAST(substr(bits, CAST(5 * i + 1 AS BIGINT), 1) AS INT) + 8 * CAST(substr(bits, CAST(5 * i + 2 AS BIGINT), 1) AS INT) + 4 * CAST(substr(bits, CAST(5 * i + 3 AS BIGINT), 1) AS INT)
@@ -54,4 +81,25 @@ d AS (SELECT page_id, url, CAST(strlen(html) AS BIGINT) AS payload_bytes, max(pa
   array_to_string(list_transform(string_split(sha1(html), ''), lambda c: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][strpos('0123456789abcdef', c)]), '') AS bits FROM p)
 SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = keeper THEN NULL ELSE keeper END AS refers_to, url AS target_uri FROM d""",
+    "op6_decontamination": r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+bs AS (SELECT item_id, w, least(len(w), 13) AS n, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS k FROM bw WHERE len(w) > 0),
+b AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, k, k + n - 1), ' ') AS phrase FROM bs),
+lengths AS (SELECT DISTINCT n FROM b),
+ds AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM dw, lengths WHERE len(w) >= n),
+hits AS (SELECT ds.doc_id, ds.k, b.n, b.item_id FROM ds JOIN b ON b.n = ds.n AND array_to_string(list_slice(ds.w, ds.k, ds.k + ds.n - 1), ' ') = b.phrase),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op7_chat": """
+WITH r AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+t AS (SELECT conv_id, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS n_turns,
+  string_agg(concat(role, chr(1), text), chr(2)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS key,
+  string_agg(concat('<|im_start|>', role, chr(10), text, '<|im_end|>', chr(10)), '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS text
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+whole AS (SELECT key, min(conv_id) AS conv_id, count(*) AS n_copies, any_value(n_turns) AS n_turns, any_value(text) AS text FROM t WHERE place = n_turns GROUP BY key)
+SELECT conv_id, n_turns, n_copies, text FROM whole WHERE key NOT IN (SELECT key FROM t WHERE place < n_turns)""",
 }
