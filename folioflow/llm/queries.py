@@ -60,6 +60,13 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(store_text_media(table(spark, sf_dir, "documents"))).drop("hash")
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
@@ -68,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op7_chat": op7_chat,
     "op9_token_ids": op9_token_ids,
+    "op10_simhash": op10_simhash,
 }
 
 _BASE32 = """array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
