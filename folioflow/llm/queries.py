@@ -54,6 +54,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents.select("doc_id", held_out.alias("held_out"), "text"), model, drop_text=True)
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.substrings import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.llm.media import media_features, store_text_media
 
@@ -70,6 +76,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
+    "op3_substrings": op3_substrings,
     "op4_media": op4_media,
     "op5_url_filters": op5_url_filters,
     "op6_decontamination": op6_decontamination,

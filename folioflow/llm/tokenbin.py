@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -87,34 +88,67 @@ class TokenFile:
         return np.concatenate(parts)
 
 
-def _encoder(path: str, keep: int):
-    """text -> bytes of little-endian 32-bit ids. White space parts tokens, so each distinct piece is encoded once and kept."""
-    import os
+class Encoder(dict):
+    """White-space piece -> bytes of its ids as little-endian 32-bit numbers, each piece encoded once and kept.
+
+    A piece of letters alone is one word to the tokenizer's model and goes to that model directly,
+    lower-cased letter by letter and spelled in byte characters; a full stop or comma behind it is a
+    word of its own. Anything else goes through the whole tokenizer.
+    """
+
+    def __init__(self, path: str) -> None:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [k for k in range(256) if k not in plain]
+        self.spelling = {k: chr(k) for k in plain} | {k: chr(256 + n) for n, k in enumerate(rest)}
+        self.marks = {mark: self.whole(mark) for mark in ".,"}
+
+    def whole(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def word(self, piece: str) -> bytes | None:
+        if not piece.isalpha():
+            return None
+        lower = piece.lower() if piece.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", piece)])
+        if not lower.isalpha():
+            return None
+        spelled = lower if lower.isascii() else lower.encode().decode("latin-1").translate(self.spelling)
+        return struct.pack(f"<{len(found := self.model.tokenize(spelled))}I", *[t.id for t in found])
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.word(piece)
+        if ids is None and piece[-1:] in self.marks and (ids := self.word(piece[:-1])) is not None:
+            ids += self.marks[piece[-1]]
+        if ids is None:
+            ids = self.whole(piece)
+        self[piece] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    known: dict[str, bytes] = {}
+_encoders: dict[str, Encoder] = {}
 
-    def encode(texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            pieces = text.replace("\n", " ").split(" ")
-            new = [x for x in set(pieces) if x not in known]
-            if len(known) + len(new) > keep:
-                known.clear()
-                new = list(set(pieces))
-            for x, found in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[x] = np.array(found.ids, "<u4").tobytes()
-            yield b"".join([known[x] for x in pieces])
 
-    return encode
+def _encoder(path: str) -> Encoder:
+    """One a worker, kept from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
-def write_token_ids(documents: DataFrame, path: str, tokenizer: str, n_vocabulary: int, end_id: int, ids_per_block: int = 1 << 18, words_kept: int = 200_000) -> None:
+def write_token_ids(documents: DataFrame, path: str, tokenizer: str, n_vocabulary: int, end_id: int, ids_per_block: int = 1 << 18, words_kept: int = 500_000) -> None:
     """Encode every text of documents (doc_id, text), end_id behind each, and write files in ascending doc_id order.
 
-    The tokenizer has to drop white space and part tokens at it, as word_bpe_49k does. Null and
+    The tokenizer has to drop white space, part tokens at it and lower-case, as word_bpe_49k does. Null and
     empty texts are the end id alone. Rows without a doc_id come first; rows with equal doc_id stand
     by their text's hash. Other columns are ignored; an empty table gives no documents.
 
@@ -128,7 +162,7 @@ def write_token_ids(documents: DataFrame, path: str, tokenizer: str, n_vocabular
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded = _encoder(tokenizer, words_kept)
+        encoder = _encoder(tokenizer)
         at = before = waiting = 0
         index: list[tuple[int, int]] = []
         doc_ids, counts, parts = [], [], []
@@ -142,7 +176,10 @@ def write_token_ids(documents: DataFrame, path: str, tokenizer: str, n_vocabular
             return pa.RecordBatch.from_pydict({"block": pa.array([out], pa.binary())})
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1).to_pylist()), strict=True):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if len(encoder) > words_kept:
+                    encoder.clear()
+                ids = encoder.encode(text)
                 doc_ids.append(NO_ID if doc_id is None else doc_id)
                 counts.append(len(ids) // 4 + 1)
                 parts += [ids, end]
