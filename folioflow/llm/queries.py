@@ -37,6 +37,14 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse(table(spark, sf_dir, "conversations"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from folioflow.llm.sentencepieces import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -81,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filters": op5_url_filters,
     "op6_decontamination": op6_decontamination,
     "op7_chat": op7_chat,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_token_ids": op9_token_ids,
     "op10_simhash": op10_simhash,
 }
