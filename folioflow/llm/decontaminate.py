@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.shared import cut, text_or_empty
 
-#: Words of both sides, A-Z among them until they are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Words of both sides: ASCII letters and digits, and all beyond ASCII. Java looks up listed characters
+#: in a table; as ranges, or as a negated class, the same characters take up to four times as long.
+WORD = rf"[0123456789{UPPER}{LOWER}\x80-\x{{10FFFF}}]+"
 
 
 def lower_ascii(text: Column) -> Column:
@@ -42,31 +43,32 @@ def term_counts(documents: DataFrame, terms: DataFrame, broadcast_rows: int) ->
 
 
 def rarest(phrases: DataFrame, counts: DataFrame, most: int) -> DataFrame:
-    """(phrase, words, term, offset, needed): of each phrase its rarest terms, at most so many; none of a phrase with a term that no document has."""
+    """(phrase, words, term, offset, rank, needed): of each phrase its rarest terms, at most so many; none of a phrase with a term that no document has."""
     each = phrases.select("phrase", "words", F.posexplode("words").alias("offset", "term"))
     each = each.join(counts, "term", "left")
     whole = Window.partitionBy("phrase")
     each = each.withColumn("lacks", F.max(F.col("n").isNull()).over(whole)).withColumn("rank", F.row_number().over(whole.orderBy("n", "offset")))
-    return each.filter(~F.col("lacks") & (F.col("rank") <= most)).select("phrase", "words", "term", "offset", F.least(F.size("words"), F.lit(most)).alias("needed"))
+    return each.filter(~F.col("lacks") & (F.col("rank") <= most)).select("phrase", "words", "term", "offset", "rank", F.least(F.size("words"), F.lit(most)).alias("needed"))
 
 
 def postings(documents: DataFrame, terms: DataFrame, radius: int, broadcast_rows: int) -> DataFrame:
-    """(term, doc_id, row, pos, lead, around): each place of each term in all documents, with up to radius words on both sides.
+    """(term, doc_id, row, pos, lead, around): each place of each of terms (term, seed) in all documents.
 
-    lead is the number of words before it in around. row tells apart rows that share a doc_id.
+    Places of seeds, the rarest terms of phrases, have up to radius words on both sides in around, lead
+    of them before the term; others have null. row tells apart rows that share a doc_id.
     """
     tokens = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), words(F.col("text")).alias("all"))
     tokens = tokens.select("doc_id", "row", "all", F.posexplode("all").alias("pos", "term"))
     found = tokens.join(bounded(terms, broadcast_rows), "term")
     lead = F.least(F.col("pos"), F.lit(radius))
-    return found.select("term", "doc_id", "row", "pos", lead.alias("lead"), F.slice("all", F.col("pos") - lead + 1, lead + radius + 1).alias("around"))
+    return found.select("term", "doc_id", "row", "pos", lead.alias("lead"), F.when(F.col("seed"), F.slice("all", F.col("pos") - lead + 1, lead + radius + 1)).alias("around"))
 
 
 def phrase_matches(index: DataFrame, selected: DataFrame) -> DataFrame:
     """(phrase, doc_id, row, start): exact occurrences. Lists of a phrase's rarest terms, shifted by their offsets, are intersected; what is in all is compared word by word."""
     shifted = index.join(bounded(selected, 1_000_000), "term").filter(F.col("pos") >= F.col("offset"))
     length = F.size("words")
-    same = F.slice("around", F.col("lead") - F.col("offset") + 1, length) == F.col("words")
+    same = F.when(F.col("rank") == 1, F.slice("around", F.col("lead") - F.col("offset") + 1, length) == F.col("words"))
     shifted = shifted.select("phrase", "doc_id", "row", (F.col("pos") - F.col("offset")).alias("start"), "offset", "needed", same.alias("same"))
     met = shifted.groupBy("phrase", "doc_id", "row", "start").agg(F.count_distinct("offset").alias("n"), F.max("needed").alias("needed"), F.bool_and("same").alias("same"))
     return met.filter((F.col("n") == F.col("needed")) & F.col("same")).select("phrase", "doc_id", "row", "start")
@@ -74,8 +76,7 @@ def phrase_matches(index: DataFrame, selected: DataFrame) -> DataFrame:
 
 def proximity_matches(index: DataFrame, selected: DataFrame, within: int) -> DataFrame:
     """(phrase, doc_id, row, pos): places of a phrase's rarest term with all of its words, in any order, among some within words in a row. index needs a radius of within - 1."""
-    seeds = selected.withColumn("first", F.row_number().over(Window.partitionBy("phrase").orderBy("term", "offset"))).filter("first = 1")
-    near = index.join(bounded(seeds.select("phrase", "words", "term"), 1_000_000), "term")
+    near = index.join(bounded(selected.filter("rank = 1").select("phrase", "words", "term"), 1_000_000), "term")
     starts = F.sequence(F.greatest(F.col("lead") - within + 2, F.lit(1)), F.col("lead") + 1)
     found = F.exists(starts, lambda s: F.size(F.array_except("words", F.slice("around", s, F.lit(within)))) == 0)
     return near.filter(found).select("phrase", "doc_id", "row", "pos").distinct()
@@ -85,7 +86,7 @@ def build(documents: DataFrame, phrases: DataFrame, radius: int, most_terms: int
     """The stored index of documents for phrases (phrase, words), and the terms selected of each phrase."""
     terms = cut(phrases.select(F.explode("words").alias("term")).distinct())
     selected = cut(rarest(phrases, term_counts(documents, terms, broadcast_rows), most_terms))
-    index = cut(postings(documents, cut(selected.select("term").distinct()), radius, broadcast_rows))
+    index = cut(postings(documents, cut(selected.groupBy("term").agg(F.bool_or(F.col("rank") == 1).alias("seed"))), radius, broadcast_rows))
     return index, selected
 
 
