@@ -173,16 +173,19 @@ def _passages(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
 
 def _seen(passages: DataFrame, length: int, per_shard: int) -> DataFrame:
-    """(anchor, piece, windows): of each passage the windows that a passage of its anchor before it (doc_id, row, at) holds."""
+    """(anchor, piece, starts, stops): of each passage the runs of windows that passages of its anchor before it (doc_id, row, at) hold."""
     n_shards = max(1, passages.count() // per_shard)
-    schema = "anchor long, piece long, windows array<int>"
+    schema = "anchor long, piece long, starts array<int>, stops array<int>"
 
     def of(shard: pa.Table) -> pa.Table:
         shard = shard.sort_by([("doc_id", "ascending"), ("row", "ascending"), ("at", "ascending")])
         nulls_first = np.argsort(~shard.column("doc_id").is_null().to_numpy(), kind="stable")
         shard = shard.take(nulls_first)
         found = seen_windows([np.frombuffer(x, np.uint64).tolist() for x in shard.column("words").to_pylist()], length)
-        return pa.table({"anchor": shard.column("anchor"), "piece": shard.column("piece"), "windows": pa.array(found, pa.list_(pa.int32()))})
+        starts = [[k for k in x if k - 1 not in x] for x in map(set, found)]
+        stops = [[k + 1 for k in x if k + 1 not in x] for x in map(set, found)]
+        lists = {"starts": [sorted(x) for x in starts], "stops": [sorted(x) for x in stops]}
+        return pa.table({"anchor": shard.column("anchor"), "piece": shard.column("piece"), **{k: pa.array(v, pa.list_(pa.int32())) for k, v in lists.items()}})
 
     return passages.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(n_shards))).groupBy("shard").applyInArrow(of, schema)
 
@@ -207,9 +210,10 @@ def _seen_hot(passages: DataFrame, length: int) -> DataFrame:
 
     rows = stored(passages.select("anchor", "piece", "doc_id", "row", "at", "words").mapInArrow(of, "anchor long, piece long, doc_id long, row long, at int, k int, window long"), "windows")
     place = F.struct("doc_id", "row", (F.col("at") + F.col("k")).alias("start"))
-    firsts = cut(rows.groupBy("anchor", "window").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times"))
+    firsts = stored(rows.groupBy("anchor", "window").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times"), "windows")
     later = rows.join(firsts, ["anchor", "window"]).filter(place > F.col("first"))
-    return later.groupBy("anchor", "piece").agg(F.collect_list("k").alias("windows"))
+    listed = later.groupBy("anchor", "piece").agg(F.collect_list("k").alias("starts"))
+    return listed.withColumn("stops", F.transform("starts", lambda k: k + 1))
 
 
 def repeated_spans(documents: DataFrame, length: int = 20, per_shard: int = 3000, broadcast_rows: int = 2_000_000) -> DataFrame:
@@ -225,26 +229,26 @@ def repeated_spans(documents: DataFrame, length: int = 20, per_shard: int = 3000
     rows = documents.select("doc_id", "row", "text")
     pieces = stored(_occurrences(rows, length), "pieces")
     counted = pieces.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor")
-    counted = cut(counted)
-    again = cut(pieces.join(bounded(counted, broadcast_rows), "anchor", "left_semi"))
+    counted = stored(counted, "anchors")
+    again = stored(pieces.join(bounded(counted, broadcast_rows), "anchor", "left_semi"), "again")
     place = F.struct("doc_id", "row", "at")
-    firsts = cut(again.groupBy("anchor", "piece").agg(F.min(place).alias("first"), F.max("n").alias("n"), F.count("*").alias("times")))
-    kinds = cut(firsts.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
-    unlike = cut(firsts.join(bounded(kinds, broadcast_rows), "anchor").select("anchor", "piece", "first.*", "n", "kinds"))
+    firsts = stored(again.groupBy("anchor", "piece").agg(F.min(place).alias("first"), F.max("n").alias("n"), F.count("*").alias("times")), "firsts")
+    kinds = stored(firsts.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "kinds")
+    unlike = firsts.join(bounded(kinds, broadcast_rows), "anchor").select("anchor", "piece", "first.*", "n")
     wanted = unlike.groupBy("row").agg(F.collect_list(F.struct("anchor", "piece", "at", "n")).alias("places"))
-    passages = stored(_passages(rows, bounded(cut(wanted), broadcast_rows // 8), length).dropDuplicates(["anchor", "piece"]), "passages")
+    passages = stored(_passages(rows, bounded(stored(wanted, "wanted"), broadcast_rows // 8), length).dropDuplicates(["anchor", "piece"]), "passages")
     kept_kinds = bounded(kinds, broadcast_rows)
     sized = passages.join(kept_kinds, "anchor")
     seen = _seen(sized.filter(F.col("kinds") <= per_shard).drop("kinds"), length, per_shard)
     hot = sized.filter(F.col("kinds") > per_shard).drop("kinds")
     if not kinds.filter(F.col("kinds") > per_shard).isEmpty():
         seen = seen.unionByName(_seen_hot(hot, length))
-    seen = cut(seen.filter(F.size("windows") > 0))
+    seen = stored(seen.filter(F.size("starts") > 0), "seen")
     known = firsts.filter("times > 1").select("anchor", "piece", "first").join(seen, ["anchor", "piece"], "full")
-    known = cut(known)
-    joined = again.join(known, ["anchor", "piece"]).withColumn("later", F.coalesce(place > F.col("first"), F.lit(False)))
+    joined = again.join(stored(known, "known"), ["anchor", "piece"]).withColumn("later", F.coalesce(place > F.col("first"), F.lit(False)))
     whole = F.array(F.struct(F.col("at").alias("start"), (F.col("at") + F.col("n") + length - 1).alias("stop")))
-    some = F.transform(F.coalesce("windows", F.array().cast("array<int>")), lambda k: F.struct((F.col("at") + k).alias("start"), (F.col("at") + k + length).alias("stop")))
+    some = F.expr(f"transform(arrays_zip(starts, stops), x -> struct(at + x.starts AS start, at + x.stops - 1 + {length} AS stop))")
+    some = F.coalesce(some, F.array().cast("array<struct<start:int,stop:int>>"))
     # where a piece occurs once, windows are those of its one place; else of its first
     spans = F.when(F.col("later"), whole).otherwise(some)
     return joined.select("row", spans.alias("spans")).filter(F.size("spans") > 0).groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))

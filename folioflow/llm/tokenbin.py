@@ -124,8 +124,11 @@ class Encoder(dict):
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.word(piece)
-        if ids is None and piece[-1:] in self.marks and (ids := self.word(piece[:-1])) is not None:
-            ids += self.marks[piece[-1]]
+        if ids is None and piece[-1:] in self.marks:
+            before = piece[:-1]
+            known = self.get(before) if before.isascii() and before.isalpha() else None
+            if (ids := known or self.word(before)) is not None:
+                ids += self.marks[piece[-1]]
         if ids is None:
             ids = self.whole(piece)
         self[piece] = ids
@@ -145,7 +148,7 @@ def _encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def write_token_ids(documents: DataFrame, path: str, tokenizer: str, n_vocabulary: int, end_id: int, ids_per_block: int = 1 << 18, words_kept: int = 500_000) -> None:
+def write_token_ids(documents: DataFrame, path: str, tokenizer: str, n_vocabulary: int, end_id: int, ids_per_block: int = 1 << 18, words_kept: int = 1_200_000) -> None:
     """Encode every text of documents (doc_id, text), end_id behind each, and write files in ascending doc_id order.
 
     The tokenizer has to drop white space, part tokens at it and lower-case, as word_bpe_49k does. Null and
