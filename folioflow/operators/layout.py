@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as tx
+from folioflow.operators.running import last_so_far
 
 PAGE = ["doc_key", "page_no"]
 #: Share of a page's height that is margin, at the top and at the bottom.
@@ -164,13 +165,12 @@ def units(ordered: DataFrame, max_chars: int = UNIT_CHARS, merge: bool = True) -
 def mark_references(rows: DataFrame, order: list[str], first_line: str | Column = "text") -> DataFrame:
     """rows (doc_key, text) with preserve: inside a reference section, from its heading to the heading of an annex or the document's end.
 
-    order are the columns that give the reading order within a document. The state is the last heading
-    before or at the row, so one running window over each document does.
+    order are the columns that give the reading order within a document, the first of them whole
+    numbers, as pages are. The state is the last heading before or at the row.
     """
     event = F.when(tx.is_reference_heading(first_line, "text"), 1).when(tx.ends_references(first_line), 0)
-    so_far = Window.partitionBy("doc_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("event", event)
-    return rows.withColumn("preserve", F.coalesce(F.last("event", ignorenulls=True).over(so_far) == 1, F.lit(False))).drop("event")
+    rows = last_so_far(rows, "doc_key", order[0], order[1:], event, "state")
+    return rows.withColumn("preserve", F.coalesce(F.col("state") == 1, F.lit(False))).drop("state")
 
 
 def continuations(rows: DataFrame, most_chars: int = REQUEST_CHARS) -> DataFrame:

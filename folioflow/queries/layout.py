@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import text as tx
 from folioflow.operators import layout as op
+from folioflow.plans.stages import staged
 from folioflow.queries import duck
 from folioflow.queries.text import table
 from folioflow.sources.layout_view import DUCK_VIEW, HEIGHT, WIDTH, layout_lines
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout_lines(table(spark, sf_dir, "documents"))
+    return staged(layout_lines(table(spark, sf_dir, "documents")))
 
 
 def pages(rows: DataFrame) -> DataFrame:
@@ -28,12 +29,12 @@ def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line a block of its own."""
     rows = kept(spark, sf_dir).withColumn("block_no", F.col("line_no"))
-    return op.paragraphs(rows)
+    return staged(op.paragraphs(rows))
 
 
 def ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = blocks(spark, sf_dir)
-    return op.reading_order(rows, op.column_pages(rows))
+    return staged(op.reading_order(rows, op.column_pages(rows)))
 
 
 def q_margin_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
