@@ -36,17 +36,16 @@ def spans_of(text: str | Column, priority: int) -> Column:
     """All matches of one kind with their places: lengths of what stands between and of the matches, summed."""
     t, (kind, pattern) = col(text), KINDS[priority]
     pattern = _flagged(pattern)
-    between, hits = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1))
-    step = lambda out, k: F.struct(
-        (out["at"] + F.length(F.get(between, k)) + F.length(F.get(hits, k))).alias("at"),
-        F.array_append(out["spans"], F.struct(
-            (out["at"] + F.length(F.get(between, k))).alias("start"), (out["at"] + F.length(F.get(between, k)) + F.length(F.get(hits, k))).alias("stop"),
-            F.lit(priority).alias("priority"), F.lit(kind).alias("kind"), F.get(hits, k).alias("original"),
-        )).alias("spans"),
-    )
+    each = F.arrays_zip(F.split(t, pattern, -1).alias("between"), F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1)).alias("hit"))
+
+    def step(out: Column, x: Column) -> Column:
+        start = out["at"] + F.length(x["between"])
+        stop = start + F.coalesce(F.length(x["hit"]), F.lit(0))
+        span = F.struct(start.alias("start"), stop.alias("stop"), F.lit(priority).alias("priority"), F.lit(kind).alias("kind"), x["hit"].alias("original"))
+        return F.struct(stop.alias("at"), F.when(x["hit"].isNull(), out["spans"]).otherwise(F.array_append(out["spans"], span)).alias("spans"))
+
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
-    places = F.when(F.size(hits) > 0, F.sequence(F.lit(0), F.size(hits) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, start, step, lambda out: out["spans"])
+    return F.aggregate(each, start, step, lambda out: out["spans"])
 
 
 def protected(text: str | Column) -> Column:
@@ -91,8 +90,8 @@ def restored(text: str | Column, spans: str | Column) -> Column:
     def put(out: Column, x: Column, k: Column) -> Column:
         mark = marker(k)
         exact = F.size(F.split(out, mark, -1)) - 1
-        loose = F.concat(F.lit("(?iU)"), F.regexp_replace(mark, r"(.)(?!$)", r"$1\\\\s*"))
-        first = F.regexp_extract(out, loose, 0)
+        loose = F.concat(F.lit("(?iU)"), F.regexp_replace(mark, r"(.)(?!$)", r"$1\\s*"))
+        first = F.call_function("regexp_extract", out, loose, F.lit(0))
         at = F.instr(out, first)
         spread = F.concat(F.substring(out, F.lit(1), at - 1), x, F.substring(out, at + F.length(first), F.lit(1 << 30)))
         return F.when(exact == 1, F.replace(out, mark, x)).when((exact == 0) & (first != ""), spread)

@@ -5,6 +5,8 @@ Java's \\s, \\w and \\b know only ASCII without the flag (?U), which is set wher
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,6 +44,11 @@ def col(text: str | Column) -> Column:
     return F.col(text) if isinstance(text, str) else text
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with value worked out once however often of names it, inside other lambdas too."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def rx(text: Column, pattern: str) -> Column:
     """Whether pattern occurs in text, Unicode classes, any case where it starts with (?i)."""
     return text.rlike(f"(?U){pattern}" if not pattern.startswith("(?i)") else f"(?iU){pattern[4:]}")

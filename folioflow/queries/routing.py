@@ -1,2 +1,225 @@
-QUERIES = {}
-ORACLE = {}
+"""Queries of languages, routes, caches, states, reports, files and accessibility trees."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioflow.config import Options
+from folioflow.functions import language as lg
+from folioflow.functions import text as tx
+from folioflow.operators import axtree, language, report
+from folioflow.operators.backends import LexicalModel, runner
+from folioflow.operators.translate import valid_cache
+from folioflow.plans import documents
+from folioflow.plans.stages import staged
+from folioflow.queries import duck, layout
+from folioflow.queries.text import lines, table
+from folioflow.sources import files
+from folioflow.sources.layout_view import HEIGHT, WIDTH
+
+CODES = ["en", "fr", "es", "de", "pt"]
+
+
+def q_dominant_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source as a document, its texts as pages."""
+    rows = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("doc_key"), F.col("doc_id").alias("page_no"), F.coalesce("text", F.lit("")).alias("text"))
+    return language.dominant_language(rows, CODES, "pt").select("doc_key", "dominant")
+
+
+def q_lang_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text by itself: its language, and whether a model has to be asked for a translation into English."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", lg.unit_language("text", CODES, F.lit("fr")).alias("found"))
+    return rows.select("doc_id", F.col("found.code").alias("unit_lang"), F.col("found.reason").alias("reason"), F.round("found.score", 6).alias("unit_score"), F.when(F.col("found.code") == "en", "preserve").otherwise(F.col("found.code")).alias("route"))
+
+
+PACKAGES = [(0, "fr", "en", "1.2"), (1, "en", "pb", "1.0"), (2, "fr", "en", "1.10"), (3, "fr", "es", "2"), (4, "es", "it", "1"), (5, "it", "pb", "1"), (6, "de", "en", "1.9"), (7, "en", "fr", "1")]
+
+
+def q_model_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(PACKAGES, "nth int, from_code string, to_code string, version string")
+    parts = [language.routes(rows, a, b).withColumn("asked", F.lit(f"{a}-{b}")) for a, b in (("fr", "pt-br"), ("de", "pt-br"), ("fr", "it"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def q_dedupe_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a document, equal ones once, in the order of their first place."""
+    rows = lines(spark, sf_dir).select("doc_id", "pos", tx.normalize_spaces("line").alias("t")).filter("t != ''")
+    once = rows.groupBy("doc_id", "t").agg(F.min("pos").alias("pos"))
+    return once.groupBy("doc_id").agg(F.count("*").alias("n_units"), F.sum("pos").alias("sum_first"), F.sum(F.length("t")).alias("n_chars_once"))
+
+
+def q_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines against a cache of all lines that occur twice, in which those with a digit hold an error page."""
+    rows = lines(spark, sf_dir).filter("trim(line) != ''").withColumn("key", tx.cache_key("line", F.coalesce("lang", F.lit("")), F.lit("pt")))
+    value = F.when(F.col("line").rlike("[0-9]"), "<html><body>503</body></html>").otherwise(F.concat(F.lit("t "), F.col("line")))
+    cache = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("line").alias("line")).filter("n > 1").select("key", value.alias("value"))
+    found = rows.join(valid_cache(cache), "key", "left")
+    return found.groupBy("lang").agg(F.count("*").alias("n_units"), F.count("value").alias("n_hits"), F.count_distinct(F.when(F.col("value").isNull(), F.col("key"))).alias("n_asked"))
+
+
+def _worked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Body lines as units with a made-up outcome: errors, translations, and a language from their length."""
+    rows = layout.marked(spark, sf_dir)
+    n = F.length("text")
+    rows = rows.withColumns({"kind": report.preserved_kind(tx.normalize_spaces("text"), "preserve"), "lang": F.when(n % 7 == 0, "pt").otherwise("fr"), "error": F.when(n % 11 == 0, "ValueError: x"), "translation": F.when(n % 11 != 0, F.concat(F.lit("t "), "text"))})
+    rows = report.states(rows, "pt", mixed=True, policy="pular_pagina")
+    return rows.withColumns({"flags": F.when((F.col("state") == "traduzido") & (n % 5 == 0), F.array(F.struct(F.lit("x").alias("code"), F.lit("y").alias("message")))).otherwise(F.array().cast("array<struct<code:string,message:string>>")), "providers": F.array(F.lit("local")), "ocr": n % 2 == 0})
+
+
+def q_status_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.totals(_worked(spark, sf_dir))
+
+
+def q_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = staged(_worked(spark, sf_dir))
+    states = report.document_states(layout.pages(layout.lines(spark, sf_dir)), rows)
+    return report.batch_totals(states.join(report.totals(rows).select("doc_key", F.col("revisao_recomendada").alias("n_reviews")), "doc_key", "left"))
+
+
+def q_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = F.when(F.col("ocr"), F.array().cast("array<struct<x0:double>>")).otherwise(F.array(F.struct("x0")))
+    rows = _worked(spark, sf_dir).withColumns({"quads": box, "group_pages": F.when(F.col("unit_no") == 1, F.array(F.col("page_no"), F.col("page_no") + 1))})
+    found = report.annotations(rows, "pt")
+    return found.select("doc_key", "page_no", "unit_no", "kind", "form", "subject", F.md5("content").alias("content_md5"), "x", "y")
+
+
+def q_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' urls as paths of files in a folder."""
+    url = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[a-z]+://|[?#].*$", "")
+    rows = table(spark, sf_dir, "pages").select(F.concat(F.lit("/data/in/"), url, F.lit(".PDF")).alias("path"))
+    return files.listed(rows, "/data/in", "/data/in/example.org", "pt", recursive=True).select("rel_path", "output_path")
+
+
+def q_ax_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as trees: a page for each, a paragraph for each turn."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    none, key = F.array().cast("array<string>"), F.col("conv_id").cast("string")
+    of = lambda kind: F.concat(F.lit(kind), F.col("turn").cast("string"))
+    page = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("turn")), lambda x: F.concat(F.lit("p"), x.cast("string"))).alias("child_ids"))
+    nodes = page.select(key.alias("doc_key"), F.lit(-1).cast("long").alias("pos"), F.lit("root").alias("node_id"), F.lit("region").alias("role"), F.lit("Page 3").alias("name"), "child_ids")
+    nodes = nodes.unionByName(turns.select(key.alias("doc_key"), (F.col("turn") * 2).alias("pos"), of("p").alias("node_id"), F.lit("paragraph").alias("role"), F.lit("").alias("name"), F.array(of("t")).alias("child_ids")))
+    nodes = nodes.unionByName(turns.select(key.alias("doc_key"), (F.col("turn") * 2 + 1).alias("pos"), of("t").alias("node_id"), F.lit("StaticText").alias("role"), F.col("text").alias("name"), none.alias("child_ids")))
+    return axtree.node_units(nodes).select("doc_key", "page_no", "nth", F.md5("text").alias("text_md5"))
+
+
+def q_ax_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as dumped trees: a paragraph for every third line."""
+    rows = lines(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_key"), "pos", F.regexp_replace("line", r"['\\]", " ").alias("line"))
+    text = F.concat(F.lit("staticText name='"), F.col("line"), F.lit("' location=(10, "), (F.col("pos") * 10).cast("string"), F.lit(") size=(100, 9.5)"))
+    head = F.when(F.col("pos") == 0, F.array(F.lit("region name='Page 1' location=(0, 0) size=(600, 800)"))).otherwise(F.array().cast("array<string>"))
+    opens = F.when(F.col("pos") % 3 == 0, F.array(F.lit("paragraph"))).otherwise(F.array().cast("array<string>"))
+    dump = rows.select("doc_key", "pos", F.posexplode(F.concat(head, opens, F.array(text))).alias("k", "line")).select("doc_key", (F.col("pos") * 4 + F.col("k")).alias("line_no"), "line")
+    return axtree.dump_units(dump).select("doc_key", "page_no", "nth", F.md5("text").alias("text_md5"), F.col("bounds.y").alias("y"))
+
+
+def model_runner(target: str = "pt"):
+    return runner("stand-in", LexicalModel, target)
+
+
+def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = layout.lines(spark, sf_dir)
+    empty = spark.createDataFrame([], "key string, value string")
+    options = Options(target="pt", source=("en", "fr", "es", "de"), variant="pt-BR", profile="didatica_matematica")
+    return documents.run(rows.withColumn("block_no", F.col("line_no")), layout.pages(rows), empty, model_runner(), "stand-in", options)
+
+
+def q_translate_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole plan over documents as laid out, with the stand-in for a model."""
+    rows, _ = _run(spark, sf_dir)
+    return rows.select("doc_key", "page_no", "unit_no", "state", "kind", "lang", F.md5("translation").alias("translation_md5"), F.array_join(F.transform("flags", lambda x: x["code"]), ",").alias("codes"))
+
+
+def _duck_scores(x: str) -> str:
+    words = f"regexp_extract_all(lower(substr({x}, 1, {lg.SAMPLE_CHARS})), '\\p{{L}}+')"
+    listed = lambda k: "[" + ", ".join(f"'{w}'" for w in lg.FUNCTION_WORDS[k].split()) + "]"
+    counts = ", ".join(f"len(list_filter(w, lambda z: list_contains({listed(k)}, z)))" for k in CODES)
+    return f"(SELECT [(c + {1.0 / len(CODES)!r}) / (list_sum(cs) + 1) FOR c IN cs] FROM (SELECT [{counts}] AS cs FROM (SELECT {words} AS w)))"
+
+
+_codes = "[" + ", ".join(f"'{k}'" for k in CODES) + "]"
+
+
+def _duck_hint(x: str) -> str:
+    low = f"regexp_replace(lower({x}), '^[0-9.:\\-–—()\\[\\] ]+', '')"
+    return "CASE " + " ".join(f"WHEN regexp_matches({low}, '^(?:{'|'.join(lg.HEADING_HINTS[k])})') THEN '{k}'" for k in CODES) + " END"
+
+
+_t = duck.norm("text")
+_MARKED = layout._MARKED
+_f, _v = tx.MATH_FUNCTION, tx.MATH_VARIABLE
+_atom = f"^(?:{_f}|{_v}|d{_v}|{_f}?{_v}d{_v}|{_f}{_v})$"
+_math = f"(regexp_matches(t, '{tx.MATH_SIGN}') AND len(list_filter(regexp_extract_all(t, '\\p{{L}}+'), lambda w: NOT regexp_matches(w, '{_atom}'))) = 0)"
+_WORKED = f"""{_MARKED},
+w1 AS (SELECT *, length(text) AS n, CASE WHEN preserve THEN 'referencia' WHEN {_math} THEN 'notacao' END AS kind1 FROM marked),
+w2 AS (SELECT *, coalesce(kind1, CASE WHEN n % 11 <> 0 AND n % 7 = 0 THEN 'idioma_destino' END) AS kind2 FROM w1),
+w3 AS (SELECT *, CASE WHEN kind1 IS NOT NULL THEN 'preservado' WHEN n % 11 = 0 THEN 'falhou' WHEN kind2 IS NOT NULL THEN 'preservado' ELSE 'traduzido' END AS state1 FROM w2),
+w4 AS (SELECT *, coalesce(unit_no > min(CASE WHEN state1 = 'falhou' THEN unit_no END) OVER (PARTITION BY doc_key, page_no), false) AS late FROM w3),
+worked AS (SELECT * EXCLUDE (state1), CASE WHEN late THEN 'pulado' ELSE state1 END AS state, CASE WHEN NOT late THEN kind2 END AS kind FROM w4)"""
+_n = lambda when, name: f"count(*) FILTER ({when}) AS {name}"
+_TOTALS = f"""SELECT doc_key, {_n("state = 'traduzido'", 'traduzidos')}, {_n("state = 'preservado' AND kind = 'notacao'", 'notacoes_preservadas')}, {_n("state = 'preservado' AND kind = 'idioma_destino'", 'idioma_destino_preservados')},
+  {_n("state = 'preservado' AND kind = 'referencia'", 'referencias_preservadas')}, {_n("state = 'traduzido' AND n % 5 = 0", 'revisao_recomendada')}, {_n("state NOT IN ('traduzido', 'preservado')", 'pendentes')} FROM worked GROUP BY doc_key"""
+_path = "regexp_replace(coalesce(url, ''), '^[a-z]+://|[?#].*$', '', 'g')"
+_ax = duck.norm("coalesce(text, '')")
+_key = "sha256(concat(coalesce(lang, ''), chr(0), 'pt', chr(0), line))"
+
+QUERIES = {
+    "q_dominant_lang": q_dominant_lang,
+    "q_lang_route": q_lang_route,
+    "q_model_route": q_model_route,
+    "q_dedupe_units": q_dedupe_units,
+    "q_cache_hits": q_cache_hits,
+    "q_status_totals": q_status_totals,
+    "q_batch_summary": q_batch_summary,
+    "q_annotations": q_annotations,
+    "q_file_scan": q_file_scan,
+    "q_ax_nodes": q_ax_nodes,
+    "q_ax_dump": q_ax_dump,
+    "q_translate_units": q_translate_units,
+}
+_LINES = "(SELECT doc_id, lang, unnest(range(len(a))) AS pos, unnest(a) AS line FROM (SELECT doc_id, lang, string_split(coalesce(text, ''), chr(10)) AS a FROM documents))"
+ORACLE = {
+    "q_dominant_lang": f"""WITH p AS (SELECT coalesce(source, '') AS doc_key, doc_id, substr(coalesce(text, ''), 1, 2500) AS e FROM documents),
+q AS (SELECT *, coalesce(sum(length(e)) OVER (PARTITION BY doc_key ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef FROM p WHERE length(e) > 0),
+s AS (SELECT doc_key, length(e) AS size, len(regexp_extract_all(e, '\\p{{L}}')) AS letters, {_duck_scores('e')} AS sc FROM q WHERE bef < 100000),
+u AS (SELECT doc_key, size, letters, unnest(sc) AS score, unnest({_codes}) AS code, unnest(range({len(CODES)})) AS nth FROM s),
+g AS (SELECT doc_key, code, nth, round(sum(score * size) / sum(size), 9) AS score, sum(letters) AS letters FROM u GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_key ORDER BY score DESC, nth) AS k FROM g)
+SELECT d.doc_key, CASE WHEN coalesce(r.letters, 0) < 30 THEN 'en' ELSE r.code END AS dominant FROM (SELECT DISTINCT doc_key FROM p) d LEFT JOIN r ON r.doc_key = d.doc_key AND r.k = 1""",
+    "q_lang_route": f"""WITH p AS (SELECT doc_id, {duck.norm("coalesce(text, '')")} AS t FROM documents),
+s AS (SELECT doc_id, t, len(regexp_extract_all(t, '\\p{{L}}')) AS n, {_duck_hint('t')} AS hint, {_duck_scores('t')} AS sc FROM p),
+b AS (SELECT *, list_max(sc) AS top, {_codes}[list_position(sc, list_max(sc))] AS code FROM s),
+f AS (SELECT doc_id, CASE WHEN hint IS NOT NULL THEN 1.0 WHEN n < 8 THEN NULL ELSE top END AS sc2,
+  CASE WHEN hint IS NOT NULL THEN hint WHEN n < 8 THEN 'fr' WHEN (n >= 40 AND top >= 0.80) OR (n >= 15 AND top >= 0.96) THEN code ELSE 'fr' END AS unit_lang,
+  CASE WHEN hint IS NOT NULL THEN 'cabecalho' WHEN n < 8 THEN 'predominante_texto_curto' WHEN (n >= 40 AND top >= 0.80) OR (n >= 15 AND top >= 0.96) THEN 'estatistica_trecho' ELSE 'predominante_baixa_confianca' END AS reason FROM b)
+SELECT doc_id, unit_lang, reason, CAST(round(sc2, 6) AS DOUBLE) AS unit_score, CASE WHEN unit_lang = 'en' THEN 'preserve' ELSE unit_lang END AS route FROM f""",
+    "q_model_route": f"""WITH RECURSIVE pk(nth, from_code, to_code, version) AS (VALUES {', '.join(f"({n}, '{a}', '{b}', '{v}')" for n, a, b, v in PACKAGES)}),
+nw AS (SELECT min(nth) OVER (PARTITION BY from_code, to_code) AS nth, from_code, to_code, version, row_number() OVER (PARTITION BY from_code, to_code ORDER BY list_transform(string_split(version, '.'), lambda x: CAST(x AS INT)) DESC, nth) AS k FROM pk),
+e AS (SELECT * FROM nw WHERE k = 1),
+asked(asked, a, b) AS (VALUES ('fr-pt-br', 'fr', 'pb'), ('de-pt-br', 'de', 'pb'), ('fr-it', 'fr', 'it')),
+w AS (SELECT asked, a AS node, b AS goal, CAST([] AS STRUCT(from_code VARCHAR, to_code VARCHAR, version VARCHAR)[]) AS way, [a] AS seen, CAST([] AS INT[]) AS ord FROM asked
+  UNION ALL SELECT w.asked, e.to_code, goal, list_append(way, struct_pack(from_code := e.from_code, to_code := e.to_code, version := e.version)), list_append(seen, e.to_code), list_append(ord, e.nth) FROM w JOIN e ON e.from_code = w.node WHERE NOT list_contains(seen, e.to_code) AND node <> goal),
+best AS (SELECT asked, way, row_number() OVER (PARTITION BY asked ORDER BY len(way), ord) AS k FROM w WHERE node = goal)
+SELECT asked, CAST(unnest(range(1, len(way) + 1)) AS INT) AS hop, unnest(way).from_code AS from_code, unnest(way).to_code AS to_code, unnest(way).version AS version FROM best WHERE k = 1""",
+    "q_dedupe_units": f"SELECT doc_id, count(*) AS n_units, CAST(sum(pos) AS BIGINT) AS sum_first, CAST(sum(length(t)) AS BIGINT) AS n_chars_once FROM (SELECT doc_id, t, pos FROM (SELECT doc_id, pos, t, row_number() OVER (PARTITION BY doc_id, t ORDER BY pos) AS k FROM (SELECT doc_id, pos, {duck.norm('line')} AS t FROM {_LINES}) WHERE t <> '') WHERE k = 1) GROUP BY doc_id",
+    "q_cache_hits": f"""WITH l AS (SELECT lang, line, {_key} AS key FROM {_LINES} WHERE trim(line) <> ''),
+c AS (SELECT key FROM l GROUP BY key HAVING count(*) > 1 AND NOT regexp_matches(min(line), '[0-9]'))
+SELECT lang, count(*) AS n_units, count(c.key) AS n_hits, count(DISTINCT CASE WHEN c.key IS NULL THEN l.key END) AS n_asked FROM l LEFT JOIN c ON c.key = l.key GROUP BY lang""",
+    "q_status_totals": f"{_WORKED} {_TOTALS}",
+    "q_batch_summary": f"""{_WORKED}, tt AS ({_TOTALS}),
+pgs AS (SELECT DISTINCT doc_key, page_no FROM layout_lines),
+op AS (SELECT doc_key, bool_or(coalesce(o, true)) AS o FROM pgs LEFT JOIN (SELECT doc_key, page_no, bool_or(state NOT IN ('traduzido', 'preservado')) AS o FROM worked GROUP BY ALL) USING (doc_key, page_no) GROUP BY doc_key),
+x AS (SELECT count(*) AS arquivos, count(*) FILTER (NOT o) AS concluidos, count(*) FILTER (o) AS com_pendencias, CAST(coalesce(sum(revisao_recomendada), 0) AS BIGINT) AS trechos_para_revisao FROM op LEFT JOIN tt USING (doc_key))
+SELECT arquivos, concluidos, com_pendencias, CAST(0 AS BIGINT) AS ignorados_existentes, CAST(0 AS BIGINT) AS ignorados_ja_traduzidos, CAST(0 AS BIGINT) AS erros, trechos_para_revisao,
+  CASE WHEN arquivos = 0 THEN 'sem_arquivos' WHEN com_pendencias > 0 THEN 'concluido_com_pendencias' ELSE 'concluido' END AS estado FROM x""",
+    "q_annotations": f"""{_WORKED}
+SELECT doc_key, page_no, unit_no, CASE WHEN state = 'traduzido' THEN 'translated' ELSE 'failed' END AS kind, CASE WHEN n % 2 = 0 THEN 'note' ELSE 'highlight' END AS form,
+  CASE WHEN state = 'traduzido' THEN CASE WHEN n % 2 = 0 THEN 'Chrome OCR | tradução FR → PT' ELSE 'Tradução FR → PT | local' END ELSE CASE WHEN n % 2 = 0 THEN 'Chrome OCR | tradução pendente' ELSE 'Tradução pendente' END END AS subject,
+  md5(CASE WHEN state = 'traduzido' THEN concat(CASE WHEN unit_no = 1 THEN concat('[Parágrafo contínuo entre páginas ', page_no, '–', page_no + 1, ']', chr(10)) ELSE '' END, 't ', text) ELSE '{report.FAILED_TEXT}' END) AS content_md5,
+  CASE WHEN n % 2 = 0 THEN greatest(8.0, {WIDTH} - 14 - 16 * ((unit_no - 1) // 38)) END AS x, CASE WHEN n % 2 = 0 THEN least({HEIGHT} - 12, 18.0 + ((unit_no - 1) % 38) * 20) END AS y
+FROM worked WHERE state <> 'preservado'""",
+    "q_file_scan": f"SELECT concat(p, '.PDF') AS rel_path, concat('/data/in/example.org/', regexp_replace(concat(p, '.PDF'), '(\\.[^./]*)?$', ''), '_traduzido_pt.PDF') AS output_path FROM (SELECT {_path} AS p FROM pages) WHERE NOT starts_with(p, 'example.org/')",
+    "q_ax_nodes": f"""WITH u AS (SELECT CAST(conv_id AS VARCHAR) AS doc_key, turn, {_ax} AS t FROM conversations),
+k AS (SELECT doc_key, t, min(turn) AS turn FROM u WHERE NOT {duck.noise('t')} GROUP BY ALL)
+SELECT doc_key, 3 AS page_no, CAST(row_number() OVER (PARTITION BY doc_key ORDER BY turn) AS INT) AS nth, md5(t) AS text_md5 FROM k""",
+}
