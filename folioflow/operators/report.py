@@ -101,14 +101,14 @@ def batch_totals(files: DataFrame) -> DataFrame:
     return found.withColumn("estado", state)
 
 
-def subject(lang: str | Column, target: str, provider: Column | None = None, ocr: str | Column = F.lit(False)) -> Column:
+def subject(lang: str | Column, target: str, provider: Column | None = None, ocr: str | Column | None = None) -> Column:
     """An annotation's subject: the languages, or that the source is told automatically, and the provider."""
     code = F.coalesce(tx.col(lang), F.lit("fr"))
     to = F.lit(f" → {target.upper()}")
     plain = F.when(code == "auto", F.concat(F.lit("Tradução automática"), to)).otherwise(F.concat(F.lit("Tradução "), F.upper(code), to))
     if provider is not None:
         plain = F.when(provider != "", F.concat_ws(" | ", plain, provider)).otherwise(plain)
-    return F.when(tx.col(ocr), F.concat(F.lit("Chrome OCR | tradução "), F.upper(code), to)).otherwise(plain)
+    return plain if ocr is None else F.when(tx.col(ocr), F.concat(F.lit("Chrome OCR | tradução "), F.upper(code), to)).otherwise(plain)
 
 
 def note_place(index: str | Column, width: str | Column, height: str | Column) -> tuple[Column, Column]:

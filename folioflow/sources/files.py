@@ -57,5 +57,5 @@ def file_states(files: DataFrame, existing: DataFrame, translated: DataFrame, ov
 
 def cache_from_json(spark: SparkSession, path: str) -> DataFrame:
     """(key, value) of caches kept as JSON objects of texts, one file each; files that aren't such give no row."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
