@@ -18,9 +18,9 @@ from folioflow.llm.shared import text_or_empty
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 #: Entries of the tables of words and of pairs that a worker keeps.
-WORDS_KEPT, PAIRS_KEPT = 600_000, 500_000
-#: Documents given back at a time.
-ROWS = 500
+WORDS_KEPT, PAIRS_KEPT = 200_000, 200_000
+#: Characters of documents worked on and given back at a time, so that a worker's memory doesn't follow the Arrow batch.
+SLICE = 2_000_000
 
 
 class Pieces:
@@ -135,6 +135,18 @@ def pieces(path: str) -> Pieces:
     return _loaded[path]
 
 
+def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Places (start, stop) of runs of texts of up to SLICE characters, or of one longer text."""
+    start = size = 0
+    for k, text in enumerate(texts):
+        if k > start and size + len(text) > SLICE:
+            yield start, k
+            start, size = k, 0
+        size += len(text)
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def encode_documents(documents: DataFrame, model: str) -> DataFrame:
     """(doc_id, n_pieces, ids_crc32, decoded_sha256, lossless, ids) of every whole text of documents (doc_id, text).
 
@@ -149,16 +161,15 @@ def encode_documents(documents: DataFrame, model: str) -> DataFrame:
         model_ = pieces(model)
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
-            encoded = model_.encode(texts)
-            for k in range(0, len(texts), ROWS):
-                some = texts[k : k + ROWS]
-                data = [next(encoded) for _ in some]
+            for start, stop in slices(texts):
+                some = texts[start:stop]
+                data = list(model_.encode(some))
                 decoded = [model_.decode(np.frombuffer(x, "<i4")) for x in data]
                 sizes = np.array([len(x) // 4 for x in data], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        doc_ids.slice(k, len(some)), pa.array(sizes), pa.array([zlib.crc32(x) for x in data], pa.int64()),
+                        doc_ids.slice(start, len(some)), pa.array(sizes), pa.array([zlib.crc32(x) for x in data], pa.int64()),
                         pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string()), pa.array([x == y for x, y in zip(decoded, some, strict=True)], pa.bool_()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(data), "<i4"))),
                     ],
