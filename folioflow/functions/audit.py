@@ -29,31 +29,45 @@ def audit(source: str | Column, target: str | Column, lang: str | Column, techni
     Null texts count as empty. technical=False leaves out the search for altered technical elements,
     by far the dearest.
     """
-    s, t = (tx.normalize_spaces(F.coalesce(tx.col(x), F.lit(""))) for x in (source, target))
-    n, m = tx.latin_words(s), tx.latin_words(t)
-    ratio = m / F.greatest(n, F.lit(1))
-    share = F.concat(F.bround(ratio * 100).cast("int").cast("string"), F.lit("%"))
-    s_last, t_last = tx.last_word(s), tx.last_word(t)
-    s_stops = tx.rx(s, SENTENCE_STOP)
-    open_end = s.rlike(r"[-,;:]$") | s_last.isin(*END_WORDS) | ((s_last != "") & (F.length(s_last) <= 3) & ~s_stops)
-    words = portuguese.european_words(t)
-    european = F.when(F.size(words) > 0, F.concat(F.lit("Forma não brasileira: "), F.array_join(words, ", "))).otherwise(F.lit("Construção progressiva de português europeu ainda presente."))
+    empty = lambda x: tx.normalize_spaces(F.coalesce(tx.col(x), F.lit("")))
+    both = F.struct(empty(source).alias("s"), empty(target).alias("t"))
+    return tx.let(both, lambda p: _flags(p["s"], p["t"], tx.col(lang), technical))
+
+
+def _flags(s: Column, t: Column, lang: Column, technical: bool) -> Column:
+    """audit() of normalised texts."""
+    counts = F.struct(tx.latin_words(s).alias("n"), tx.latin_words(t).alias("m"), tx.last_word(s).alias("s_last"), tx.last_word(t).alias("t_last"), tx.rx(s, SENTENCE_STOP).alias("s_stops"))
+    shape = tx.let(counts, lambda c: _shape_flags(s, t, c))
+    european = lambda words: _flag(
+        "portugues_europeu",
+        F.when(F.size(words) > 0, F.concat(F.lit("Forma não brasileira: "), F.array_join(words, ", "))).otherwise(F.lit("Construção progressiva de português europeu ainda presente.")),
+        (F.size(words) > 0) | portuguese.has_progressive(t),
+    )
     suspect = F.lit(None).cast("string")
     for says, renders, message in reversed(SUSPECT_TERMS):
         suspect = F.when(tx.rx(s, f"(?i){says}") & tx.rx(t, f"(?i){renders}"), F.lit(message)).otherwise(suspect)
-    flags = [
-        _flag("saida_curta", F.concat(F.lit("Tradução curta em relação ao original ("), share, F.lit(").")), (n >= 18) & (ratio < 0.62)),
-        _flag("saida_longa", F.concat(F.lit("Tradução longa em relação ao original ("), share, F.lit(").")), (n >= 18) & (ratio > 1.75)),
-        _flag("final_suspenso", F.concat(F.lit("A tradução termina em “"), t_last, F.lit("”.")), (m >= 8) & t_last.isin(*END_WORDS)),
-        _flag("pontuacao_final", F.lit("O original termina a frase, mas a tradução não."), (n >= 12) & s_stops & ~tx.rx(t, SENTENCE_STOP)),
-        _flag("origem_fragmentada", F.lit("O bloco original parece terminar no meio da frase."), tx.looks_unfinished(s) & open_end),
-    ]
+    more = []
     if technical:
         missing = F.filter(F.transform(protect.protected(s), lambda x: x["original"]), lambda x: ~F.contains(t, x))
-        flags.append(_flag("elemento_tecnico_alterado", F.concat(F.lit("Elemento técnico ausente ou alterado: "), F.array_join(F.slice(missing, 1, 3), ", ")), F.size(missing) > 0))
-    flags += [
+        more.append(tx.let(missing, lambda x: _flag("elemento_tecnico_alterado", F.concat(F.lit("Elemento técnico ausente ou alterado: "), F.array_join(F.slice(x, 1, 3), ", ")), F.size(x) > 0)))
+    more += [
         _flag("marcador_exposto", F.lit("Um marcador interno apareceu na tradução."), protect.exposed(t)),
-        _flag("portugues_europeu", european, (F.size(words) > 0) | portuguese.has_progressive(t)),
-        _flag("termo_suspeito", suspect, (tx.col(lang) == "fr") & suspect.isNotNull()),
+        tx.let(portuguese.european_words(t), european),
+        _flag("termo_suspeito", suspect, (lang == "fr") & suspect.isNotNull()),
     ]
-    return F.array_compact(F.array(*flags))
+    return F.array_compact(F.concat(shape, F.array(*more)))
+
+
+def _shape_flags(s: Column, t: Column, c: Column) -> Column:
+    """Doubts that lengths and ends raise."""
+    n, m = c["n"], c["m"]
+    ratio = m / F.greatest(n, F.lit(1))
+    share = F.concat(F.bround(ratio * 100).cast("int").cast("string"), F.lit("%"))
+    open_end = s.rlike(r"[-,;:]$") | c["s_last"].isin(*END_WORDS) | ((c["s_last"] != "") & (F.length(c["s_last"]) <= 3) & ~c["s_stops"])
+    return F.array(
+        _flag("saida_curta", F.concat(F.lit("Tradução curta em relação ao original ("), share, F.lit(").")), (n >= 18) & (ratio < 0.62)),
+        _flag("saida_longa", F.concat(F.lit("Tradução longa em relação ao original ("), share, F.lit(").")), (n >= 18) & (ratio > 1.75)),
+        _flag("final_suspenso", F.concat(F.lit("A tradução termina em “"), c["t_last"], F.lit("”.")), (m >= 8) & c["t_last"].isin(*END_WORDS)),
+        _flag("pontuacao_final", F.lit("O original termina a frase, mas a tradução não."), (n >= 12) & c["s_stops"] & ~tx.rx(t, SENTENCE_STOP)),
+        _flag("origem_fragmentada", F.lit("O bloco original parece terminar no meio da frase."), tx.looks_unfinished(s) & open_end),
+    )

@@ -1,11 +1,13 @@
-"""PDF files as a Spark data source of lines, where PyMuPDF is installed on the workers."""
+"""PDF files as a Spark data source of lines, and annotations written into them, where PyMuPDF is installed on the workers."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from statistics import median
 
-from pyspark.sql import SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 LINES = "doc_key string, page_no int, width double, height double, block_no int, line_no int, text string, x0 double, y0 double, x1 double, y1 double, font_size double, error string"
@@ -75,3 +77,34 @@ class PdfLines(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(PdfLines)
+
+
+def annotate(content: bytes, notes: list[dict]) -> bytes:
+    """A file's bytes with highlights and margin notes, as report.annotations lists them (with quads); encryption is kept."""
+    import fitz
+
+    with fitz.open(stream=content, filetype="pdf") as document:
+        for x in notes:
+            page = document[x["page_no"] - 1]
+            if x["form"] == "highlight":
+                mark = page.add_highlight_annot([fitz.Rect(*q).quad for q in x["quads"]])
+                mark.set_colors(stroke=tuple(x["rgb"]))
+                mark.set_opacity(x["opacity"])
+            else:
+                mark = page.add_text_annot(fitz.Point(page.rect.x0 + x["x"], page.rect.y0 + x["y"]), x["content"], icon="Comment")
+            mark.set_info(content=x["content"], title=x["title"], subject=x["subject"])
+            mark.update()
+        return document.tobytes(garbage=3, deflate=True, encryption=fitz.PDF_ENCRYPT_KEEP)
+
+
+def annotated(contents: DataFrame, notes: DataFrame) -> DataFrame:
+    """(doc_key, content) of files (doc_key, content) with their notes (doc_key, page_no, form, quads, x, y, rgb, opacity, title, subject, content): one file a row, as a PDF is rewritten whole."""
+    fields = ["page_no", "form", "quads", "x", "y", "rgb", "opacity", "title", "subject", "content"]
+    quads = F.transform("quads", lambda q: F.array(q["x0"], q["y0"], q["x1"], q["y1"])).alias("quads")
+    listed = notes.withColumn("quads", quads).groupBy("doc_key").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("notes"))
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"doc_key": frame["doc_key"], "content": [annotate(c, [dict(n) for n in x]) for c, x in zip(frame["content"], frame["notes"], strict=True)]})
+
+    return contents.join(listed, "doc_key").mapInPandas(write, "doc_key string, content binary")
