@@ -151,3 +151,13 @@ def report_json(pages: DataFrame, rows: DataFrame) -> DataFrame:
     joined = found.join(listed, "doc_key", "left")
     sums = F.struct("traduzidos", "notacoes_preservadas", "idioma_destino_preservados", "referencias_preservadas", "revisao_recomendada", "pendentes")
     return joined.select("doc_key", F.to_json(F.struct(F.col("state").alias("estado"), sums.alias("totais"), F.coalesce("trechos", F.array().cast("array<struct<pagina:int,trecho:int,estado:string,erro:string>>")).alias("trechos"), F.col("empty_pages").alias("paginas_sem_texto"))).alias("report"))
+
+
+def model_stats(results: DataFrame) -> DataFrame:
+    """One row of sums over translate()'s results: parts, those from the cache, protected elements, recoveries and terms, whole texts from the cache, and labels of models."""
+    whole = (F.col("n_parts") > 0) & (F.col("n_cached") == F.col("n_parts"))
+    return results.agg(
+        F.sum("n_parts").alias("fragmentos_locais"), F.sum("n_cached").alias("fragmentos_cache"), F.sum("n_protected").alias("elementos_protegidos"),
+        F.sum("n_recovered").alias("recuperacoes_marcadores"), F.sum("n_terms").alias("ajustes_glossario"), F.count_if(whole).alias("trechos_cache"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("providers")))).alias("motores"),
+    )

@@ -320,3 +320,32 @@ def test_inbox(spark, tmp_path):
     assert found[1, "le chat"] == 1
     assert found[1, "new ones"] == 0
     assert spark.read.parquet(paths["cache"]).count() == 3
+
+
+# catalog, one text, sums ---------------------------------------------------------------------------
+
+
+def test_catalog(spark):
+    from folioflow.operators import catalog
+
+    assert catalog.models(spark).count() == 3
+    assert catalog.model_name(None) == "nllb_1_3b"
+    assert catalog.model_name("NLLB-600") == "nllb_600m"
+    assert catalog.nllb_code("pt") == "por_Latn"
+    for bad in (lambda: catalog.model_name("x"), lambda: catalog.nllb_code("pb")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_one_text_and_sums(spark):
+    from folioflow.plans.one_text import translate_text
+
+    go = lambda text, **more: translate_text(spark, text, backends.runner("stand-in", backends.LexicalModel, "pt"), Options(**more))
+    assert go("le facto", source="fr", variant="br") == "o fato"
+    assert go("o livro e a casa que não é uma das mais", source="fr,pt") == "o livro e a casa que não é uma das mais"
+    with pytest.raises(ValueError):
+        translate_text(spark, "boom", backends.runner("faulty", Faulty, "pt"), Options(source="fr"))
+    units = spark.createDataFrame([("le (Silva, 2001) chat", "fr"), ("le chien", "fr")], "text string, lang string")
+    results, _ = translate(units, spark.createDataFrame([], EMPTY_CACHE), backends.runner("stand-in", backends.LexicalModel, "pt"), "pt", "ns")
+    found = report.model_stats(results).first()
+    assert (found["fragmentos_locais"], found["fragmentos_cache"], found["elementos_protegidos"], found["motores"]) == (2, 0, 1, ["local"])
