@@ -254,20 +254,37 @@ def repeated_spans(documents: DataFrame, length: int = 20, per_shard: int = 3000
     return joined.select("row", spans.alias("spans")).filter(F.size("spans") > 0).groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
-def _kept(text: str, spans: list[dict]) -> tuple[int, int, bytes]:
+#: Characters of texts given back at a time, so that a worker's memory doesn't follow the Arrow batch.
+SLICE = 4_000_000
+
+
+def _kept(text: str, start: np.ndarray, stop: np.ndarray) -> tuple[int, int, bytes]:
+    """Number of words, number of those in spans from start to stop, and the others joined by blanks."""
     words = text.encode().split()
-    if not spans:
+    if not len(start):
         return len(words), 0, b" ".join(words)
     change = np.zeros(len(words) + 1, np.int64)
-    np.add.at(change, [s["start"] for s in spans], 1)
-    np.add.at(change, [s["stop"] for s in spans], -1)
+    np.add.at(change, start, 1)
+    np.add.at(change, stop, -1)
     keep = np.cumsum(change)[:-1] == 0
     return len(words), int((~keep).sum()), b" ".join(compress(words, keep.tolist()))
 
 
+def _texts(batch: pa.RecordBatch, text: int, spans: int) -> Iterator[tuple[str | None, np.ndarray, np.ndarray]]:
+    """Text, starts and stops of each row, one text at a time and spans as numbers; no starts where spans are null."""
+    lists = batch.column(spans)
+    offsets, flat = lists.offsets.to_numpy(), lists.values
+    start, stop = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("start", "stop"))
+    some = lists.is_valid().to_numpy(zero_copy_only=False)
+    for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        b = b if some[k] else a
+        yield batch.column(text)[k].as_py(), start[a:b], stop[a:b]
+
+
 def _with_spans(documents: DataFrame, length: int) -> DataFrame:
-    rows = documents.withColumn("row", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(rows.select(F.col("doc_id").cast("long"), "row", text_or_empty("text").alias("text")), length)
+    """(row, doc, spans): documents' rows as structs, so that no name of theirs clashes, with what repeats in them."""
+    rows = documents.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", "text").alias("row"))
+    spans = repeated_spans(rows.select(F.col("doc.doc_id").cast("long").alias("doc_id"), "row", text_or_empty(F.col("doc.text")).alias("text")), length)
     return rows.join(spans, "row", "left")
 
 
@@ -279,13 +296,16 @@ def digests(documents: DataFrame, length: int = 20) -> DataFrame:
     without a doc_id come before all others; of rows that share one, those with the smaller hash of
     doc_id and text come first, and equal rows are one document. Other columns are ignored.
     """
-    rows = _with_spans(documents.select("doc_id", "text"), length).select(F.col("doc_id").cast("long"), text_or_empty("text").alias("text"), "spans")
+    rows = _with_spans(documents.select("doc_id", "text"), length).select(F.col("doc.doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("doc.text")).alias("text"), "spans")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_kept(t, s or []) for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            found = []
+            for text, start, stop in _texts(batch, 1, 2):
+                n, gone, kept = _kept(text, start, stop)
+                found.append((n, gone, hashlib.sha256(kept).hexdigest()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([hashlib.sha256(x[2]).hexdigest() for x in found], pa.string())],
+                [batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.string())],
                 ["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
@@ -294,10 +314,33 @@ def digests(documents: DataFrame, length: int = 20) -> DataFrame:
 
 def remove_repeats(documents: DataFrame, length: int = 20) -> DataFrame:
     """documents with repeated words removed from text, as in digests; texts that lose no word stay as they are. n_chars, where there is one, follows."""
-    rows = _with_spans(documents, length)
-    text = F.pandas_udf(lambda texts, spans: texts.combine(spans, lambda t, s: _kept(t, list(s))[2].decode()), "string")
-    changed = F.when(F.col("spans").isNotNull(), text(text_or_empty("text"), F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>")))).otherwise(F.col("text"))
-    out = rows.withColumn("text", changed)
-    if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType))
-    return out.select(*documents.columns)
+    names = documents.columns
+    rows = _with_spans(documents, length).select(*[F.col(f"doc.`{n}`").alias(f"c{k}") for k, n in enumerate(names)], "spans")
+    text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts: list[str | None] = []
+            sizes: list[int | None] = []
+            size = first = 0
+
+            def part(stop: int) -> pa.RecordBatch:
+                columns = [batch.column(k).slice(first, stop - first) for k in range(len(names))]
+                columns[text_at] = pa.array(texts, pa.string())
+                if chars_at is not None:
+                    old = columns[chars_at]
+                    columns[chars_at] = pa.array([o if n is None else n for o, n in zip(old.to_pylist(), sizes, strict=True)], old.type)
+                return pa.RecordBatch.from_arrays(columns, names)
+
+            for k, (text, start, stop) in enumerate(_texts(batch, text_at, len(names))):
+                new = _kept(text or "", start, stop)[2].decode() if len(start) else text
+                texts.append(new)
+                sizes.append(len(new) if len(start) else None)
+                size += len(new or "")
+                if size > SLICE:
+                    yield part(k + 1)
+                    texts, sizes, size, first = [], [], 0, k + 1
+            if texts:
+                yield part(batch.num_rows)
+
+    return rows.mapInArrow(of, documents.schema)

@@ -150,6 +150,24 @@ def test_substrings_all_of_a_table(spark):
     assert as_rows(substrings.digests(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_substrings(rows)
 
 
+@pytest.mark.parametrize("slice_chars", [4_000_000, 100])
+def test_repeats_removed(spark, documents, monkeypatch, slice_chars):
+    monkeypatch.setattr(substrings, "SLICE", slice_chars)
+    # a row's hash is what tells rows apart, and the fixture's own column of that name has to stay
+    rows = {r["doc_id"]: r for r in documents.collect()}
+    expected = {r[0]: r for r in brute_substrings(sorted((k, r["text"]) for k, r in rows.items()))}
+    found = substrings.remove_repeats(documents)
+    assert found.columns == documents.columns
+    for r in found.collect():
+        old, (_, _, gone, kept) = rows[r["doc_id"]], expected[r["doc_id"]]
+        if gone:
+            assert hashlib.sha256(r["text"].encode()).hexdigest() == kept
+            assert r["n_chars"] == len(r["text"])
+        else:
+            assert (r["text"], r["n_chars"]) == (old["text"], old["n_chars"])
+        assert (r["row"], r["fp"], r["lang"]) == (old["row"], old["fp"], old["lang"])
+
+
 def test_substrings_empty(spark):
     assert substrings.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
