@@ -45,14 +45,15 @@ def fingerprint(text: str, width: int) -> int:
 
 
 def fingerprints(documents: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a long; null and empty texts have zero."""
+    """(doc_id, row, fp): the fingerprint of every whole text as a long; null and empty texts have zero. row, a hash of doc_id and text, tells rows apart that share a doc_id."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x, width) for x in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.array([fingerprint(x, width) for x in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["doc_id", "row", "fp"])
 
-    return documents.select(F.col("doc_id").cast("long"), text_or_empty("text").alias("text")).mapInArrow(of, "doc_id long, fp long")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), text_or_empty("text").alias("text"))
+    return rows.mapInArrow(of, "doc_id long, row long, fp long")
 
 
 def block_masks(most_bits: int, n_blocks: int) -> list[int]:
@@ -190,6 +191,15 @@ def links(distinct: DataFrame, most_bits: int = 4, n_blocks: int | None = None,
     return rows.mapInArrow(search, "a long, b long").distinct()
 
 
+def groups(documents: DataFrame, width: int, most_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, row, fp), and of each fingerprint its component (fp, root, least): the component's smallest fingerprint, and the fingerprint's own smallest doc_id."""
+    rows = cut(fingerprints(documents, width))
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = connected(links(nodes.select("fp"), most_bits))
+    named = nodes.join(bounded(cut(roots), 200_000), nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return rows, cut(named)
+
+
 def near_duplicates(documents: DataFrame, width: int = 4, most_bits: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) of every row of documents (doc_id, text); component_id: the smallest doc_id reachable over links.
 
@@ -197,19 +207,17 @@ def near_duplicates(documents: DataFrame, width: int = 4, most_bits: int = 4) ->
     zero and are linked like any other. A null doc_id is never a component_id unless a component has no
     other. Rows may repeat; other columns are ignored.
     """
-    rows = cut(fingerprints(documents, width))
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected(links(nodes.select("fp"), most_bits))
-    named = nodes.join(bounded(cut(roots), 200_000), nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = cut(named)
-    parts = cut(named.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("least").alias("component")))
+    rows, named = groups(documents, width, most_bits)
+    several = named.filter("fp <> root").select("root").distinct()
+    parts = cut(named.join(several, "root", "left_semi").groupBy("root").agg(F.min("least").alias("component")))
     named = named.join(bounded(parts, 200_000), "root", "left").select(F.col("fp"), F.coalesce("component", "least").alias("component_id"))
     return rows.join(cut(named), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(documents: DataFrame, width: int, most_bits: int) -> DataFrame:
-    """The rows of documents whose doc_id is the smallest of its component; of rows that share it, one."""
-    found = near_duplicates(documents, width, most_bits)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    joined = documents.join(kept, documents["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return joined.dropDuplicates(["doc_id"])
+    """One row of each component of documents: that with the smallest doc_id, rows without one last; of those that share it, the one whose hash is smallest."""
+    rows, named = groups(documents, width, most_bits)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")
+    kept = rows.join(named.select("fp", "root"), "fp").groupBy("root").agg(first).select("first.row")
+    whole = documents.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", "text").alias("row"))
+    return whole.join(kept, "row", "left_semi").dropDuplicates(["row"]).select("doc.*")
