@@ -26,13 +26,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """df written as Parquet in the shared folder and read again."""
-    path = scratch(df.sparkSession, name)
+def stored(df: DataFrame, name: str, compression: str = "snappy", path: str | None = None) -> DataFrame:
+    """df written as Parquet in the shared folder, at path if one is given, and read again."""
+    path = path or scratch(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that nothing reads any more, as all made from it is written itself."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def write_bytes(rows: DataFrame, column: str, path: str, rows_per_file: int = 0) -> None:
     """Write binary rows one after the other, SEPARATOR behind each, one file a partition.
 

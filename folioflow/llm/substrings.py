@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.decontaminate import bounded
-from folioflow.llm.shared import cut, stored, text_or_empty
+from folioflow.llm.shared import discard, scratch, stored, text_or_empty
 
 #: Words of an anchor: of the anchors in a window, that with the least hash stands for it.
 ANCHOR = 6
@@ -227,10 +227,12 @@ def repeated_spans(documents: DataFrame, length: int = 20, per_shard: int = 3000
     rather than to all: all documents against all shards would grow with the square of the corpus.
     """
     rows = documents.select("doc_id", "row", "text")
-    pieces = stored(_occurrences(rows, length), "pieces")
+    at = scratch(documents.sparkSession, "pieces")
+    pieces = stored(_occurrences(rows, length), "pieces", path=at)
     counted = pieces.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor")
     counted = stored(counted, "anchors")
     again = stored(pieces.join(bounded(counted, broadcast_rows), "anchor", "left_semi"), "again")
+    discard(documents.sparkSession, at)  # most of the space, and wanted no more
     place = F.struct("doc_id", "row", "at")
     firsts = stored(again.groupBy("anchor", "piece").agg(F.min(place).alias("first"), F.max("n").alias("n"), F.count("*").alias("times")), "firsts")
     kinds = stored(firsts.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "kinds")
