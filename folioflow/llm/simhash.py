@@ -217,6 +217,11 @@ def near_duplicates(documents: DataFrame, width: int = 4, most_bits: int = 4) ->
 def keep_one(documents: DataFrame, width: int, most_bits: int) -> DataFrame:
     """One row of each component of documents: that with the smallest doc_id, rows without one last; of those that share it, the one whose hash is smallest."""
     rows, named = groups(documents, width, most_bits)
+    return first_of_each(documents, rows, named)
+
+
+def first_of_each(documents: DataFrame, rows: DataFrame, named: DataFrame) -> DataFrame:
+    """keep_one's row of each component, from rows (doc_id, row, fp) and named (fp, root)."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")
     kept = rows.join(named.select("fp", "root"), "fp").groupBy("root").agg(first).select("first.row")
     whole = documents.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", "text").alias("row"))
