@@ -62,7 +62,7 @@ def newest_packages(packages: DataFrame) -> DataFrame:
     return rows.withColumn("nth", first).filter("place = 1").drop("place", "numbers")
 
 
-def routes(packages: DataFrame, source: str, target: str, most_hops: int = 12) -> DataFrame:
+def routes(packages: DataFrame, source: str, target: str) -> DataFrame:
     """(hop, from_code, to_code, version) of the way with the fewest packages; no row if there is none, or if both are one language.
 
     One join a hop extends all ways by a package; a language keeps the way that reached it first, ways
@@ -76,7 +76,7 @@ def routes(packages: DataFrame, source: str, target: str, most_hops: int = 12) -
     step = F.struct("from_code", "to_code", "version")
     ways = spark.createDataFrame([(source,)], "at string").select("at", F.array().cast("array<long>").alias("order"), F.array().cast("array<struct<from_code:string,to_code:string,version:string>>").alias("way"))
     seen = [source]
-    for _ in range(most_hops):
+    while True:  # ends, as every round finds a new language or is the last
         longer = ways.join(edges, F.col("at") == F.col("from_code")).filter(~F.col("to_code").isin(seen))
         longer = longer.select(F.col("to_code").alias("at"), F.array_append("order", F.col("nth").cast("long")).alias("order"), F.array_append("way", step).alias("way"))
         longer = longer.groupBy("at").agg(F.min(F.struct("order", "way")).alias("w")).select("at", "w.order", "w.way")
@@ -87,4 +87,3 @@ def routes(packages: DataFrame, source: str, target: str, most_hops: int = 12) -
             return longer.filter(F.col("at") == target).select(F.posexplode("way").alias("hop", "p")).select((F.col("hop") + 1).alias("hop"), "p.*")
         seen += [r["at"] for r in found]
         ways = spark.createDataFrame(found, longer.schema)
-    return empty
