@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,18 +14,46 @@ from pyspark.sql import functions as F
 SEPARATOR = b"\0"
 
 
+#: Of each open space, the paths made in it.
+_spaces: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; a temporary folder is set where none is, as in tests."""
+    """A new path in the folder of spark.checkpoint.dir. Where none is set, a temporary folder is, but only on a local master: executors elsewhere wouldn't see it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return _noted(f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}")
+
+
+def _noted(path: str) -> str:
+    for made in _spaces[-1:]:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def space(spark: SparkSession) -> Iterator[list[str]]:
+    """Paths that are made inside are deleted at its end, but for those taken out of the list. Nothing may read them any more by then."""
+    _spaces.append(made := [])
+    try:
+        yield made
+    finally:
+        _spaces.remove(made)
+        for path in made:
+            discard(spark, path)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder, its lineage cut."""
     scratch(df.sparkSession, "cut")
-    return df.checkpoint()
+    out = df.checkpoint()
+    if _spaces and (file := out._jdf.queryExecution().logical().rdd().getCheckpointFile()).isDefined():
+        _noted(file.get())
+    return out
 
 
 def stored(df: DataFrame, name: str, compression: str = "snappy", path: str | None = None) -> DataFrame:
