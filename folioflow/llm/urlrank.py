@@ -32,37 +32,40 @@ def ruled(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Col
     return rule, verdict
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int, least_change: float) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float, least_change: float = 1e-7, most_rounds: int = 5_000) -> DataFrame:
     """(kind, host, score): personalised PageRank, for each kind by itself, from seeds (kind, host, seed; sum 1) over edges (kind, source, target, share).
 
-    What hosts without links hold goes back to the seeds. A round is a join and a sum by host; it ends
-    after so many rounds, or when no kind's scores change by more than least_change in sum.
+    What hosts without links hold goes back to the seeds, which makes scores those of walks that end
+    there, brought to a sum of 1; so a round only moves what came in the round before. Rounds end when
+    no host's score grew by more than least_change of itself, so all hosts that any links reach are
+    reached and small scores are as exact as large ones. After most_rounds there is an error instead.
     """
-    scores = cut(seeds.select("kind", "host", F.col("seed").alias("score")))
-    if edges.isEmpty():
-        return scores
-    for _ in range(rounds):
-        moved = edges.join(scores, (edges["kind"] == scores["kind"]) & (edges["source"] == scores["host"]))
-        moved = moved.select(edges["kind"], F.col("target").alias("host"), (damping * F.col("score") * F.col("share")).alias("part"))
-        moved = cut(moved.groupBy("kind", "host").agg(F.sum("part").alias("part")))
-        gone = moved.groupBy("kind").agg(F.sum("part").alias("all"))
-        back = seeds.join(F.broadcast(gone), "kind", "left").select("kind", "host", (F.col("seed") * (1 - F.coalesce("all", F.lit(0.0)))).alias("part"))
-        new = cut(moved.unionByName(back).groupBy("kind", "host").agg(F.sum("part").alias("score")))
-        both = new.unionByName(scores.withColumn("score", -F.col("score"))).groupBy("kind", "host").agg(F.abs(F.sum("score")).alias("change"))
-        change = both.groupBy("kind").agg(F.sum("change").alias("change")).agg(F.max("change")).first()[0]
-        scores = new
-        if change is None or change < least_change:
-            break
-    return scores
-
-
-def judge(pages: DataFrame, rules: list[tuple[str, str]], damping: float = 0.85, rounds: int = 20, least_change: float = 1e-9, ratio: float = 1.0) -> DataFrame:
+    scores = cut(seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("score"), ((1 - damping) * F.col("seed")).alias("new")))
+    if not edges.isEmpty():
+        sources = edges.select(F.col("kind").alias("of"), "source", "target", "share")
+        for k in range(1, most_rounds + 1):
+            here = scores.filter("new > 0").select("kind", "host", "new")
+            moved = sources.join(here, (F.col("of") == F.col("kind")) & (F.col("source") == F.col("host")))
+            moved = moved.select("kind", F.col("target").alias("host"), (damping * F.col("new") * F.col("share")).alias("new"))
+            both = scores.select("kind", "host", "score", F.lit(0.0).alias("new")).unionByName(moved.select("kind", "host", F.col("new").alias("score"), "new"))
+            scores = cut(both.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("new").alias("new")))
+            if (k % 4 == 0 or k == most_rounds) and scores.filter(F.col("new") > least_change * F.col("score")).isEmpty():
+                break
+        else:
+            raise RuntimeError(f"scores still change after {most_rounds} rounds")
+    sums = scores.groupBy("kind").agg(F.sum("score").alias("all"))
+    return scores.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("score") / F.col("all")).alias("score"))
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str]], damping: float = 0.85, least_change: float = 1e-7, ratio: float = 1.0) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of every row of pages (page_id, url, html).
 
     Seeds of trust are the hosts with pages that a rule allows, seeds of distrust those with pages that
     a rule blocks, each by its number of such pages. Trust follows links between hosts, distrust goes
     against them. Where no rule fits, a host is blocked if its distrust is more than ratio times its
-    trust; so hosts that neither reaches are allowed. Scores are compared at nine decimals.
+    trust, by a millionth of it at least, so that rounding decides nothing; hosts that neither reaches
+    are allowed. Hosts of links are taken like those of urls, user part and port included. There is no
+    bound on the length of a way from a seed.
 
     Null urls and urls without :// have an empty host, which is a host like any other but has no links.
     Null html has no links. Rows may repeat, and count as often. Other columns are ignored.
@@ -80,9 +83,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], damping: float = 0.85,
     kinds = links.select(F.lit("allow").alias("kind"), "source", "target", "n").unionByName(links.select(F.lit("block").alias("kind"), F.col("target").alias("source"), F.col("source").alias("target"), "n"))
     out = kinds.groupBy("kind", "source").agg(F.sum("n").alias("all"))
     edges = cut(kinds.join(out, ["kind", "source"]).select("kind", "source", "target", (F.col("n") / F.col("all")).alias("share")))
-    scores = propagate(edges, seeds, damping, rounds, least_change)
-    of = lambda kind: F.round(F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0)), 9)
+    scores = propagate(edges, seeds, damping, least_change)
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0))
     hosts = cut(scores.groupBy("host").agg(of("allow").alias("trust"), of("block").alias("distrust")))
     joined = at.join(bounded(hosts, 200_000), "host", "left").withColumns({k: F.coalesce(k, F.lit(0.0)) for k in ("trust", "distrust")})
-    method = F.when(F.col("distrust") > ratio * F.col("trust"), "block").otherwise("allow")
+    method = F.when(F.col("distrust") > ratio * (1 + 1e-6) * F.col("trust"), "block").otherwise("allow")
     return joined.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "trust", "distrust")

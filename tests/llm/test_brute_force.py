@@ -231,7 +231,7 @@ def test_propagation(spark):
     links = {("a", "b"): 1.0, ("b", "c"): 0.5, ("b", "a"): 0.5, ("c", "d"): 1.0}
     edges = spark.createDataFrame([("allow", a, b, s) for (a, b), s in links.items()], "kind string, source string, target string, share double")
     seeds = spark.createDataFrame([("allow", "a", 1.0)], "kind string, host string, seed double")
-    got = {r["host"]: r["score"] for r in urlrank.propagate(edges, seeds, 0.85, 100, 1e-12).collect()}
+    got = {r["host"]: r["score"] for r in urlrank.propagate(edges, seeds, 0.85, 1e-12).collect()}
     names = "abcd"
     rank = np.array([1.0, 0, 0, 0])
     for _ in range(300):
