@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Texts of which n-grams are made at a time, in characters.
+#: Characters of which n-grams are made at a time.
 CHUNK = 1 << 20
 _letters: np.ndarray | None = None
 
@@ -23,26 +23,42 @@ def _is_letter() -> np.ndarray:
     return _letters
 
 
-def n_grams(text: str, orders: tuple[int, ...], n_buckets: int) -> np.ndarray:
-    """Buckets of all character n-grams of a lower-cased text, in which runs of other characters than letters are one blank."""
-    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4")
-    codes = np.where(_is_letter()[codes], codes, 32).astype(np.uint64)
-    codes = codes[(codes != 32) | np.concatenate([[True], codes[:-1] != 32])]
-    out, mixed = [], codes * np.uint64(0)
-    for n in range(1, max(orders) + 1):
-        if len(codes) < n:
-            break
-        mixed = mixed[: len(codes) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :] + np.uint64(n)
-        if n in orders:
-            out.append((mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40) & np.uint64(n_buckets - 1))
-    return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
+def _codes(low: str) -> np.ndarray:
+    codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.where(_is_letter()[codes], codes, 32).astype(np.uint64)
+
+
+def n_grams(text: str, orders: tuple[int, ...], n_buckets: int) -> Iterator[np.ndarray]:
+    """Buckets of all character n-grams of a lower-cased text between two blanks, in which runs of other characters than letters are one blank.
+
+    Given chunk by chunk; each starts with the last characters of the one before, so that n-grams over
+    the border are there, and once.
+    """
+    low, longest = text.lower(), max(orders)
+    before = np.zeros(0, np.uint64)
+    for k in range(0, max(1, len(low)), CHUNK):
+        first, last = [np.full(int(end), 32, np.uint64) for end in (k == 0, k + CHUNK >= len(low))]
+        codes = np.concatenate([before, first, _codes(low[k : k + CHUNK]), last])
+        blank = codes == 32
+        stay = ~blank | np.concatenate([[True], ~blank[:-1]])
+        stay[: len(before)] = True
+        codes, known = codes[stay], len(before)
+        mixed = codes * np.uint64(0)
+        for n in range(1, longest + 1):
+            if len(codes) < n:
+                break
+            mixed = mixed[: len(codes) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :] + np.uint64(n)
+            if n in orders:
+                new = mixed[max(0, known - n + 1) :]
+                yield ((new ^ new >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40) & np.uint64(n_buckets - 1)).astype(np.int64)
+        before = codes[len(codes) - max(1, longest - 1) :] if len(codes) else codes
 
 
 def _counts(text: str, orders: tuple[int, ...], n_buckets: int) -> np.ndarray:
-    """Counts by bucket, a very long text by chunks that overlap by one character less than the longest n-gram."""
+    """Counts by bucket of the whole text."""
     total = np.zeros(n_buckets, np.int64)
-    for k in range(0, max(1, len(text)), CHUNK):
-        total += np.bincount(n_grams(text[k : k + CHUNK], orders, n_buckets), minlength=n_buckets)
+    for found in n_grams(text, orders, n_buckets):
+        total += np.bincount(found, minlength=n_buckets)
     return total
 
 
@@ -53,7 +69,7 @@ class LanguageModel:
         self.languages, self.log_prior, self.log_given, self.orders = languages, log_prior, log_given, orders
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """The language and its posterior probability of each text; und and 0 where it has no letter or nothing was learned."""
+        """The language and its posterior probability of each text, the first by name of equals; und and 0 where it has no letter or nothing was learned."""
         names, scores = [], []
         for text in texts:
             if text is None or not self.languages or not any(map(str.isalpha, text)):
@@ -70,21 +86,26 @@ class LanguageModel:
 
 
 def fit(documents: DataFrame, per_language: int = 5_000, orders: tuple[int, ...] = (1, 2, 3), n_buckets: int = 1 << 15, max_languages: int = 256, alpha: float = 0.1) -> LanguageModel:
-    """Learn from (text, lang) of rows where neither is null, on a sample of about per_language rows of each language.
+    """Learn from (text, lang) of rows where neither is null, on a sample of about per_language different texts of each language.
 
-    The bound is per_language; rows are chosen by the hash of their text, so the same rows at any
-    dealing. Priors are the shares of all rows, not of the sample. Counts are summed by Spark; the
-    driver gets at most languages x n_buckets of them. More than max_languages languages is an error.
+    The bound is per_language. Texts are chosen by their hash, so they are the same at any dealing, and
+    each counts once however many rows have it: copies neither crowd others out nor leave a language
+    without a text, and all texts are taken where there are no more. Priors are the shares of all rows,
+    not of the sample. Counts are summed by Spark; the driver gets at most languages x n_buckets of
+    them. More than max_languages languages is an error.
     """
-    rows = documents.select("text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(max_languages + 1).collect()}
-    if len(sizes) > max_languages:
+    rows = documents.select("text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).withColumn("of", F.xxhash64("text")).withColumn("at", F.pmod("of", F.lit(1 << 30)))
+    texts = rows.groupBy("lang", "of", "at").agg(F.count("*").alias("n"))
+    found = texts.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts"), F.min("at").alias("least")).orderBy("lang").limit(max_languages + 1).collect()
+    if len(found) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
+    sizes = {r["lang"]: r["n"] for r in found}
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], np.zeros(0), np.zeros((n_buckets, 0)), orders)
-    share = F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, per_language / sizes[k]))]), F.col("lang"))
-    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30))
+    below = {r["lang"]: max(int(min(1.0, per_language / r["texts"]) * (1 << 30)), r["least"] + 1) for r in found}  # one text at least
+    bound = F.element_at(F.create_map(*[F.lit(x) for pair in below.items() for x in pair]), F.col("lang"))
+    sample = rows.filter(F.col("at") < bound).groupBy("lang", "of").agg(F.first("text").alias("text")).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
