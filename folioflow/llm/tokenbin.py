@@ -17,8 +17,8 @@ from folioflow.llm.shared import SEPARATOR, cut, read_bytes, scratch, text_or_em
 MAGIC = b"TIDB"
 #: magic, bits of an id, documents, ids
 HEAD = struct.Struct("<4sIQQ")
-#: A document without a doc_id.
-NO_ID = -(1 << 63)
+#: Longest pieces that are kept once encoded.
+KEPT_CHARS = 64
 
 
 def bits_for(n_vocabulary: int) -> int:
@@ -48,8 +48,11 @@ def unpack(words: np.ndarray, width: int, start: int, stop: int) -> np.ndarray:
     return ((words[word] >> off | high) & np.uint64((1 << width) - 1)).astype(np.uint32)
 
 
-def block(doc_ids: list[int], counts: list[int], ids: np.ndarray, width: int) -> bytes:
-    return HEAD.pack(MAGIC, width, len(doc_ids), len(ids)) + np.array(doc_ids, "<i8").tobytes() + np.array(counts, "<i8").tobytes() + pack(ids, width).astype("<u8").tobytes()
+def block(doc_ids: list[int | None], counts: list[int], ids: np.ndarray, width: int) -> bytes:
+    """Head, doc_ids, counts, a bit for each document that has no doc_id, and the packed ids."""
+    none = np.packbits([x is None for x in doc_ids]).tobytes()
+    numbers = np.array([x or 0 for x in doc_ids], "<i8").tobytes() + np.array(counts, "<i8").tobytes()
+    return HEAD.pack(MAGIC, width, len(doc_ids), len(ids)) + numbers + none + pack(ids, width).astype("<u8").tobytes()
 
 
 def footer(blocks: list[tuple[int, int]]) -> bytes:
@@ -67,14 +70,17 @@ class TokenFile:
             raise ValueError("not a file of token ids")
         self.index = np.frombuffer(data, "<i8", 2 * n, len(data) - 13 - 16 * n).reshape(n, 2)
 
-    def block(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    def block(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int]:
+        """doc_ids, which of them are none, counts, packed words, bits of an id and number of ids."""
         at = int(self.index[k, 0])
         magic, width, docs, ids = HEAD.unpack_from(self.data, at)
         if magic != MAGIC:
             raise ValueError("a block doesn't start with its mark")
         at += HEAD.size
         doc_ids, counts = (np.frombuffer(self.data, "<i8", docs, at + 8 * docs * i) for i in (0, 1))
-        return doc_ids, counts, np.frombuffer(self.data, "<u8", ids * width // 64 + 2, at + 16 * docs), width, ids
+        at += 16 * docs
+        none = np.unpackbits(np.frombuffer(self.data, np.uint8, -(-docs // 8), at), count=docs).astype(bool)
+        return doc_ids, none, counts, np.frombuffer(self.data, "<u8", ids * width // 64 + 2, at - (-docs // 8)), width, ids
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """Ids start to stop (without it) of the file, from those blocks alone that hold them."""
@@ -82,7 +88,7 @@ class TokenFile:
         for k in range(max(0, int(np.searchsorted(self.index[:, 1], start, "right")) - 1), len(self.index)):
             if (first := int(self.index[k, 1])) >= stop:
                 break
-            _, _, words, width, n = self.block(k)
+            *_, words, width, n = self.block(k)
             if (low := max(0, start - first)) < (high := min(n, stop - first)):
                 parts.append(unpack(words, width, low, high))
         return np.concatenate(parts)
@@ -131,7 +137,8 @@ class Encoder(dict):
                 ids += self.marks[piece[-1]]
         if ids is None:
             ids = self.whole(piece)
-        self[piece] = ids
+        if len(piece) <= KEPT_CHARS:
+            self[piece] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -148,15 +155,17 @@ def _encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def write_token_ids(documents: DataFrame, path: str, tokenizer: str, n_vocabulary: int, end_id: int, ids_per_block: int = 1 << 18, words_kept: int = 1_200_000) -> None:
+def write_token_ids(documents: DataFrame, path: str, tokenizer: str, n_vocabulary: int, end_id: int, ids_per_block: int = 1 << 18, blocks_per_file: int = 128, words_kept: int = 600_000) -> None:
     """Encode every text of documents (doc_id, text), end_id behind each, and write files in ascending doc_id order.
 
     The tokenizer has to drop white space, part tokens at it and lower-case, as word_bpe_49k does. Null and
     empty texts are the end id alone. Rows without a doc_id come first; rows with equal doc_id stand
     by their text's hash. Other columns are ignored; an empty table gives no documents.
 
-    Texts are dealt by ranges of doc_id, each range one file; only one block and the kept words
-    (at most words_kept) are in a task's memory.
+    Texts are dealt by ranges of doc_id, each range one file or several: blocks_per_file blocks of
+    ids_per_block ids, 64 MB, with their own index each (a text of more ids is one block). Only one
+    block and the kept words (at most words_kept, of KEPT_CHARS characters or fewer) are in a task's
+    memory.
     """
     width = bits_for(max(n_vocabulary, end_id + 1))
     rows = documents.select("doc_id", text_or_empty("text").alias("text"))
@@ -178,23 +187,33 @@ def write_token_ids(documents: DataFrame, path: str, tokenizer: str, n_vocabular
             doc_ids.clear(), counts.clear(), parts.clear()
             return pa.RecordBatch.from_pydict({"block": pa.array([out], pa.binary())})
 
+        def end_file() -> pa.RecordBatch:
+            """The index of blocks, behind which the writer starts a new file."""
+            nonlocal at, before
+            out = footer(index)
+            index.clear()
+            at = before = 0
+            return pa.RecordBatch.from_pydict({"block": pa.array([out], pa.binary())})
+
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if len(encoder) > words_kept:
                     encoder.clear()
-                ids = encoder.encode(text)
-                doc_ids.append(NO_ID if doc_id is None else doc_id)
+                ids = encoder.encode(text.as_py())
+                doc_ids.append(doc_id)
                 counts.append(len(ids) // 4 + 1)
                 parts += [ids, end]
                 waiting += counts[-1]
                 if waiting >= ids_per_block:
                     yield close()
+                if len(index) == blocks_per_file:
+                    yield end_file()
         if doc_ids:
             yield close()
         if index:
-            yield pa.RecordBatch.from_pydict({"block": pa.array([footer(index)], pa.binary())})
+            yield end_file()
 
-    write_bytes(rows.mapInArrow(encode, "block binary"), "block", path)
+    write_bytes(rows.mapInArrow(encode, "block binary"), "block", path, blocks_per_file + 1)
 
 
 def read_token_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -207,7 +226,7 @@ def read_token_ids(spark: SparkSession, path: str, with_ids: bool = True) -> Dat
             for file, content in zip(batch.column(0), batch.column(1), strict=True):
                 tokens, nth = TokenFile(memoryview(content.as_buffer())), 0
                 for k in range(len(tokens.index)):
-                    doc_ids, counts, words, width, n = tokens.block(k)
+                    doc_ids, none, counts, words, width, n = tokens.block(k)
                     ids = unpack(words, width, 0, n)
                     ends = np.cumsum(counts)
                     data = ids.astype("<u4").tobytes()
@@ -216,7 +235,7 @@ def read_token_ids(spark: SparkSession, path: str, with_ids: bool = True) -> Dat
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([file.as_py()] * len(counts), batch.column(0).type), pa.array(np.arange(nth, nth + len(counts))),
-                            pa.array(doc_ids, mask=doc_ids == NO_ID), pa.array(ends - counts + tokens.index[k, 1]), pa.array(counts),
+                            pa.array(doc_ids, mask=none), pa.array(ends - counts + tokens.index[k, 1]), pa.array(counts),
                             pa.array(crc, pa.int64()), *[pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view(np.int32)))] * with_ids,
                         ],
                         names,
