@@ -124,7 +124,7 @@ def records(archive: memoryview) -> Iterator[dict]:
         }
 
 
-def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2000-01-01T00:00:00Z", records_per_archive: int = 4000, broadcast_rows: int = 100_000) -> None:
+def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2000-01-01T00:00:00Z", archive_bytes: int = 1 << 26, broadcast_rows: int = 100_000) -> None:
     """Write a record for each row of pages (page_id, url, html), the html in UTF-8 as payload.
 
     Of rows with equal payloads of at least least_bytes, that with the largest page_id is the
@@ -133,7 +133,8 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2
     all are responses); rows that share the largest page_id all are responses. Other columns are
     ignored; an empty table gives no records.
 
-    Only digests that occur twice are joined. They are broadcast if there are at most broadcast_rows,
+    An archive ends with the record that brings it to archive_bytes, so it is one record or a bounded
+    number of bytes. Only digests that occur twice are joined. They are broadcast if there are at most broadcast_rows,
     else joined by a shuffle, in which Spark splits skewed digests.
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
@@ -147,16 +148,28 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2
     joined = keyed.join(same, "sha1", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members: list[bytes] = []
+        size = 0
+
+        def archive() -> pa.RecordBatch:
+            # The writer puts a zero byte behind each row, which is a file: mostly it is the last byte
+            # of the last member's length field, else padding, which readers of gzip files skip.
+            out = b"".join(members).removesuffix(SEPARATOR)
+            members.clear()
+            return pa.RecordBatch.from_pydict({"archive": pa.array([out], pa.binary())})
+
         for batch in batches:
-            members = []
-            for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                member = record(*row, date)
-                # The writer puts a zero byte behind each row: mostly it is the last byte of the
-                # member's length field, else padding, which readers of gzip files skip.
-                members.append(member[:-1] if member.endswith(SEPARATOR) else member)
-            yield pa.RecordBatch.from_pydict({"member": pa.array(members, pa.binary())})
-
-    write_bytes(joined.mapInArrow(pack, "member binary"), "member", path, records_per_archive)
+            for k in range(batch.num_rows):
+                member = record(*(batch.column(c)[k].as_py() for c in range(4)), date)
+                members.append(member)
+                size += len(member)
+                if size >= archive_bytes:
+                    yield archive()
+                    size = 0
+        if members:
+            yield archive()
+
+    write_bytes(joined.mapInArrow(pack, "archive binary"), "archive", path, 1)
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
