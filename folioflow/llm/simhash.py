@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -67,27 +68,33 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
+def finer(mask: int, most_bits: int) -> list[int]:
+    """mask with each of most_bits + 1 parts of the bits that it leaves out: two fingerprints that agree on mask and are within most_bits agree on one of these."""
+    left = [k for k in range(64) if not mask >> k & 1]
+    n = most_bits + 1
+    return [mask | sum(1 << k for k in left[len(left) * p // n : len(left) * (p + 1) // n]) for p in range(n)]
+
+
 def dealt(distinct: DataFrame, most_bits: int, n_blocks: int, most_in_key: int) -> DataFrame:
-    """(key, fp): fingerprints within most_bits share a key at least once. Keys with more than most_in_key are parted again.
+    """(key, fp): fingerprints within most_bits share a key at least once. Keys with more than most_in_key are parted again, until none has.
 
-    Within such a key the bits that its mask leaves out differ in most_bits at most, so of most_bits + 1
-    parts of them one is equal: each part makes a key of its own, and no pair is lost.
+    A key stands for a mask and the bits under it; a part's mask has more bits, so this ends: under a
+    mask that leaves b bits out there are 2 ** b fingerprints at most.
     """
     masks = block_masks(most_bits, n_blocks)
-    keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(masks)])
-    keyed = distinct.select(F.posexplode(keys).alias("mask", "key"), "fp")
-    hot = cut(keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).filter(F.col("n") > most_in_key).select("mask", "key", F.lit(True).alias("hot")))
-    if hot.isEmpty():
-        return keyed.select("key", "fp")
-    parts = []
-    for m in masks:
-        left = [k for k in range(64) if not m >> k & 1]
-        cutoff = [len(left) * k // (most_bits + 1) for k in range(most_bits + 2)]
-        parts.append([sum(1 << k for k in left[a:b]) for a, b in zip(cutoff, cutoff[1:], strict=False)])
-    listed = F.array(*[F.array(*[F.lit(_signed(x)) for x in row]) for row in parts])
-    keyed = keyed.join(bounded(hot, 200_000), ["mask", "key"], "left")
-    finer = F.transform(F.element_at(listed, F.col("mask") + 1), lambda x: F.xxhash64("key", x, F.col("fp").bitwiseAND(x)))
-    return keyed.select(F.explode(F.when(F.col("hot"), finer).otherwise(F.array("key"))).alias("key"), "fp")
+    of = lambda m: F.struct(F.lit(_signed(m)).alias("mask"), F.xxhash64(F.lit(_signed(m)), F.col("fp").bitwiseAND(F.lit(_signed(m)))).alias("key"))
+    keyed = distinct.select(F.explode(F.array(*map(of, masks))).alias("k"), "fp").select("k.mask", "k.key", "fp")
+    done = []
+    while True:
+        hot = cut(keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).filter(F.col("n") > most_in_key).select("mask", "key", F.lit(True).alias("hot")))
+        found = [r["mask"] % (1 << 64) for r in hot.select("mask").distinct().collect()]  # few, as masks are
+        if not found:
+            return reduce(DataFrame.unionByName, [*done, keyed.select("key", "fp")])
+        joined = keyed.join(bounded(hot, 200_000), ["mask", "key"], "left")
+        done.append(joined.filter("hot is null").select("key", "fp"))
+        parts = F.create_map(*[x for m in found for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(p)) for p in finer(m, most_bits)]))])
+        keyed = joined.filter("hot").select(F.explode(F.element_at(parts, F.col("mask"))).alias("mask"), "fp")
+        keyed = cut(keyed.select("mask", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp").distinct())
 
 
 class _Forest:
