@@ -29,18 +29,16 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
 
 def filter_rows(rows: np.ndarray, kinds: np.ndarray, bpp: int) -> np.ndarray:
     """rows (height x bytes) filtered by the PNG filter kinds given for each, with the kind in front."""
-    a = np.zeros_like(rows)
-    a[:, bpp:] = rows[:, :-bpp]
-    b = np.zeros_like(rows)
-    b[1:] = rows[:-1]
-    c = np.zeros_like(rows)
-    c[1:, bpp:] = rows[:-1, :-bpp]
-    out = rows.copy()
-    for kind in np.unique(kinds):
-        of = kinds == kind
-        x, y, z = a[of].astype(np.int16), b[of].astype(np.int16), c[of].astype(np.int16)
-        out[of] -= ([lambda: x * 0, lambda: x, lambda: y, lambda: (x + y) >> 1, lambda: _paeth(x, y, z)][kind]()).astype(np.uint8)
-    return np.concatenate([kinds.astype(np.uint8)[:, None], out], axis=1)
+    out = np.concatenate([kinds.astype(np.uint8)[:, None], rows], axis=1)
+    for kind in np.unique(kinds).tolist():
+        of = np.flatnonzero(kinds == kind)
+        x, up = rows[of], rows[of - 1] * (of > 0)[:, None].astype(np.uint8)
+        left, corner = np.zeros_like(x), np.zeros_like(x)
+        left[:, bpp:], corner[:, bpp:] = x[:, :-bpp], up[:, :-bpp]
+        wide = lambda v: v.astype(np.int16)
+        before = [lambda: 0, lambda: left, lambda: up, lambda: (wide(left) + up) >> 1, lambda: _paeth(wide(left), wide(up), wide(corner))][kind]()
+        out[of, 1:] = x - np.asarray(before).astype(np.uint8)
+    return out
 
 
 def _paeth(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -49,20 +47,21 @@ def _paeth(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def unfilter(filtered: np.ndarray, bpp: int) -> np.ndarray:
-    """The rows of a PNG's data (height x (1 + bytes)); runs of rows of kinds 0 to 2 at once, else pixel by pixel."""
+    """The rows of a PNG's data (height x (1 + bytes)): all rows of kind 1 at once, then runs of kind 2, and kinds 3 and 4 pixel by pixel."""
     kinds, out = filtered[:, 0], filtered[:, 1:].copy()
     if kinds.max(initial=0) > 4:
         raise ValueError("unknown PNG filter")
+    if (sub := kinds == 1).any():
+        pixels = out[sub].reshape(int(sub.sum()), -1, bpp)
+        out[sub] = np.cumsum(pixels, axis=1, dtype=np.uint8).reshape(len(pixels), -1)
     starts = np.flatnonzero(np.diff(kinds, prepend=255))
     for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(out)], strict=True):
         kind = kinds[start]
-        if kind == 1:
-            pixels = out[start:stop].reshape(stop - start, -1, bpp)
-            np.cumsum(pixels, axis=1, dtype=np.uint8, out=pixels)
-        elif kind == 2:
+        if kind == 2:
             if start:
                 out[start] += out[start - 1]
-            np.cumsum(out[start:stop], axis=0, dtype=np.uint8, out=out[start:stop])
+            if stop - start > 1:
+                np.cumsum(out[start:stop], axis=0, dtype=np.uint8, out=out[start:stop])
         elif kind > 2:
             for k in range(start, stop):
                 up = out[k - 1].astype(np.int16) if k else np.zeros(out.shape[1], np.int16)
@@ -74,11 +73,20 @@ def unfilter(filtered: np.ndarray, bpp: int) -> np.ndarray:
     return out
 
 
+def least_kinds(rows: np.ndarray, bpp: int) -> np.ndarray:
+    """Of each row the kind of 0, 1 and 2 that leaves the least sum of differences, taken as signed bytes; the first of equals."""
+    left, above = rows.copy(), rows.copy()
+    left[:, bpp:] -= rows[:, :-bpp]
+    above[1:] -= rows[:-1]
+    sums = [np.abs(x.view(np.int8).astype(np.int16)).sum(axis=1, dtype=np.int64) for x in (rows, left, above)]
+    return np.argmin(sums, axis=0)
+
+
 def encode_png(samples: bytes, width: int, colour: int = 2, kinds: np.ndarray | None = None, level: int = 6) -> bytes:
-    """A PNG of 8-bit samples; kinds: the filter of each row, none if not given (text has no likeness between rows)."""
+    """A PNG of 8-bit samples; kinds: the filter of each row, if not given that of least_kinds."""
     bpp = CHANNELS[colour]
     rows = np.frombuffer(samples, np.uint8).reshape(-1, width * bpp)
-    filtered = filter_rows(rows, kinds, bpp) if kinds is not None else np.concatenate([np.zeros((len(rows), 1), np.uint8), rows], axis=1)
+    filtered = filter_rows(rows, least_kinds(rows, bpp) if kinds is None else kinds, bpp)
     data = zlib.compress(filtered.tobytes(), level)
     head = struct.pack(">IIBBBBB", width, len(rows), 8, colour, 0, 0, 0)
     return SIGNATURE + _chunk(b"IHDR", head) + b"".join(_chunk(b"IDAT", data[k : k + IDAT]) for k in range(0, len(data), IDAT)) + _chunk(b"IEND", b"")
