@@ -43,9 +43,9 @@ def term_counts(documents: DataFrame, terms: DataFrame, broadcast_rows: int) ->
 
 
 def rarest(phrases: DataFrame, counts: DataFrame, most: int) -> DataFrame:
-    """(phrase, words, term, offset, rank, needed): of each phrase its rarest terms, at most so many; none of a phrase with a term that no document has."""
+    """(phrase, words, term, offset, rank, needed): of each phrase its rarest terms, at most so many; none of a phrase with a term that no document has. counts are written already."""
     each = phrases.select("phrase", "words", F.posexplode("words").alias("offset", "term"))
-    each = each.join(counts, "term", "left")
+    each = each.join(bounded(counts, 1_000_000), "term", "left")
     whole = Window.partitionBy("phrase")
     each = each.withColumn("lacks", F.max(F.col("n").isNull()).over(whole)).withColumn("rank", F.row_number().over(whole.orderBy("n", "offset")))
     return each.filter(~F.col("lacks") & (F.col("rank") <= most)).select("phrase", "words", "term", "offset", "rank", F.least(F.size("words"), F.lit(most)).alias("needed"))
@@ -78,6 +78,7 @@ def proximity_matches(index: DataFrame, selected: DataFrame, within: int) -> Dat
     """(phrase, doc_id, row, pos): places of a phrase's rarest term with all of its words, in any order, among some within words in a row. index needs a radius of within - 1."""
     near = index.join(bounded(selected.filter("rank = 1").select("phrase", "words", "term"), 1_000_000), "term")
     starts = F.sequence(F.greatest(F.col("lead") - within + 2, F.lit(1)), F.col("lead") + 1)
+    near = near.filter(F.size(F.array_except("words", "around")) == 0)  # else no part of it has them all
     found = F.exists(starts, lambda s: F.size(F.array_except("words", F.slice("around", s, F.lit(within)))) == 0)
     return near.filter(found).select("phrase", "doc_id", "row", "pos").distinct()
 
@@ -85,7 +86,7 @@ def proximity_matches(index: DataFrame, selected: DataFrame, within: int) -> Dat
 def build(documents: DataFrame, phrases: DataFrame, radius: int, most_terms: int, broadcast_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """The stored index of documents for phrases (phrase, words), and the terms selected of each phrase."""
     terms = cut(phrases.select(F.explode("words").alias("term")).distinct())
-    selected = cut(rarest(phrases, term_counts(documents, terms, broadcast_rows), most_terms))
+    selected = cut(rarest(phrases, cut(term_counts(documents, terms, broadcast_rows)), most_terms))
     index = cut(postings(documents, cut(selected.groupBy("term").agg(F.bool_or(F.col("rank") == 1).alias("seed"))), radius, broadcast_rows))
     return index, selected
 
@@ -100,10 +101,11 @@ def covered(occurrences: DataFrame) -> DataFrame:
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, length: int = 13, most_terms: int = 2) -> DataFrame:
-    """Of every row of documents (doc_id, text): its words, those inside benchmark windows, and the items of these.
+    """Of every row of documents (doc_id, text): its words, those inside benchmark windows, the items of these, and items met in proximity.
 
-    doc_id, row, n_words, n_hit, n_items, items_sha256 and contaminated (a twentieth of the words or
-    more is hit). row, a hash of doc_id and text, tells rows apart that share a doc_id; equal rows
+    doc_id, row, n_words, n_hit, n_items, items_sha256, contaminated (a twentieth of the words or
+    more is hit) and n_near_items: items of which all words of a window stand in any order within
+    length words in a row, exact matches included; it has no part in contaminated. row, a hash of doc_id and text, tells rows apart that share a doc_id; equal rows
     have equal results. Null and empty texts have no words. Benchmark rows without text, words or
     item_id are left out. Other columns are ignored. An empty benchmark hits nothing.
     """
@@ -114,7 +116,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, length: int = 13,
     occurrences = found.withColumn("length", F.size(F.split("phrase", " ")))
     items = found.select("phrase", "doc_id", "row").distinct().join(bounded(pairs.select("phrase", "item_id"), 1_000_000), "phrase")
     items = items.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    hits = _both(covered(occurrences), items)
+    near = proximity_matches(index, selected, length).select("phrase", "doc_id", "row").distinct().join(bounded(pairs.select("phrase", "item_id"), 1_000_000), "phrase")
+    near = near.groupBy("doc_id", "row").agg(F.count_distinct("item_id").alias("n_near_items"))
+    hits = _both(covered(occurrences), items, near)
     rows = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.regexp_count(text_or_empty("text"), F.lit(WORD)).cast("long").alias("n_words"))
     hits = hits.withColumnsRenamed({"doc_id": "hit_id", "row": "hit_row"})
     joined = rows.join(hits, rows["doc_id"].eqNullSafe(hits["hit_id"]) & (rows["row"] == hits["hit_row"]), "left")
@@ -123,10 +127,14 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, length: int = 13,
     return joined.select(
         "doc_id", "row", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(listed, 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        F.coalesce("n_near_items", F.lit(0)).cast("long").alias("n_near_items"),
     )
 
 
-def _both(hits: DataFrame, items: DataFrame) -> DataFrame:
-    """Hits with items: every row of one has its row in the other."""
-    items = items.withColumnsRenamed({"doc_id": "other_id", "row": "other_row"})
-    return hits.join(items, hits["doc_id"].eqNullSafe(items["other_id"]) & (hits["row"] == items["other_row"])).select("doc_id", "row", "n_hit", "items")
+def _both(hits: DataFrame, items: DataFrame, near: DataFrame) -> DataFrame:
+    """Hits with items and near ones, one row a document row that has any: the three are brought under one another and summed up, not joined."""
+    none = lambda t: F.lit(None).cast(t)
+    rows = hits.select("doc_id", "row", "n_hit", none("array<string>").alias("items"), none("long").alias("n_near_items"))
+    rows = rows.unionByName(items.select("doc_id", "row", none("long").alias("n_hit"), "items", none("long").alias("n_near_items")))
+    rows = rows.unionByName(near.select("doc_id", "row", none("long").alias("n_hit"), none("array<string>").alias("items"), "n_near_items"))
+    return rows.groupBy("doc_id", "row").agg(F.max("n_hit").alias("n_hit"), F.first("items", ignorenulls=True).alias("items"), F.max("n_near_items").alias("n_near_items"))
