@@ -114,16 +114,23 @@ lengths AS (SELECT DISTINCT n FROM b),
 ds AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM dw, lengths WHERE len(w) >= n),
 hits AS (SELECT ds.doc_id, ds.k, b.n, b.item_id FROM ds JOIN b ON b.n = ds.n AND array_to_string(list_slice(ds.w, ds.k, ds.k + ds.n - 1), ' ') = b.phrase),
 places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hits) GROUP BY doc_id),
+freq AS (SELECT t, count(*) AS f FROM (SELECT unnest(w) AS t FROM dw) GROUP BY t),
+terms AS (SELECT DISTINCT phrase, item_id, string_split(phrase, ' ') AS pw, unnest(string_split(phrase, ' ')) AS t FROM b),
+seeds AS (SELECT phrase, item_id, any_value(pw) AS pw, arg_min(t, coalesce(f, 0)) AS t FROM terms LEFT JOIN freq USING (t) GROUP BY phrase, item_id),
+tokens AS (SELECT doc_id, w, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM dw),
+near AS (SELECT DISTINCT doc_id, item_id FROM tokens JOIN seeds USING (t) WHERE list_has_all(list_slice(w, greatest(p - 12, 1), p + 12), pw)
+  AND len(list_filter(range(greatest(p - 12, 1), p + 1), lambda s: list_has_all(list_slice(w, s, s + 12), pw))) > 0),
+nears AS (SELECT doc_id, count(*) AS n_near_items FROM near GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM dw LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)""",
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near_items, 0) AS n_near_items
+FROM dw LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN nears USING (doc_id)""",
     "op7_chat": """
 WITH r AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
-t AS (SELECT conv_id, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS n_turns,
+t AS (SELECT conv_id, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id, CASE WHEN conv_id IS NULL THEN turn END, CASE WHEN conv_id IS NULL THEN role END, CASE WHEN conv_id IS NULL THEN text END) AS n_turns,
   string_agg(concat(role, chr(1), text), chr(2)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS key,
   string_agg(concat('<|im_start|>', role, chr(10), text, '<|im_end|>', chr(10)), '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS text
-  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+  FROM r WINDOW w AS (PARTITION BY conv_id, CASE WHEN conv_id IS NULL THEN turn END, CASE WHEN conv_id IS NULL THEN role END, CASE WHEN conv_id IS NULL THEN text END ORDER BY turn NULLS FIRST, role, text)),
 whole AS (SELECT key, min(conv_id) AS conv_id, count(*) AS n_copies, any_value(n_turns) AS n_turns, any_value(text) AS text FROM t WHERE place = n_turns GROUP BY key)
 SELECT conv_id, n_turns, n_copies, text FROM whole WHERE key NOT IN (SELECT key FROM t WHERE place < n_turns)""",
 }

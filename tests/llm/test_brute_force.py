@@ -66,7 +66,7 @@ def test_sql(spark, name):
 def test_warc_round_trip(spark, tmp_path):
     pages = [(1, "http://a.b/x y", "<p>é</p>"), (5, None, "<p>é</p>"), (2, "http://c", None), (3, "u", ""), (4, "u", "long " * 40_000), (None, "n", "lonely"), (9, "r", "twice"), (9, "r", "twice")]
     df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, payload string")
-    warc.write_warc(df, str(tmp_path / "w"), records_per_archive=3)
+    warc.write_warc(df, str(tmp_path / "w"), archive_bytes=400)
     read = {(r["page_id"], r["target_uri"], r["record_type"]): r for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
     kinds = sorted((str(k[0]), k[2]) for k in read)
     assert kinds == sorted([("1", "revisit"), ("5", "response"), ("2", "revisit"), ("3", "response"), ("4", "response"), ("None", "response"), ("9", "response")])
@@ -197,10 +197,26 @@ def test_media(spark, documents):
         assert len(got["feature"]) == 16
 
 
+def test_filters_are_used_and_features_follow_pixels(spark):
+    text = "".join(chr(97 + k % 26) for k in range(192 * 12)) + "x" * 192 * 3
+    row = media.media_features(media.store_text_media(spark.createDataFrame([(1, text), (2, text), (3, None)], "doc_id long, text string"))).orderBy("doc_id").collect()
+    assert row[0]["media_sha256"] == row[1]["media_sha256"] and row[0]["feature"] == row[1]["feature"]
+    samples = np.frombuffer(text.encode(), np.uint8).reshape(-1, 192)
+    assert len(set(media.least_kinds(samples, 3).tolist())) > 1
+    grey = samples.reshape(len(samples), 64, 3).astype(float).mean(axis=2)
+    small = np.array([[grey[i * len(grey) // 32 if len(grey) < 32 else i, 2 * j : 2 * j + 2].mean() for j in range(32)] for i in range(32)])
+    low = np.array([[sum(small[y, x] * np.cos(np.pi * u * (2 * y + 1) / 64) * np.cos(np.pi * v * (2 * x + 1) / 64) for y in range(32) for x in range(32)) for v in range(8)] for u in range(8)]).ravel()
+    bits = np.round(low, 6) > np.median(np.round(low, 6)[1:])
+    assert np.packbits(bits).tobytes().hex() == row[0]["feature"]
+    png = media.encode_png(text.encode(), 64)
+    assert (row[0]["media_bytes"], row[0]["media_sha256"]) == (len(png), hashlib.sha256(png).hexdigest())
+    assert media.media_features(media.store_text_media(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
 def test_png():
     rng = np.random.default_rng(2)
     samples = rng.integers(0, 256, 40 * 8 * 3, np.uint8).tobytes()
-    for kinds in [None, *[np.full(40, k) for k in range(5)], rng.integers(0, 5, 40)]:
+    for kinds in [None, *[np.full(40, k) for k in range(5)], rng.integers(0, 5, 40), rng.integers(0, 3, 40)]:
         png = media.encode_png(samples, 8, kinds=kinds)
         assert media.decode_png(png).tobytes() == samples
     with pytest.raises(ValueError):
@@ -282,13 +298,14 @@ def test_proximity(spark):
 
 
 def test_chat(spark):
-    turns = [(1, 1, "user", "a"), (1, 2, "assistant", "b"), (2, 1, "user", "a"), (2, 2, "assistant", "b"), (2, 3, "user", "c"), (3, 1, "user", "a"), (3, 2, "assistant", "x"), (4, 5, "user", "a"), (4, 6, "assistant", "x"), (5, 1, None, None), (5, 1, None, None), (None, 1, "user", "q")]
+    turns = [(1, 1, "user", "a"), (1, 2, "assistant", "b"), (2, 1, "user", "a"), (2, 2, "assistant", "b"), (2, 3, "user", "c"), (3, 1, "user", "a"), (3, 2, "assistant", "x"), (4, 5, "user", "a"), (4, 6, "assistant", "x"), (5, 1, None, None), (5, 1, None, None), (None, 1, "user", "q"), (None, 2, "user", "q"), (None, 1, "user", "a")]
     df = spark.createDataFrame([(*t, 0, 0) for t in turns], "conv_id long, turn long, role string, text string, a int, n_turns int")
     found = {r["conv_id"]: (r["n_turns"], r["n_copies"], r["text"]) for r in chat.collapse(df).collect()}
     assert set(found) == {2, 3, 5, None}
     assert found[3][:2] == (2, 2)
     assert found[2][2] == "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n<|im_start|>user\nc<|im_end|>\n"
     assert found[5][2] == "<|im_start|>\n<|im_end|>\n"
+    assert found[None] == (1, 2, "<|im_start|>user\nq<|im_end|>\n")
     assert chat.collapse(df.filter("false")).count() == 0
 
 
@@ -349,16 +366,31 @@ def test_bit_packing(spark, tmp_path, documents):
             words = tokenbin.pack(ids, width)
             assert np.array_equal(tokenbin.unpack(words, width, 0, n), ids)
             assert np.array_equal(tokenbin.unpack(words, width, n // 3, n), ids[n // 3 :])
-    tokenbin.write_token_ids(documents, str(tmp_path / "t"), public_tokenizers.path("word_bpe_49k.json"), 49_408, 2, ids_per_block=50)
+    tokenbin.write_token_ids(documents, str(tmp_path / "t"), public_tokenizers.path("word_bpe_49k.json"), 49_408, 2, ids_per_block=50, blocks_per_file=3)
     read = tokenbin.read_token_ids(spark, str(tmp_path / "t")).orderBy("file", "nth").collect()
     for file in Path(tmp_path / "t").glob("part-*"):
         tokens = tokenbin.TokenFile(memoryview(file.read_bytes()))
-        part = int(re.search(r"part-(\d+)", file.name)[1])
-        flat = [x for r in read if r["file"]["part"] == part for x in r["ids"]]
+        part, piece = map(int, re.search(r"part-(\d+)-.*-c(\d+)", file.name).groups())
+        flat = [x for r in read if (r["file"]["part"], r["file"]["piece"]) == (part, piece) for x in r["ids"]]
         assert tokens.ids(0, len(flat)).tolist() == flat
         assert tokens.ids(17, 130).tolist() == flat[17:130]
 
 
+def test_ids_of_any_value_and_repeats(spark, tmp_path):
+    """The least long, nulls and repeated doc_ids, an empty table, long pieces."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    low = -(1 << 63)
+    texts = [(None, "no id"), (low, "least"), (5, "b c"), (5, "a"), (5, "a"), (0, None), (7, "z" * 500)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    found = tokenbin.token_ids(df, path, 49_408, 2).orderBy("start").collect()
+    assert [r["doc_id"] for r in found] == [None, low, 0, 5, 5, 5, 7]
+    start = 0
+    for r in found:
+        assert r["start"] == start
+        start += r["n_tokens"]
+    assert tokenbin.token_ids(df.filter("false"), path, 49_408, 2).count() == 0
+
+
 # 10 ------------------------------------------------------------------------------------------------
 
 
@@ -393,7 +425,7 @@ def test_simhash(spark, documents):
     assert simhash.near_duplicates(df.filter("false")).count() == 0
 
 
-@pytest.mark.parametrize("most_in_key", [20_000, 3])
+@pytest.mark.parametrize("most_in_key", [20_000, 100])
 def test_simhash_links(spark, most_in_key):
     """Chains, stars and a dense cluster, with keys both few and hot, against all pairs."""
     rng = random.Random(9)
