@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.decontaminate import bounded
-from folioflow.llm.shared import discard, scratch, stored, text_or_empty
+from folioflow.llm.shared import cut, discard, scratch, stored, text_or_empty
 
 #: Words of an anchor: of the anchors in a window, that with the least hash stands for it.
 ANCHOR = 6
@@ -116,22 +116,23 @@ class Automaton:
         return out
 
 
-def seen_windows(passages: list[list[int]], length: int) -> list[list[int]]:
-    """Of each passage the windows (by first word) that a passage before it holds.
+def seen_in(automaton: Automaton, words: list[int], length: int) -> list[int]:
+    """The windows of words (by first word) that the automaton holds; what of them is new is then added to it."""
+    found = [k - length + 1 for k, n in enumerate(automaton.statistics(words)) if n >= length]
+    start = 0
+    for k in [*found, len(words) - length + 1]:
+        if k > start:
+            automaton.add(words[start : k + length - 1])
+        start = k + 1
+    return found
 
-    Each is streamed through the automaton of those before; what of it is new is then added.
-    """
-    automaton, out = Automaton(), []
-    for words in passages:
-        found = [k - length + 1 for k, n in enumerate(automaton.statistics(words)) if n >= length]
-        out.append(found)
-        seen = {*found, len(words) - length + 1}
-        start = 0
-        for k in sorted(seen):
-            if k > start:
-                automaton.add(words[start : k + length - 1])
-            start = k + 1
-    return out
+
+class _Ids(dict):
+    """Numbers of words in the order they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 def _occurrences(rows: DataFrame, length: int) -> DataFrame:
@@ -156,104 +157,157 @@ def _occurrences(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(of, "anchor long, piece long, doc_id long, row long, at int, n int")
 
 
-def _passages(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(anchor, piece, doc_id, row, at, words): the words' hashes, as bytes, of the wanted pieces (row, places of (anchor, piece, at, n))."""
+PASSAGE = "key long, piece long, doc_id long, row long, at int, text binary"
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc_id, row, text, places in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                hashes = Words(text.encode()).hashes
-                out += [(p["anchor"], p["piece"], doc_id, row, p["at"], hashes[p["at"] : p["at"] + p["n"] + length - 1].tobytes()) for p in places]
-            types = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], ["anchor", "piece", "doc_id", "row", "at", "words"])
 
-    joined = rows.join(wanted, "row").select("doc_id", "row", "text", "places")
-    return joined.mapInArrow(of, "anchor long, piece long, doc_id long, row long, at int, words binary")
+def _passages(rows: DataFrame, firsts: DataFrame, length: int, broadcast_rows: int) -> DataFrame:
+    """The text of each of firsts (key, piece, doc_id, row, at, n), words parted by one blank, as rows of PASSAGE."""
 
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                doc_id, row, words = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].as_py().encode().split()
+                places = batch.column(3)[k].as_py()
+                texts = [b" ".join(words[p["at"] : p["at"] + p["n"] + length - 1]) for p in places]
+                columns = [[p["key"] for p in places], [p["piece"] for p in places], [doc_id] * len(places), [row] * len(places), [p["at"] for p in places], texts]
+                types = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "piece", "doc_id", "row", "at", "text"])
 
-def _seen(passages: DataFrame, length: int, per_shard: int) -> DataFrame:
-    """(anchor, piece, starts, stops): of each passage the runs of windows that passages of its anchor before it (doc_id, row, at) hold."""
-    n_shards = max(1, passages.count() // per_shard)
-    schema = "anchor long, piece long, starts array<int>, stops array<int>"
+    few = firsts.limit(broadcast_rows + 1).count() <= broadcast_rows  # places, so that their lists are bounded too
+    wanted = firsts.groupBy(F.col("doc_id").alias("of_id"), F.col("row").alias("of_row")).agg(F.collect_list(F.struct("key", "piece", "at", "n")).alias("places"))
+    joined = rows.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("row") == F.col("of_row")))
+    return joined.select("doc_id", "row", "text", "places").mapInArrow(of, PASSAGE)
 
-    def of(shard: pa.Table) -> pa.Table:
-        shard = shard.sort_by([("doc_id", "ascending"), ("row", "ascending"), ("at", "ascending")])
-        nulls_first = np.argsort(~shard.column("doc_id").is_null().to_numpy(), kind="stable")
-        shard = shard.take(nulls_first)
-        found = seen_windows([np.frombuffer(x, np.uint64).tolist() for x in shard.column("words").to_pylist()], length)
-        starts = [[k for k in x if k - 1 not in x] for x in map(set, found)]
-        stops = [[k + 1 for k in x if k + 1 not in x] for x in map(set, found)]
-        lists = {"starts": [sorted(x) for x in starts], "stops": [sorted(x) for x in stops]}
-        return pa.table({"anchor": shard.column("anchor"), "piece": shard.column("piece"), **{k: pa.array(v, pa.list_(pa.int32())) for k, v in lists.items()}})
 
-    return passages.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(n_shards))).groupBy("shard").applyInArrow(of, schema)
+def _finer(passages: DataFrame, length: int) -> DataFrame:
+    """passages parted once more, as (up_key, up_piece, off) and the columns of PASSAGE: each window by that of its six-word runs which the fewest passages of its key hold.
 
+    Equal windows have equal runs and so the same part. off is the part's first window in the passage.
+    """
 
-def _seen_hot(passages: DataFrame, length: int) -> DataFrame:
-    """What _seen returns, of anchors with more passages than one task may hold: each window by its hash, the first of equal ones kept by a minimum."""
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch.column(5).to_pylist():
+                words = Words(text)
+                at = np.arange(len(words.hashes) - ANCHOR + 1)
+                found.append(words.runs(at, at + ANCHOR).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], [*batch.schema.names, "grams"])
+
+    of = stored(passages.mapInArrow(runs, f"{PASSAGE}, grams array<long>"), "grams")
+    counts = of.select("key", F.explode(F.array_distinct("grams")).alias("gram")).groupBy("key", "gram").agg(F.count("*").alias("n"))
+    each = of.select("key", "piece", F.posexplode("grams").alias("pos", "gram")).join(counts, ["key", "gram"])
+    listed = each.groupBy("key", "piece").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "n"))), lambda x: x["n"]).alias("counts"))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                words = Words(r["text"])
+                n, grams = len(words.hashes) - length + 1, np.array(r["grams"], np.int64).view(np.uint64)
+                order = np.lexsort([np.arange(len(grams)), grams, np.array(r["counts"])])
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                least = np.lib.stride_tricks.sliding_window_view(rank, length - ANCHOR + 1).argmin(axis=1) + np.arange(n)
+                first = np.flatnonzero(np.diff(least, prepend=-1))
+                stop = np.append(first[1:], n)
+                tokens = r["text"].split(b" ")
+                keys = _mixed(grams[least[first]] ^ np.array(r["key"], np.int64).view(np.uint64) * np.uint64(_ODD)).view(np.int64)
+                whole = words.runs(first, stop + length - 1).view(np.int64)
+                out += [
+                    (r["key"], r["piece"], a, key, piece, r["doc_id"], r["row"], r["at"] + a, b" ".join(tokens[a : b + length - 1]))
+                    for a, b, key, piece in zip(first.tolist(), stop.tolist(), keys.tolist(), whole.tolist(), strict=True)
+                ]
+            types = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.int32(), pa.binary()]
+            names = ["up_key", "up_piece", "off", "key", "piece", "doc_id", "row", "at", "text"]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names)
+
+    return of.join(listed, ["key", "piece"]).mapInArrow(parts, f"up_key long, up_piece long, off int, {PASSAGE}")
+
+
+def _automata(passages: DataFrame, length: int, shard_words: int) -> DataFrame:
+    """(key, piece, first, starts, stops): of each passage the runs of windows that passages of its key before it hold.
+
+    A task takes its passages by key and place. They are the shards of reference: each passage streams
+    through the suffix automaton of those before it, which gives its matching statistics, and what is
+    new in it is added. A shard ends at the key with which it has shard_words.
+    """
+    rows = passages.repartition("key").sortWithinPartitions("key", "doc_id", "row", "at", "piece")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, ids, size, last = Automaton(), _Ids(), 0, (None, None)
         for batch in batches:
-            keys, counts = [], []
-            for data in batch.column(5).to_pylist():
-                words = Words(b"")
-                words.hashes = np.frombuffer(data, np.uint64)
-                words.sums = np.concatenate([[np.uint64(0)], np.cumsum(words.hashes * _power(len(words.hashes), 1), dtype=np.uint64)])
-                start = np.arange(len(words.hashes) - length + 1)
-                keys.append(words.runs(start, start + length))
-                counts.append(len(start))
-            each = pa.array(np.repeat(np.arange(batch.num_rows), counts))
-            within = np.concatenate([np.arange(c) for c in counts] + [np.zeros(0, np.int64)]).astype(np.int32)
-            window = pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)])).view(pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(each) for k in range(5)), pa.array(within), window], ["anchor", "piece", "doc_id", "row", "at", "k", "window"])
-
-    rows = stored(passages.select("anchor", "piece", "doc_id", "row", "at", "words").mapInArrow(of, "anchor long, piece long, doc_id long, row long, at int, k int, window long"), "windows")
-    place = F.struct("doc_id", "row", (F.col("at") + F.col("k")).alias("start"))
-    firsts = stored(rows.groupBy("anchor", "window").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times"), "windows")
-    later = rows.join(firsts, ["anchor", "window"]).filter(place > F.col("first"))
-    listed = later.groupBy("anchor", "piece").agg(F.collect_list("k").alias("starts"))
-    return listed.withColumn("stops", F.transform("starts", lambda k: k + 1))
-
-
-def repeated_spans(documents: DataFrame, length: int = 20, per_shard: int = 3000, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """(row, spans): of rows of documents (doc_id, text, row) the spans of words (start, stop) under windows that start earlier too.
+            stay, starts, stops = [], [], []
+            for k, (key, piece) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if (key, piece) == last:
+                    continue  # an equal row of the table
+                if key != last[0] and size >= shard_words:
+                    automaton, ids, size = Automaton(), _Ids(), 0
+                words = list(map(ids.__getitem__, batch.column(5)[k].as_py().split(b" ")))
+                found = seen_in(automaton, words, length)
+                size, last = size + len(words), (key, piece)
+                seen = set(found)
+                stay.append(k)
+                starts.append([x for x in found if x - 1 not in seen])
+                stops.append([x + 1 for x in found if x + 1 not in seen])
+            kept = batch.take(pa.array(stay, pa.int32()))
+            first = pa.StructArray.from_arrays([kept.column(2), kept.column(3), kept.column(4)], ["doc_id", "row", "at"])
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), first, pa.array(starts, pa.list_(pa.int32())), pa.array(stops, pa.list_(pa.int32()))], ["key", "piece", "first", "starts", "stops"])
+
+    return rows.mapInArrow(of, "key long, piece long, first struct<doc_id: long, row: long, at: int>, starts array<int>, stops array<int>")
+
+
+def resolved(passages: DataFrame, length: int, most_kinds: int, shard_words: int, hot_before: int | None = None) -> DataFrame:
+    """What _automata gives, for stored passages with any number of kinds to a key: where a key has more than most_kinds, they are parted by _finer, and equal parts count once.
+
+    It ends, as parting goes on only while it leaves fewer passages under such keys than before.
+    """
+    hot = cut(passages.groupBy("key").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > most_kinds))
+    n_hot = hot.agg(F.sum("kinds")).first()[0] or 0
+    if not n_hot or (hot_before is not None and n_hot >= hot_before):
+        return _automata(passages, length, shard_words)
+    keys = bounded(hot.select("key"), 1_000_000)
+    parts = stored(_finer(passages.join(keys, "key", "left_semi").dropDuplicates(["key", "piece"]), length), "parts")
+    place = F.struct("doc_id", "row", "at")
+    one = stored(parts.groupBy("key", "piece").agg(F.min(F.struct("doc_id", "row", "at", "text")).alias("x")).select("key", "piece", "x.*"), "kinds")
+    known = resolved(one, length, most_kinds, shard_words, n_hot)
+    joined = parts.select("up_key", "up_piece", "off", "key", "piece", "doc_id", "row", "at", F.expr(f"size(split(text, ' ')) - {length - 1}").alias("n")).join(known, ["key", "piece"])
+    later = place > F.col("first")
+    starts = F.when(later, F.array("off")).otherwise(F.transform("starts", lambda x: x + F.col("off")))
+    stops = F.when(later, F.array(F.col("off") + F.col("n"))).otherwise(F.transform("stops", lambda x: x + F.col("off")))
+    back = joined.select("up_key", "up_piece", place.alias("place"), "off", starts.alias("starts"), stops.alias("stops"))
+    of = lambda name: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("off", name))), lambda x: x[name])).alias(name)
+    first = F.min_by("place", "off").alias("first")
+    hot_seen = back.groupBy(F.col("up_key").alias("key"), F.col("up_piece").alias("piece")).agg(first, of("starts"), of("stops"))
+    return _automata(passages.join(keys, "key", "left_anti"), length, shard_words).unionByName(hot_seen)
+
+
+def repeated_spans(documents: DataFrame, length: int = 20, most_kinds: int = 256, shard_words: int = 60_000, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """(doc_id, row, spans): of rows of documents (doc_id, text, row) the spans of words (start, stop) under windows that start earlier too.
 
     Only windows whose anchor occurs twice can repeat; equal windows have equal anchors at equal
-    places. Pieces, runs of windows with a common anchor, are counted by hash, and a piece that as a
-    whole occurred before is a repeat. What is left are anchors with several unlike pieces: the first
-    one of each kind is a reference passage, which goes to the shard of its anchor, where it streams
-    through the suffix automaton of the passages before it. Shards go to the tasks that need them
-    rather than to all: all documents against all shards would grow with the square of the corpus.
+    places. Of pieces, runs of windows with a common anchor, each kind whose anchor occurs twice is a
+    reference passage, by the text at its first place. Passages are dealt by anchor into shards, and
+    suffix automata over these tell which windows of each are there before it; a copy has its kind's
+    matching statistics, of which its own later place makes all windows repeats. Shards go to the tasks
+    that need them rather than to all: all documents against all shards would grow with the square of
+    the corpus.
     """
     rows = documents.select("doc_id", "row", "text")
     at = scratch(documents.sparkSession, "pieces")
     pieces = stored(_occurrences(rows, length), "pieces", path=at)
-    counted = pieces.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor")
-    counted = stored(counted, "anchors")
-    again = stored(pieces.join(bounded(counted, broadcast_rows), "anchor", "left_semi"), "again")
+    counted = stored(pieces.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor"), "anchors")
+    again = stored(pieces.join(bounded(counted, broadcast_rows), "anchor", "left_semi").withColumnRenamed("anchor", "key"), "again")
     discard(documents.sparkSession, at)  # most of the space, and wanted no more
     place = F.struct("doc_id", "row", "at")
-    firsts = stored(again.groupBy("anchor", "piece").agg(F.min(place).alias("first"), F.max("n").alias("n"), F.count("*").alias("times")), "firsts")
-    kinds = stored(firsts.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "kinds")
-    unlike = firsts.join(bounded(kinds, broadcast_rows), "anchor").select("anchor", "piece", "first.*", "n")
-    wanted = unlike.groupBy("row").agg(F.collect_list(F.struct("anchor", "piece", "at", "n")).alias("places"))
-    passages = stored(_passages(rows, bounded(stored(wanted, "wanted"), broadcast_rows // 8), length).dropDuplicates(["anchor", "piece"]), "passages")
-    kept_kinds = bounded(kinds, broadcast_rows)
-    sized = passages.join(kept_kinds, "anchor")
-    seen = _seen(sized.filter(F.col("kinds") <= per_shard).drop("kinds"), length, per_shard)
-    hot = sized.filter(F.col("kinds") > per_shard).drop("kinds")
-    if not kinds.filter(F.col("kinds") > per_shard).isEmpty():
-        seen = seen.unionByName(_seen_hot(hot, length))
-    seen = stored(seen.filter(F.size("starts") > 0), "seen")
-    known = firsts.filter("times > 1").select("anchor", "piece", "first").join(seen, ["anchor", "piece"], "full")
-    joined = again.join(stored(known, "known"), ["anchor", "piece"]).withColumn("later", F.coalesce(place > F.col("first"), F.lit(False)))
+    firsts = stored(again.groupBy("key", "piece").agg(F.min(place).alias("first"), F.max("n").alias("n")).select("key", "piece", "first.*", "n"), "firsts")
+    passages = stored(_passages(rows, firsts, length, broadcast_rows // 4), "passages", "zstd")
+    known = stored(resolved(passages, length, most_kinds, shard_words), "known")
     whole = F.array(F.struct(F.col("at").alias("start"), (F.col("at") + F.col("n") + length - 1).alias("stop")))
     some = F.expr(f"transform(arrays_zip(starts, stops), x -> struct(at + x.starts AS start, at + x.stops - 1 + {length} AS stop))")
-    some = F.coalesce(some, F.array().cast("array<struct<start:int,stop:int>>"))
-    # where a piece occurs once, windows are those of its one place; else of its first
-    spans = F.when(F.col("later"), whole).otherwise(some)
-    return joined.select("row", spans.alias("spans")).filter(F.size("spans") > 0).groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    spans = F.when(place > F.col("first"), whole).otherwise(some)
+    found = again.join(known, ["key", "piece"]).select("doc_id", "row", spans.alias("spans")).filter(F.size("spans") > 0)
+    return found.groupBy("doc_id", "row").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
 #: Characters of texts given back at a time, so that a worker's memory doesn't follow the Arrow batch.
@@ -287,7 +341,8 @@ def _with_spans(documents: DataFrame, length: int) -> DataFrame:
     """(row, doc, spans): documents' rows as structs, so that no name of theirs clashes, with what repeats in them."""
     rows = documents.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", "text").alias("row"))
     spans = repeated_spans(rows.select(F.col("doc.doc_id").cast("long").alias("doc_id"), "row", text_or_empty(F.col("doc.text")).alias("text")), length)
-    return rows.join(spans, "row", "left")
+    spans = spans.withColumnsRenamed({"doc_id": "of_id", "row": "of_row"})
+    return rows.join(spans, F.col("doc.doc_id").cast("long").eqNullSafe(F.col("of_id")) & (F.col("row") == F.col("of_row")), "left").select("row", "doc", "spans")
 
 
 def digests(documents: DataFrame, length: int = 20) -> DataFrame:

@@ -136,14 +136,30 @@ def brute_substrings(rows, length=20):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("per_shard", [3000, 2])
-def test_substrings(spark, documents, monkeypatch, per_shard):
+@pytest.mark.parametrize(("most_kinds", "shard_words", "broadcast_rows"), [(256, 60_000, 2_000_000), (2, 30, 1)])
+def test_substrings(spark, documents, monkeypatch, most_kinds, shard_words, broadcast_rows):
     spans = substrings.repeated_spans
-    monkeypatch.setattr(substrings, "repeated_spans", lambda d, length: spans(d, length, per_shard=per_shard, broadcast_rows=2_000_000 if per_shard > 2 else 1))
+    monkeypatch.setattr(substrings, "repeated_spans", lambda d, length: spans(d, length, most_kinds, shard_words, broadcast_rows))
     rows = sorted((r["doc_id"], r["text"]) for r in documents.collect())
     assert as_rows(substrings.digests(documents), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_substrings(rows)
 
 
+def test_a_line_in_many_contexts(spark, monkeypatch):
+    """One anchor with many kinds, equal rows and rows without a doc_id: parted by rarer words, with equal parts once."""
+    rng = random.Random(6)
+    line = " ".join(f"line{k}" for k in range(24))
+    prose = lambda n: " ".join(f"w{rng.randrange(30)}" for _ in range(n))
+    texts = [(k + 1, f"{prose(rng.randrange(12))} {line} {prose(rng.randrange(12))}") for k in range(60)]
+    spans = substrings.repeated_spans
+    monkeypatch.setattr(substrings, "repeated_spans", lambda d, length: spans(d, length, 4, 100))
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    assert as_rows(substrings.digests(df), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_substrings(texts)
+    odd = spark.createDataFrame([(None, texts[0][1]), texts[0], texts[0], (2, texts[0][1]), (2, "other " + line)], "doc_id long, text string")
+    found = as_rows(substrings.digests(odd), "doc_id", "n_words", "n_removed")
+    assert [r for r in found if r[0] is None][0][2] == 0
+    assert len(found) == 5 and all(r[2] > 0 for r in found if r[0] is not None)
+
+
 def test_substrings_all_of_a_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
@@ -181,7 +197,8 @@ def test_automaton():
             windows = [tuple(p[k : k + 4]) for k in range(len(p) - 3)]
             expected.append([k for k, w in enumerate(windows) if w in seen])
             seen |= set(windows)
-        assert substrings.seen_windows(passages, 4) == expected
+        automaton = substrings.Automaton()
+        assert [substrings.seen_in(automaton, p, 4) for p in passages] == expected
 
 
 # 4 -------------------------------------------------------------------------------------------------
