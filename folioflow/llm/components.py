@@ -20,10 +20,10 @@ def connected(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         if seen[0] == 0:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = cut(large)
-        least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
         state = _state(new)

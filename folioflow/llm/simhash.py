@@ -38,11 +38,15 @@ def fingerprint(text: str, width: int) -> int:
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     stops = ends[min(width, len(words)) - 1 :].tolist()
     starts = [0, *(ends[: len(stops) - 1] + 1).tolist()]
+    return set_fingerprint(np.fromiter((digest(line[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts)))
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The bits set in over half of hashes; zero of none."""
     sums = np.zeros(64, np.int64)
-    for k in range(0, len(starts), CHUNK):
-        hashes = np.array([digest(line[a:b], 42) for a, b in zip(starts[k : k + CHUNK], stops[k : k + CHUNK], strict=True)], "<u8")
-        sums += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * sums > len(starts), bitorder="little").view("<u8")[0])
+    for k in range(0, len(hashes), CHUNK):
+        sums += np.unpackbits(hashes[k : k + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * sums > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(documents: DataFrame, width: int = 4) -> DataFrame:
@@ -115,7 +119,12 @@ class _Forest:
             self.up[max(x, y)] = min(x, y)
 
 
-def _close(fps: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, most_bits: int) -> np.ndarray:
+def distances(fps: np.ndarray) -> np.ndarray:
+    """The table of each fingerprint's distances to the pivots."""
+    return np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int8)
+
+
+def close(fps: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, most_bits: int) -> np.ndarray:
     """Which of the pairs (i, j) are within most_bits. A pair is discarded if its distances to any pivot differ by more."""
     stay = np.arange(len(i))
     for k in range(0, table.shape[1], 4):
@@ -139,7 +148,7 @@ def _long_run(fps: np.ndarray, table: np.ndarray, first: int, stop: int, most_bi
                 break
             some = border[k : k + 64]
             i, j = np.repeat(some, len(ring)), np.tile(np.arange(len(ring)), len(some))
-            met = np.unique(j[_close(fps, table, i, ring[j], most_bits)])
+            met = np.unique(j[close(fps, table, i, ring[j], most_bits)])
             for x in ring[met].tolist():
                 forest.join(int(pivot), x)
             ring = np.delete(ring, met)
@@ -148,7 +157,7 @@ def _long_run(fps: np.ndarray, table: np.ndarray, first: int, stop: int, most_bi
 
 def run_links(keys: np.ndarray, fps: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (a, b) of fingerprints that make the same components as all links within runs of equal keys; one a row at most."""
-    table = np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int8)
+    table = distances(fps)
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(starts, append=len(keys))
     forest = _Forest()
@@ -157,7 +166,7 @@ def run_links(keys: np.ndarray, fps: np.ndarray, most_bits: int) -> tuple[np.nda
     left = np.repeat(np.where(sizes > LONG_RUN, 0, sizes), sizes) - (np.arange(len(keys)) - np.repeat(starts, sizes)) - 1
     rows, shift = np.flatnonzero(left > 0), 1
     while len(rows):
-        for x in rows[_close(fps, table, rows, rows + shift, most_bits)].tolist():
+        for x in rows[close(fps, table, rows, rows + shift, most_bits)].tolist():
             forest.join(x, x + shift)
         shift += 1
         rows = rows[left[rows] >= shift]
@@ -230,6 +239,7 @@ def keep_one(documents: DataFrame, width: int, most_bits: int) -> DataFrame:
 def first_of_each(documents: DataFrame, rows: DataFrame, named: DataFrame) -> DataFrame:
     """keep_one's row of each component, from rows (doc_id, row, fp) and named (fp, root)."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")
-    kept = rows.join(named.select("fp", "root"), "fp").groupBy("root").agg(first).select("first.row")
-    whole = documents.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", "text").alias("row"))
-    return whole.join(kept, "row", "left_semi").dropDuplicates(["row"]).select("doc.*")
+    kept = rows.join(named.select("fp", "root"), "fp").groupBy("root").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.row").alias("kept_row"))
+    whole = documents.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("doc_id", "text").alias("row"))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("row") == F.col("kept_row"))
+    return whole.join(kept, same, "left_semi").dropDuplicates(["id", "row"]).select("doc.*")
