@@ -24,6 +24,10 @@ KINDS = (
     ("rotulo", r"\b[A-Z]\d+\b"),
     ("sigla", r"\b[A-Z][A-Z0-9]{1,9}\b"),
 )
+#: What a text has to hold for a kind to occur, cheaper to look for than the kind.
+HINTS = (
+    "(?i)https?://|www[.]", "@", "10[.][0-9]", r"\$|\\[(\[]", r"\([^()]*\d{2}", r"\{", _RELATION, r"(?U)\d\s*[–—-]\s*\d", r"(?U)[A-Z]\d", "[A-Z][A-Z0-9]",
+)
 MARKER = ("ZXQKEEP", "QXZ")
 _SPAN = "array<struct<start:int,stop:int,priority:int,kind:string,original:string>>"
 
@@ -45,7 +49,8 @@ def spans_of(text: str | Column, priority: int) -> Column:
         return F.struct(stop.alias("at"), F.when(x["hit"].isNull(), out["spans"]).otherwise(F.array_append(out["spans"], span)).alias("spans"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
-    return F.aggregate(each, start, step, lambda out: out["spans"])
+    found = F.aggregate(each, start, step, lambda out: out["spans"])
+    return F.when(t.rlike(HINTS[priority]), found).when(t.isNotNull(), F.array().cast(_SPAN))
 
 
 def protected(text: str | Column) -> Column:

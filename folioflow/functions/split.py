@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from itertools import accumulate
+from bisect import bisect_right
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from folioflow.functions.text import UPPER_LATIN, col, normalize_spaces, strip
 REQUEST_CHARS, ENCODED_CHARS = 3500, 5500
 #: Characters that form encoding leaves as one.
 PLAIN = "A-Za-z0-9_.~ -"
-_PLAIN = re.compile(f"[{PLAIN}]")
+_NOT_PLAIN = {k: None for k in range(128) if not re.match(f"[{PLAIN}]", chr(k))}
 _STOP = re.compile(r"[.!?;:]\s+")
 _OPENING = f"{UPPER_LATIN}0-9“\"("
 
@@ -28,12 +29,12 @@ def encoded_length(text: str | Column) -> Column:
 
 def pieces_of(text: str, limit: int) -> list[str]:
     """A normalised text parted greedily: behind the last sentence end or blank of what fits, if that is past its half."""
-    sizes = list(accumulate((1 if _PLAIN.match(c) else 3 * len(c.encode("utf-8", "surrogatepass")) for c in text), initial=0))
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    plain = np.isin(codes, np.frombuffer("".join(map(chr, range(128))).translate(_NOT_PLAIN).encode("utf-32-le"), "<u4"))
+    sizes = [0, *np.cumsum(np.where(plain, 1, 3 * (1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)))).tolist()]
     out, start = [], 0
     while start < len(text):
-        stop = start + 1
-        while stop < len(text) and stop - start < limit and sizes[stop + 1] - sizes[start] <= ENCODED_CHARS:
-            stop += 1
+        stop = max(start + 1, min(start + limit, bisect_right(sizes, sizes[start] + ENCODED_CHARS) - 1))
         if stop < len(text):
             ends = [m.end() for m in _STOP.finditer(text, start, stop)]
             cut = ends[-1] if ends else text.rfind(" ", start, stop)
