@@ -39,7 +39,10 @@ def margin_keys(lines: DataFrame, pages: DataFrame, least_pages: int = 3, ratio:
 def kept_lines(lines: DataFrame, pages: DataFrame, keys: DataFrame) -> DataFrame:
     """lines (with the page's width and height) without running heads and feet, page numbers in margins, and noise."""
     rows = lines.join(pages, PAGE).withColumn("margin_key", F.when(in_margin(), tx.margin_key("text")))
-    rows = rows.join(keys.select("doc_key", "margin_key"), ["doc_key", "margin_key"], "left_anti").drop("margin_key")
+    # lines outside margins have no key, and all of a document's would be one key of the join
+    outside, margins = rows.filter("margin_key is null"), rows.filter("margin_key is not null")
+    margins = margins.join(keys.select("doc_key", "margin_key"), ["doc_key", "margin_key"], "left_anti")
+    rows = outside.unionByName(margins).drop("margin_key")
     number = F.coalesce(tx.rx(F.col("text"), r"^\s*\d+(?:\s*/\s*\d+)?\s*$"), F.lit(False))
     return rows.filter(~(in_margin() & number) & ~tx.is_noise("text"))
 
@@ -201,10 +204,11 @@ def with_continuations(rows: DataFrame, groups: DataFrame) -> DataFrame:
     members = groups.select("doc_key", F.col("left_page").alias("page_no"), F.col("left_no").alias("unit_no"), "group_id", F.col("text").alias("group_text"), F.col("left_page").alias("at"))
     members = members.unionByName(groups.select("doc_key", F.col("right_page").alias("page_no"), F.col("right_no").alias("unit_no"), "group_id", F.col("text").alias("group_text"), F.col("left_page").alias("at")))
     one = members.groupBy("doc_key", "page_no", "unit_no").agg(F.max(F.struct("at", "group_id", "group_text")).alias("g"))
-    rows = rows.join(one, ["doc_key", "page_no", "unit_no"], "left")
-    rows = rows.withColumns({"group_id": F.col("g.group_id"), "group_text": F.col("g.group_text")}).drop("g")
+    one = one.withColumns({"group_id": F.col("g.group_id"), "group_text": F.col("g.group_text")}).drop("g")
+    # numbered among members alone: units without a group would all be one key
     first = F.row_number().over(Window.partitionBy("doc_key", "group_id").orderBy("page_no", "unit_no")) == 1
-    return rows.withColumn("owner", F.col("group_id").isNull() | first)
+    rows = rows.join(one.withColumn("owner", first), ["doc_key", "page_no", "unit_no"], "left")
+    return rows.withColumn("owner", F.coalesce("owner", F.lit(True)))
 
 
 def to_page_box(bounds: str, within: str, width: str | Column, height: str | Column) -> Column:

@@ -56,8 +56,9 @@ def run(lines: DataFrame, pages: DataFrame, cache: DataFrame, runner: Runner, na
     same = F.lit(options.mixed) & (F.col("lang") == options.target)
     asked = units.filter(F.col("kind").isNull() & ~F.coalesce(same, F.lit(False))).select(F.col("input").alias("text"), "lang")
     results, added = translate(asked, cache, runner, options.target, namespace, label, options.protect, options.profile, options.glossary, options.variant)
-    results = results.select(F.col("text").alias("input"), "lang", "translation", "error", "providers")
-    rows = units.join(results, ["input", "lang"], "left")
+    key = lambda text: tx.cache_key(text, "lang", F.lit(options.target))
+    results = results.select(key("text").alias("result_key"), "translation", "error", "providers")
+    rows = units.withColumn("result_key", key("input")).join(results, "result_key", "left").drop("result_key")
     rows = report.states(rows, options.target, options.mixed, options.policy)
     rows = report.audited(rows) if options.audit else rows.withColumn("flags", F.array().cast("array<struct<code:string,message:string>>"))
     box = F.array(F.struct("x0", "y0", "x1", "y1"))

@@ -5,15 +5,24 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def staged(df: DataFrame) -> DataFrame:
     """df written to the folder of spark.checkpoint.dir, its lineage cut, so that what comes next neither plans nor computes it again.
 
-    The folder is shared by all executors, so a lost one loses nothing. Where none is set, as in
-    tests, a temporary one is.
+    The folder is shared by all executors, so a lost one loses nothing. Where none is set, a temporary
+    one is on a local master, as in tests; elsewhere it is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows; it has to be written already, as it is counted here."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

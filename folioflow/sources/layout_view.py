@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from folioflow.operators.running import sum_before
+from folioflow.plans.stages import bounded, staged
 
 #: Lines of a page; longer documents go on on the next page.
 LINES = 15
 
 _SPARK_HEAD = """
-WITH l AS (SELECT doc_id, coalesce(source, '') AS source, split(coalesce(text, ''), '\\n') AS a FROM {documents}),
-n AS (SELECT doc_id, source, a, CAST(floor((size(a) + 14) / 15) AS INT) AS pages FROM l),
-f AS (SELECT *, coalesce(sum(pages) OVER (PARTITION BY source ORDER BY doc_id, a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM n),
-base AS (SELECT source, first + CAST(floor(pos / 15) AS INT) + 1 AS page_no, pos % 15 AS pos, line FROM f LATERAL VIEW posexplode(a) e AS pos, line),
+WITH base AS (SELECT source, first + CAST(floor(pos / 15) AS INT) + 1 AS page_no, pos % 15 AS pos, line FROM {placed} LATERAL VIEW posexplode(split(text, '\\n')) e AS pos, line),
 """
 _DUCK_HEAD = """
 WITH l AS (SELECT doc_id, coalesce(source, '') AS source, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
 n AS (SELECT doc_id, source, a, CAST(floor((len(a) + 14) / 15) AS INT) AS pages FROM l),
-f AS (SELECT *, coalesce(sum(pages) OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM n),
+f AS (SELECT *, coalesce(sum(pages) OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM n),
 each AS (SELECT source, first, unnest(range(len(a))) AS i, unnest(a) AS line FROM f),
 base AS (SELECT source, first + CAST(floor(i / 15) AS INT) + 1 AS page_no, i % 15 AS pos, line FROM each),
 """
@@ -46,8 +47,14 @@ WIDTH, HEIGHT = 600.0, 800.0
 
 
 def layout_lines(documents: DataFrame) -> DataFrame:
-    """(doc_key, page_no, line_no, text, x0, y0, x1, y1, font_size): a source as one file, its documents as pages of 15 lines.
+    """(doc_key, page_no, line_no, text, x0, y0, x1, y1, font_size): a source as one file, its documents (doc_id each its own) as pages of 15 lines.
 
-    Pages are 600 x 800; odd pages have one column, even pages two columns and wide lines.
+    Pages are 600 x 800; odd pages have one column, even pages two columns and wide lines. Only ids and
+    numbers of pages are put in order, in stretches of ids; no text is.
     """
-    return documents.sparkSession.sql(_SPARK_HEAD + _TAIL + "SELECT * FROM layout_lines", documents=documents)
+    source, text = F.coalesce("source", F.lit("")), F.coalesce("text", F.lit(""))
+    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), source.alias("source"), text.alias("text"))
+    sized = rows.select("id", F.col("source").alias("file"), F.floor((F.regexp_count("text", F.lit("\n")) + LINES) / LINES).alias("pages"))
+    firsts = staged(sum_before(sized, "file", "id", "pages", "first", 1 << 16).select("id", "file", F.col("first").cast("int").alias("first")))
+    placed = rows.join(bounded(firsts, 1_000_000), (F.col("source") == F.col("file")) & (rows["id"] == firsts["id"])).select("source", "text", "first")
+    return documents.sparkSession.sql(_SPARK_HEAD + _TAIL + "SELECT * FROM layout_lines", placed=placed)
