@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.decontaminate import bounded
-from folioflow.llm.shared import cut, discard, scratch, stored, text_or_empty
+from folioflow.llm.shared import cut, scratch, space, stored, text_or_empty
 
 #: Words of an anchor: of the anchors in a window, that with the least hash stands for it.
 ANCHOR = 6
@@ -160,7 +160,7 @@ def _occurrences(rows: DataFrame, length: int) -> DataFrame:
 PASSAGE = "key long, piece long, doc_id long, row long, at int, text binary"
 
 
-def _passages(rows: DataFrame, firsts: DataFrame, length: int, broadcast_rows: int) -> DataFrame:
+def _passages(rows: DataFrame, firsts: DataFrame, length: int) -> DataFrame:
     """The text of each of firsts (key, piece, doc_id, row, at, n), words parted by one blank, as rows of PASSAGE."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,9 +173,9 @@ def _passages(rows: DataFrame, firsts: DataFrame, length: int, broadcast_rows: i
                 types = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "piece", "doc_id", "row", "at", "text"])
 
-    few = firsts.limit(broadcast_rows + 1).count() <= broadcast_rows  # places, so that their lists are bounded too
     wanted = firsts.groupBy(F.col("doc_id").alias("of_id"), F.col("row").alias("of_row")).agg(F.collect_list(F.struct("key", "piece", "at", "n")).alias("places"))
-    joined = rows.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("row") == F.col("of_row")))
+    # merged at every size, as lists of places have no bound
+    joined = rows.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("row") == F.col("of_row")))
     return joined.select("doc_id", "row", "text", "places").mapInArrow(of, PASSAGE)
 
 
@@ -293,21 +293,21 @@ def repeated_spans(documents: DataFrame, length: int = 20, most_kinds: int = 256
     that need them rather than to all: all documents against all shards would grow with the square of
     the corpus.
     """
-    rows = documents.select("doc_id", "row", "text")
-    at = scratch(documents.sparkSession, "pieces")
-    pieces = stored(_occurrences(rows, length), "pieces", path=at)
-    counted = stored(pieces.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor"), "anchors")
-    again = stored(pieces.join(bounded(counted, broadcast_rows), "anchor", "left_semi").withColumnRenamed("anchor", "key"), "again")
-    discard(documents.sparkSession, at)  # most of the space, and wanted no more
-    place = F.struct("doc_id", "row", "at")
-    firsts = stored(again.groupBy("key", "piece").agg(F.min(place).alias("first"), F.max("n").alias("n")).select("key", "piece", "first.*", "n"), "firsts")
-    passages = stored(_passages(rows, firsts, length, broadcast_rows // 4), "passages", "zstd")
-    known = stored(resolved(passages, length, most_kinds, shard_words), "known")
+    spark, rows, place = documents.sparkSession, documents.select("doc_id", "row", "text"), F.struct("doc_id", "row", "at")
+    at, to = scratch(spark, "again"), scratch(spark, "known")
+    with space(spark):
+        pieces = stored(_occurrences(rows, length), "pieces")
+        counted = stored(pieces.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor"), "anchors")
+        again = stored(pieces.join(bounded(counted, broadcast_rows), "anchor", "left_semi").withColumnRenamed("anchor", "key"), "again", path=at)
+    with space(spark):
+        firsts = stored(again.groupBy("key", "piece").agg(F.min(place).alias("first"), F.max("n").alias("n")).select("key", "piece", "first.*", "n"), "firsts")
+        passages = stored(_passages(rows, firsts, length), "passages", "zstd")
+        known = stored(resolved(passages, length, most_kinds, shard_words), "known", path=to)
     whole = F.array(F.struct(F.col("at").alias("start"), (F.col("at") + F.col("n") + length - 1).alias("stop")))
     some = F.expr(f"transform(arrays_zip(starts, stops), x -> struct(at + x.starts AS start, at + x.stops - 1 + {length} AS stop))")
     spans = F.when(place > F.col("first"), whole).otherwise(some)
     found = again.join(known, ["key", "piece"]).select("doc_id", "row", spans.alias("spans")).filter(F.size("spans") > 0)
-    return found.groupBy("doc_id", "row").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    return found.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 #: Characters of texts given back at a time, so that a worker's memory doesn't follow the Arrow batch.
