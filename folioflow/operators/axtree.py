@@ -191,6 +191,14 @@ def page_letters(units: DataFrame) -> DataFrame:
     return units.groupBy("doc_key", "page_no").agg(F.sum(tx.latin_letters("text").cast("long")).alias("letters"))
 
 
+def best_snapshots(units: DataFrame, requested: DataFrame) -> DataFrame:
+    """Of units (doc_key, snapshot, page_no, text, …) those of each document's best snapshot: with most letters on requested pages (doc_key, page_no), the first of equals."""
+    on = units.join(requested.select("doc_key", "page_no").distinct(), ["doc_key", "page_no"], "left_semi")
+    scores = on.groupBy("doc_key", "snapshot").agg(F.sum(F.coalesce(tx.latin_letters("text"), F.lit(0)).cast("long")).alias("letters"))
+    best = scores.filter("letters > 0").groupBy("doc_key").agg(F.max(F.struct("letters", (-F.col("snapshot")).alias("first"))).alias("top"))
+    return units.join(best.select("doc_key", (-F.col("top.first")).alias("snapshot")), ["doc_key", "snapshot"])
+
+
 def cached_pages(cache: DataFrame, requested: DataFrame, least: int = LEAST_LETTERS) -> DataFrame:
     """Rows of cache (sha256, page_no, text, …) for requested (doc_key, sha256, page_no), of documents of which every page asked for has letters enough."""
     read = cache.groupBy("sha256", "page_no").agg(F.sum(tx.latin_letters("text")).alias("letters"))

@@ -7,6 +7,8 @@ that fit, the check that nothing is lost, and another try with halves of what fa
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -159,3 +161,9 @@ class SeqModel:
 
     def count_tokens(self, text: str) -> int:
         return len(self.pieces.encode(text))
+
+
+def namespace(backend: str, metadata: dict, precision: str, beam: int | None = None) -> str:
+    """What cache keys of a model begin with: another model, precision or beam is another namespace."""
+    known = json.dumps([backend, metadata, precision, beam], sort_keys=True, ensure_ascii=False)
+    return f"{backend}-{hashlib.sha256(known.encode()).hexdigest()[:16]}"

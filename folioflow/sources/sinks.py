@@ -21,3 +21,9 @@ def write_run(rows: DataFrame, pages: DataFrame, target: str, path: str) -> None
     report.reviews(rows).write.mode("overwrite").parquet(f"{path}/reviews")
     report.pending(rows).select("doc_key", "page_no", "unit_no", "state", "error").write.mode("overwrite").parquet(f"{path}/pending")
     report.report_json(pages, rows).select(F.to_json(F.struct("doc_key", "report")).alias("value")).write.mode("overwrite").text(f"{path}/reports")
+
+
+def add_to_ocr_cache(units: DataFrame, cache: DataFrame | None, path: str) -> None:
+    """Append units (sha256, page_no, nth, text) of documents that cache doesn't have to the Parquet cache at path; written whole or not at all by Spark's commit."""
+    new = units if cache is None else units.join(cache.select("sha256").distinct(), "sha256", "left_anti")
+    new.select("sha256", "page_no", "nth", "text").write.mode("append").parquet(path)
