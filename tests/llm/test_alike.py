@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -66,3 +67,37 @@ def test_long_runs_are_compared_whole(spark, copies, monkeypatch):
     found = [r["doc_id"] for r in alike.keep_one_alike(docs).collect()]
     assert sorted(k for k in found if k is not None) == first_ones(rows)
     assert found.count(None) == 2
+
+
+def test_counts_bound_what_sets_share():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 62, 400).tolist()
+    sets = [set(base[: 400 - 9 * k]) | set(rng.integers(0, 1 << 62, 9 * k).tolist()) for k in range(9)] + [{512 * k for k in range(300)}, {512 * k for k in range(100, 400)}]
+    counts = np.array([np.minimum(np.bincount(np.array(list(x)) % alike.COUNTS, minlength=alike.COUNTS), alike.FULL) for x in sets], np.uint8)
+    i, j = np.triu_indices(len(sets), 1)
+    most = alike._most_common(counts[i], counts[j])
+    assert all(m >= len(sets[x] & sets[y]) for m, x, y in zip(most.tolist(), i.tolist(), j.tolist(), strict=True))
+    assert most[-1] == np.inf
+
+
+def test_copies_changed_each_in_its_own_way_give_few_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    middle, rows = [f"m{k}" for k in range(150)], []
+    for k in range(300):
+        text = [*middle]
+        for n, at in enumerate(rng.sample(range(150), 2 if k < 20 else rng.randint(6, 8))):
+            text[at] = f"own{k}x{n}"
+        rows.append((k, " ".join(text)))
+    whole = []
+    real = alike.candidates
+
+    def seen(runs, least, all_of_them):
+        out = real(runs, least, all_of_them)
+        if all_of_them:
+            whole.append(out.count())
+        return out
+
+    monkeypatch.setattr(alike, "candidates", seen)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in alike.keep_one_alike(docs).collect()) == first_ones(rows)
+    assert whole and whole[0] < 10 * len(rows)
