@@ -239,7 +239,8 @@ def keep_one(documents: DataFrame, width: int, most_bits: int) -> DataFrame:
 def first_of_each(documents: DataFrame, rows: DataFrame, named: DataFrame) -> DataFrame:
     """keep_one's row of each component, from rows (doc_id, row, fp) and named (fp, root)."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")
-    kept = rows.join(named.select("fp", "root"), "fp").groupBy("root").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.row").alias("kept_row"))
-    whole = documents.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("doc_id", "text").alias("row"))
-    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("row") == F.col("kept_row"))
-    return whole.join(kept, same, "left_semi").dropDuplicates(["id", "row"]).select("doc.*")
+    kept = rows.join(named.select("fp", "root"), "fp").groupBy("root").agg(first).select("first.last", F.coalesce("first.doc_id", F.lit(0).cast("long")).alias("id"), "first.row")
+    id_ = F.col("doc_id").cast("long")
+    whole = documents.select(F.struct("*").alias("doc"), id_.isNull().alias("last"), F.coalesce(id_, F.lit(0).cast("long")).alias("id"), F.xxhash64("doc_id", "text").alias("row"))
+    # equal rows are where the join has put them, so texts are shuffled once
+    return whole.join(kept, ["last", "id", "row"], "left_semi").dropDuplicates(["last", "id", "row"]).select("doc.*")
