@@ -9,29 +9,30 @@ from folioflow.llm.shared import cut
 
 
 def connected(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(node, root) of every node of edges (a, b) that isn't its own root; root: the component's smallest node.
+    """(node, root) of every node of edges (a, b) that isn't its own root, its lineage cut; root: the component's smallest node.
 
     Each round links every node's larger neighbours to its smallest one, then its smaller neighbours;
-    the number of rounds grows with the logarithm of the longest path. Edges may repeat or be loops.
+    the number of rounds grows with the logarithm of the longest path. It ends when each node has one
+    link, to a node without any. Edges may repeat or be loops.
     """
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = _state(now)
     for _ in range(most_rounds):
-        if seen[0] == 0:
+        if _stars(now):
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = cut(large)
+        least = _ends(now).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("m"))
+        large = cut(now.join(least, "b").select("a", F.col("m").alias("b")))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        new = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
-        state = _state(new)
-        if state == seen:
-            return new.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        now, seen = new, state
+        small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+        now = cut(small.filter("a <> b").distinct())
     raise RuntimeError(f"no end after {most_rounds} rounds")
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
+def _ends(edges: DataFrame) -> DataFrame:
+    """edges (a, b) in both directions."""
+    return edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether no node of edges (a, b), a > b, has two smaller neighbours or a smaller and a larger one."""
+    ends = _ends(edges).groupBy("a").agg(F.count_if(F.col("b") < F.col("a")).alias("down"), F.count("*").alias("n"))
+    return ends.filter("down > 0 and n > 1").isEmpty()

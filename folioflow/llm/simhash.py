@@ -212,7 +212,7 @@ def groups(documents: DataFrame, width: int, most_bits: int) -> tuple[DataFrame,
     rows = cut(fingerprints(documents, width))
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected(links(nodes.select("fp"), most_bits))
-    named = nodes.join(bounded(cut(roots), 200_000), nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = nodes.join(bounded(roots, 200_000), nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     return rows, cut(named)
 
 
