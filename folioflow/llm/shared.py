@@ -83,7 +83,8 @@ def write_bytes(rows: DataFrame, column: str, path: str, rows_per_file: int = 0)
 
 def read_bytes(spark: SparkSession, path: str) -> DataFrame:
     """(file, content) of each byte file; file is (part, piece), in the order of writing."""
-    number = lambda k: F.regexp_extract("path", r"part-(\d+)-.*?-c(\d+)", k).cast("long")
+    # anchored at the name's end, as the random part between the two numbers may hold -c and a digit
+    number = lambda k: F.regexp_extract("path", r"/part-(\d+)-[^/]*-c(\d+)(?:\.[^/]*)?$", k).cast("long")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return files.select(F.struct(number(1).alias("part"), number(2).alias("piece")).alias("file"), "content")
 
