@@ -17,19 +17,36 @@ from folioflow.llm.shared import cut, scratch, space, stored, text_or_empty
 #: Words of an anchor: of the anchors in a window, that with the least hash stands for it.
 ANCHOR = 6
 _ODD = 0x9E3779B97F4A7C15
-_BYTES = np.random.default_rng(3).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
-_BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
-_powers = {1: np.ones(1, np.uint64), -1: np.ones(1, np.uint64)}
+#: Runs of words are hashed twice, as sums of powers of a base modulo a prime: a home-made sum modulo 2 ** 64 has collisions whatever the base.
+_PRIME = (1 << 61) - 1
+_BASES = tuple(int(x) % _PRIME for x in np.random.default_rng(3).integers(1 << 40, _PRIME, 2, np.uint64))
+_LOW61, _LOW31, _LOW30 = np.uint64(_PRIME), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_30, _31, _61 = np.uint64(30), np.uint64(31), np.uint64(61)
+_powers: dict[int, np.ndarray] = {}
+#: Longest word, in bytes, whose hash is kept, and most words that are.
+KEPT_BYTES, KEPT_WORDS = 32, 500_000
 
 
-def _power(n: int, sign: int) -> np.ndarray:
-    """The first n powers of the odd base, or of its inverse, modulo 2 ** 64."""
-    if len(_powers[sign]) < n:
-        base = _ODD if sign > 0 else pow(_ODD, -1, 1 << 64)
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        _powers[sign] = np.multiply.accumulate(steps)
-    return _powers[sign][:n]
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime."""
+    x = (x >> _61) + (x & _LOW61)
+    return np.where(x >= _LOW61, x - _LOW61, x)
+
+
+def _times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x * y modulo the prime, both below it, by halves that fit 64 bits."""
+    high_x, low_x, high_y, low_y = x >> _31, x & _LOW31, y >> _31, y & _LOW31
+    middle = low_x * high_y + high_x * low_y
+    return _reduced(((high_x * high_y) << np.uint64(1)) + (middle >> _30) + ((middle & _LOW30) << _31) + low_x * low_y)
+
+
+def _power(n: int, base: int) -> np.ndarray:
+    """The first n powers of a base modulo the prime."""
+    known = _powers.get(base, np.ones(1, np.uint64))
+    while len(known) < n:
+        known = np.concatenate([known, _times(known, np.full(len(known), pow(base, len(known), _PRIME), np.uint64))])
+    _powers[base] = known
+    return known[:n]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -38,27 +55,50 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+class _Digests(dict):
+    """Word -> its 128-bit XXH3, short words kept."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        import xxhash
+
+        found = xxhash.xxh3_128_digest(word)
+        if len(word) <= KEPT_BYTES:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = found
+        return found
+
+
+_digests = _Digests()
+
+
 class Words:
-    """Hashes of a text's words and of any run of them, by differences of running sums."""
+    """Two independent hashes of any run of a text's words, by differences of running sums of the words' XXH3."""
 
     def __init__(self, text: bytes) -> None:
-        data = np.frombuffer(text, np.uint8)
-        blank = np.concatenate([[True], _BLANK[data], [True]])
-        edges = np.flatnonzero(blank[1:] != blank[:-1])
-        starts, stops = edges[::2], edges[1::2]
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[data] * _power(len(data), 1), dtype=np.uint64)])
-        self.hashes = _mixed((sums[stops] - sums[starts]) * _power(len(data) + 1, -1)[starts] + (stops - starts).astype(np.uint64))
-        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(self.hashes * _power(len(starts), 1), dtype=np.uint64)])
-
-    def runs(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return _mixed((self.sums[stop] - self.sums[start]) * _power(len(self.sums), -1)[start] + (stop - start).astype(np.uint64))
+        each = np.frombuffer(b"".join(map(_digests.__getitem__, text.split())), "<u8").reshape(-1, 2)
+        self.n = len(each)
+        self.sums = []
+        for k, base in enumerate(_BASES):
+            terms = _times(_reduced(each[:, k]), _power(self.n, base))
+            low, high = np.cumsum(terms & _LOW31, dtype=np.uint64), np.cumsum(terms >> _31, dtype=np.uint64)
+            high = _reduced(high)
+            self.sums.append(np.concatenate([[np.uint64(0)], _reduced(_reduced(low) + (((high & _LOW30) << _31) | (high >> _30)))]))
+
+    def runs(self, start: np.ndarray, stop: np.ndarray, which: int = 0) -> np.ndarray:
+        back = _power(self.n + 1, pow(_BASES[which], -1, _PRIME))[start]
+        return _mixed(_times(_reduced(self.sums[which][stop] + (_LOW61 - self.sums[which][start])), back) + (stop - start).astype(np.uint64))
+
+    def pair(self, start: np.ndarray, stop: np.ndarray) -> pa.StructArray:
+        """Both hashes of each run: what tells pieces apart."""
+        return pa.StructArray.from_arrays([pa.array(self.runs(start, stop, k).view(np.int64)) for k in (0, 1)], ["a", "b"])
 
     def pieces(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Anchor's hash, first window and number of windows of each run of windows that share an anchor; the first of equal anchors counts."""
-        n = len(self.hashes) - length + 1
+        n = self.n - length + 1
         if n < 1:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        anchors = np.arange(len(self.hashes) - ANCHOR + 1)
+        anchors = np.arange(self.n - ANCHOR + 1)
         grams = self.runs(anchors, anchors + ANCHOR)
         least = np.lib.stride_tricks.sliding_window_view(grams, length - ANCHOR + 1).argmin(axis=1) + np.arange(n)
         first = np.flatnonzero(np.diff(least, prepend=-1))
@@ -135,8 +175,12 @@ class _Ids(dict):
         return n
 
 
+#: Both hashes of a run of words.
+PIECE = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+
+
 def _occurrences(rows: DataFrame, length: int) -> DataFrame:
-    """(anchor, piece, doc_id, row, at, n) of every document: runs of n windows from word at on; piece: the hash of all of its words."""
+    """(anchor, piece, doc_id, row, at, n) of every document: runs of n windows from word at on; piece: two hashes of all of its words."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,19 +189,20 @@ def _occurrences(rows: DataFrame, length: int) -> DataFrame:
                 words = Words(text.encode())
                 anchor, at, n = words.pieces(length)
                 anchors.append(anchor)
-                hashes.append(words.runs(at, at + n + length - 1) if len(at) else anchor)
+                hashes.append(words.pair(at, at + n + length - 1))
                 places.append(at)
                 sizes.append(n)
                 counts.append(len(at))
             each = pa.array(np.repeat(np.arange(batch.num_rows), counts))
-            columns = [pa.array(np.concatenate([*x, np.zeros(0, t)]).astype(t)) for x, t in ((anchors, np.uint64), (hashes, np.uint64), (places, np.int32), (sizes, np.int32))]
-            columns = [columns[0].view(pa.int64()), columns[1].view(pa.int64()), batch.column(0).take(each), batch.column(1).take(each), *columns[2:]]
+            columns = [pa.array(np.concatenate([*x, np.zeros(0, t)]).astype(t)) for x, t in ((anchors, np.uint64), (places, np.int32), (sizes, np.int32))]
+            whole = pa.chunked_array(hashes, PIECE).combine_chunks()
+            columns = [columns[0].view(pa.int64()), whole, batch.column(0).take(each), batch.column(1).take(each), *columns[1:]]
             yield pa.RecordBatch.from_arrays(columns, ["anchor", "piece", "doc_id", "row", "at", "n"])
 
-    return rows.mapInArrow(of, "anchor long, piece long, doc_id long, row long, at int, n int")
+    return rows.mapInArrow(of, "anchor long, piece struct<a: long, b: long>, doc_id long, row long, at int, n int")
 
 
-PASSAGE = "key long, piece long, doc_id long, row long, at int, text binary"
+PASSAGE = "key long, piece struct<a: long, b: long>, doc_id long, row long, at int, text binary"
 
 
 def _passages(rows: DataFrame, firsts: DataFrame, length: int) -> DataFrame:
@@ -170,7 +215,7 @@ def _passages(rows: DataFrame, firsts: DataFrame, length: int) -> DataFrame:
                 places = batch.column(3)[k].as_py()
                 texts = [b" ".join(words[p["at"] : p["at"] + p["n"] + length - 1]) for p in places]
                 columns = [[p["key"] for p in places], [p["piece"] for p in places], [doc_id] * len(places), [row] * len(places), [p["at"] for p in places], texts]
-                types = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
+                types = [pa.int64(), PIECE, pa.int64(), pa.int64(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "piece", "doc_id", "row", "at", "text"])
 
     wanted = firsts.groupBy(F.col("doc_id").alias("of_id"), F.col("row").alias("of_row")).agg(F.collect_list(F.struct("key", "piece", "at", "n")).alias("places"))
@@ -190,7 +235,7 @@ def _finer(passages: DataFrame, length: int) -> DataFrame:
             found = []
             for text in batch.column(5).to_pylist():
                 words = Words(text)
-                at = np.arange(len(words.hashes) - ANCHOR + 1)
+                at = np.arange(words.n - ANCHOR + 1)
                 found.append(words.runs(at, at + ANCHOR).view(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], [*batch.schema.names, "grams"])
 
@@ -204,7 +249,7 @@ def _finer(passages: DataFrame, length: int) -> DataFrame:
             out = []
             for r in batch.to_pylist():
                 words = Words(r["text"])
-                n, grams = len(words.hashes) - length + 1, np.array(r["grams"], np.int64).view(np.uint64)
+                n, grams = words.n - length + 1, np.array(r["grams"], np.int64).view(np.uint64)
                 order = np.lexsort([np.arange(len(grams)), grams, np.array(r["counts"])])
                 rank = np.empty(len(order), np.int64)
                 rank[order] = np.arange(len(order))
@@ -213,16 +258,16 @@ def _finer(passages: DataFrame, length: int) -> DataFrame:
                 stop = np.append(first[1:], n)
                 tokens = r["text"].split(b" ")
                 keys = _mixed(grams[least[first]] ^ np.array(r["key"], np.int64).view(np.uint64) * np.uint64(_ODD)).view(np.int64)
-                whole = words.runs(first, stop + length - 1).view(np.int64)
+                whole = words.pair(first, stop + length - 1).to_pylist()
                 out += [
                     (r["key"], r["piece"], a, key, piece, r["doc_id"], r["row"], r["at"] + a, b" ".join(tokens[a : b + length - 1]))
-                    for a, b, key, piece in zip(first.tolist(), stop.tolist(), keys.tolist(), whole.tolist(), strict=True)
+                    for a, b, key, piece in zip(first.tolist(), stop.tolist(), keys.tolist(), whole, strict=True)
                 ]
-            types = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.int32(), pa.binary()]
+            types = [pa.int64(), PIECE, pa.int32(), pa.int64(), PIECE, pa.int64(), pa.int64(), pa.int32(), pa.binary()]
             names = ["up_key", "up_piece", "off", "key", "piece", "doc_id", "row", "at", "text"]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names)
 
-    return of.join(listed, ["key", "piece"]).mapInArrow(parts, f"up_key long, up_piece long, off int, {PASSAGE}")
+    return of.join(listed, ["key", "piece"]).mapInArrow(parts, f"up_key long, up_piece struct<a: long, b: long>, off int, {PASSAGE}")
 
 
 def _automata(passages: DataFrame, length: int, shard_words: int) -> DataFrame:
@@ -254,7 +299,7 @@ def _automata(passages: DataFrame, length: int, shard_words: int) -> DataFrame:
             first = pa.StructArray.from_arrays([kept.column(2), kept.column(3), kept.column(4)], ["doc_id", "row", "at"])
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), first, pa.array(starts, pa.list_(pa.int32())), pa.array(stops, pa.list_(pa.int32()))], ["key", "piece", "first", "starts", "stops"])
 
-    return rows.mapInArrow(of, "key long, piece long, first struct<doc_id: long, row: long, at: int>, starts array<int>, stops array<int>")
+    return rows.mapInArrow(of, "key long, piece struct<a: long, b: long>, first struct<doc_id: long, row: long, at: int>, starts array<int>, stops array<int>")
 
 
 def resolved(passages: DataFrame, length: int, most_kinds: int, shard_words: int, hot_before: int | None = None) -> DataFrame:
