@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioflow.llm.shared import cut
 
 
-def connected(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (a, b) that isn't its own root, its lineage cut; root: the component's smallest node.
 
     Each round links every node's larger neighbours to its smallest one, then its smaller neighbours;
@@ -16,15 +16,13 @@ def connected(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     link, to a node without any. Edges may repeat or be loops.
     """
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(most_rounds):
-        if _stars(now):
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    while not _stars(now):
         least = _ends(now).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("m"))
         large = cut(now.join(least, "b").select("a", F.col("m").alias("b")))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
         now = cut(small.filter("a <> b").distinct())
-    raise RuntimeError(f"no end after {most_rounds} rounds")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def _ends(edges: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,27 +34,26 @@ def ruled(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Col
     return rule, verdict
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float, least_change: float = 1e-7, most_rounds: int = 5_000) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float, least_change: float = 1e-7) -> DataFrame:
     """(kind, host, score): personalised PageRank, for each kind by itself, from seeds (kind, host, seed; sum 1) over edges (kind, source, target, share).
 
     What hosts without links hold goes back to the seeds, which makes scores those of walks that end
     there, brought to a sum of 1; so a round only moves what came in the round before. Rounds end when
     no host's score grew by more than least_change of itself, so all hosts that any links reach are
-    reached and small scores are as exact as large ones. After most_rounds there is an error instead.
+    reached and small scores are as exact as large ones. This ends by itself: what moves shrinks by
+    damping each round.
     """
     scores = cut(seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("score"), ((1 - damping) * F.col("seed")).alias("new")))
     if not edges.isEmpty():
         sources = edges.select(F.col("kind").alias("of"), "source", "target", "share")
-        for k in range(1, most_rounds + 1):
+        for k in count(1):
             here = scores.filter("new > 0").select("kind", "host", "new")
             moved = sources.join(here, (F.col("of") == F.col("kind")) & (F.col("source") == F.col("host")))
             moved = moved.select("kind", F.col("target").alias("host"), (damping * F.col("new") * F.col("share")).alias("new"))
             both = scores.select("kind", "host", "score", F.lit(0.0).alias("new")).unionByName(moved.select("kind", "host", F.col("new").alias("score"), "new"))
             scores = cut(both.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("new").alias("new")))
-            if (k % 4 == 0 or k == most_rounds) and scores.filter(F.col("new") > least_change * F.col("score")).isEmpty():
+            if k % 4 == 0 and scores.filter(F.col("new") > least_change * F.col("score")).isEmpty():
                 break
-        else:
-            raise RuntimeError(f"scores still change after {most_rounds} rounds")
     sums = scores.groupBy("kind").agg(F.sum("score").alias("all"))
     return scores.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("score") / F.col("all")).alias("score"))
 

@@ -160,6 +160,43 @@ def test_a_line_in_many_contexts(spark, monkeypatch):
     assert len(found) == 5 and all(r[2] > 0 for r in found if r[0] is not None)
 
 
+def thue_morse(n):
+    return [bin(k).count("1") % 2 for k in range(n)]
+
+
+def test_sequences_that_collide_in_sums_modulo_two_to_the_64(spark):
+    """Letters, and words, in the Thue-Morse order and in its complement: sums of powers modulo 2 ** 64 are equal whatever the base."""
+    order = thue_morse(1024)
+    one, other = ("".join("ab"[x ^ y] for x in order) for y in (0, 1))
+    words = [f"w{k}" for k in range(30)]
+    texts = [[one if k == 10 else w for k, w in enumerate(words)], [other if k == 10 else w for k, w in enumerate(words)]]
+    order = thue_morse(2048)
+    texts += [[["red", "blue"][x ^ y] for x in order] for y in (0, 1)]
+    texts += [["y" * 100_000, *words], ["y" * 99_999 + "z", *words], ["y" * 100_000, *words]]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expected = brute_substrings(rows)
+    assert as_rows(substrings.digests(df), "doc_id", "n_words", "n_removed", "kept_sha256") == expected
+    assert [r[2] for r in expected[:2]] == [0, 0]
+
+
+def test_hashes_of_runs():
+    rng = random.Random(5)
+    text = [rng.choice("abc") for _ in range(400)]
+    words = substrings.Words(" ".join(text).encode())
+    start = np.array([rng.randrange(380) for _ in range(3000)])
+    stop = start + np.array([rng.randrange(1, 12) for _ in range(3000)])
+    for which in (0, 1):
+        by = defaultdict(set)
+        for a, b, h in zip(start.tolist(), stop.tolist(), words.runs(start, stop, which).tolist()):
+            by[h].add(tuple(text[a:b]))
+        assert all(len(v) == 1 for v in by.values())
+        assert len(by) == len({tuple(text[a:b]) for a, b in zip(start.tolist(), stop.tolist())})
+    x, y = (np.array([rng.randrange(substrings._PRIME) for _ in range(500)], np.uint64) for _ in range(2))
+    assert substrings._times(x, y).tolist() == [a * b % substrings._PRIME for a, b in zip(x.tolist(), y.tolist())]
+    assert substrings._power(300, 12345).tolist() == [pow(12345, k, substrings._PRIME) for k in range(300)]
+
+
 def test_substrings_all_of_a_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
@@ -387,12 +424,29 @@ def test_bit_packing(spark, tmp_path, documents):
     read = tokenbin.read_token_ids(spark, str(tmp_path / "t")).orderBy("file", "nth").collect()
     for file in Path(tmp_path / "t").glob("part-*"):
         tokens = tokenbin.TokenFile(memoryview(file.read_bytes()))
-        part, piece = map(int, re.search(r"part-(\d+)-.*-c(\d+)", file.name).groups())
+        part, piece = map(int, re.search(r"part-(\d+)-.*-c(\d+)(?:\.[^/]*)?$", file.name).groups())
         flat = [x for r in read if (r["file"]["part"], r["file"]["piece"]) == (part, piece) for x in r["ids"]]
         assert tokens.ids(0, len(flat)).tolist() == flat
         assert tokens.ids(17, 130).tolist() == flat[17:130]
 
 
+def test_files_are_numbered_by_the_end_of_their_names(spark, tmp_path, documents):
+    """Spark's random part of a file's name may itself hold -c and a digit."""
+    at = tmp_path / "t"
+    tokenbin.write_token_ids(documents.repartition(2), str(at), public_tokenizers.path("word_bpe_49k.json"), 49_408, 2, ids_per_block=20, blocks_per_file=1)
+    names = {f: f.with_name(re.sub(r"-[0-9a-f-]{36}-", "-0a1b2c3d-c512-4e5f-8a9b-c0d1e2f3a4b5-", f.name)) for f in at.glob("part-*")}
+    assert len({(re.match(r"part-(\d+)", f.name)[0]) for f in names}) < len(names) and all(f.name != to.name for f, to in names.items())
+    before = as_rows(tokenbin.positions(tokenbin.read_token_ids(spark, str(at))), "doc_id", "start", "n_tokens")
+    for f, to in names.items():
+        f.rename(to)
+    for crc in at.glob(".*.crc"):
+        crc.unlink()
+    after = as_rows(tokenbin.positions(tokenbin.read_token_ids(spark, str(at))), "doc_id", "start", "n_tokens")
+    assert before == after
+    flat = sorted(after, key=lambda r: r[1])
+    assert [r[1] for r in flat] == [sum(x[2] for x in flat[:k]) for k in range(len(flat))]
+
+
 def test_ids_of_any_value_and_repeats(spark, tmp_path):
     """The least long, nulls and repeated doc_ids, an empty table, long pieces."""
     path = public_tokenizers.path("word_bpe_49k.json")
