@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.shared import scratch, table
+from folioflow.llm.shared import scratch, stored, table
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +88,16 @@ def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each rebuilt on the first turns of the one whose conv_id is the next lower multiple of five."""
+    from folioflow.llm.trie import numbered, prefix_trie, rebuilt, sequences
+
+    turns = stored(numbered(table(spark, sf_dir, "conversations")), "turns")
+    id_ = F.col("conv_id")
+    n_first = F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(9)).cast("int")
+    return prefix_trie(sequences(rebuilt(turns, id_ - id_ % 5, n_first, 8)))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of the rows of embeddings whose vec_id is divisible by 100; every seventh vec_id has its label moved on by one."""
     from folioflow.llm.vantage import hard_negatives
@@ -108,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_ids": op9_token_ids,
     "op10_simhash": op10_simhash,
     "op11_top_k": op11_top_k,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -115,6 +126,9 @@ _BASE32 = """array_to_string(list_transform(range(0, 32), lambda i: substr('ABCD
   1 + 16 * CAST(substr(bits, CAST(5 * i + 1 AS BIGINT), 1) AS INT) + 8 * CAST(substr(bits, CAST(5 * i + 2 AS BIGINT), 1) AS INT) + 4 * CAST(substr(bits, CAST(5 * i + 3 AS BIGINT), 1) AS INT)
   + 2 * CAST(substr(bits, CAST(5 * i + 4 AS BIGINT), 1) AS INT) + CAST(substr(bits, CAST(5 * i + 5 AS BIGINT), 1) AS INT), 1)), '')"""
 
+#: CRC-32 of a decimal number, a bit at a time.
+_CRC32 = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda crc, b: list_reduce(list_prepend(xor(crc, b), [CAST(0 AS BIGINT) FOR i IN range(8)]), lambda x, z: xor(x // 2, (x % 2) * 3988292384))), 4294967295)"""
 _VALID = "vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
 ORACLE: dict[str, str] = {
@@ -157,6 +171,21 @@ WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM e q JOIN e c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op12_prefix_trie": f"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(concat(strlen(role), ':', role, text))) AS place, concat(strlen(role), ':', strlen(text), ':', role, text) AS turn, strlen(text) AS bytes FROM r),
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS base, {_CRC32} % 9 AS h FROM r),
+b AS (SELECT c.conv_id, t.place, t.turn, t.bytes FROM c JOIN t ON t.conv_id = c.base AND t.place <= c.h UNION ALL SELECT t.conv_id, t.place, t.turn, t.bytes FROM t JOIN c USING (conv_id) WHERE t.place > c.h),
+n AS (SELECT conv_id, row_number() OVER w AS depth, sha256(string_agg(turn, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS name, bytes FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY place)),
+m AS (SELECT conv_id, depth, name, bytes, lag(name, 1, '') OVER (PARTITION BY conv_id ORDER BY depth) AS parent, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM n
+  UNION ALL SELECT conv_id, 0, '', 0, NULL, conv_id NOT IN (SELECT conv_id FROM n) FROM c),
+v AS (SELECT name, any_value(parent) AS parent, any_value(depth) AS depth, any_value(bytes) AS bytes, min(conv_id) AS conv_id, count(*) AS n_convs,
+  coalesce(sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends)), sha256('')) AS ends_sha256 FROM m GROUP BY name),
+k AS (SELECT parent AS name, count(*) AS n_children FROM v GROUP BY parent),
+up AS (SELECT DISTINCT a.name AS top, d.name FROM m a JOIN m d ON a.conv_id = d.conv_id AND a.depth <= d.depth),
+s AS (SELECT top AS name, count(*) FILTER (k.name IS NULL) AS n_leaves, CAST(sum((n_convs - 1) * bytes) AS BIGINT) AS saved_tokens FROM up JOIN v ON v.name = up.name LEFT JOIN k ON k.name = up.name GROUP BY top)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, v.ends_sha256
+FROM v JOIN s USING (name) LEFT JOIN k USING (name) LEFT JOIN v p ON p.name = v.parent""",
     "op13_hard_negatives": f"""
 WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE {_VALID} AND label IS NOT NULL),
 s AS (SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score FROM e a JOIN e c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
