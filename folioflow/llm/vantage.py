@@ -22,8 +22,8 @@ ANCHORS, TREES = 256, 4
 class Tree:
     """A vantage-point tree of vectors, each made as long as the longest by one more component, so that a query's nearest rows are those with the highest inner products.
 
-    With M the longest norm, |q|^2 + M^2 - 2 q.x is the squared distance of q, whose added component is zero,
-    to x. Rows are held in the order of the tree: a node is a stretch of rows, its first one the vantage
+    With M the longest norm and q made as long, 2 M^2 - 2 q.x is the squared distance of q, whose added component
+    is zero, to x. Rows are held in the order of the tree: a node is a stretch of rows, its first one the vantage
     point, the nearer half of the others the first child and the farther half the second.
     """
 
@@ -99,16 +99,17 @@ class Asked:
         self.tree, self.vector = tree, np.pad(vector[:width], (0, max(0, width - len(vector)))).astype(np.float64)
         self.known: dict[int, np.ndarray] = {}
         own = float((vector.astype(np.float64) ** 2).sum())  # with components beyond the tree's
-        square = own + tree.longest
         self.as_floats = own * tree.longest < 2.0**104  # then no sum of products leaves the whole numbers that a float holds
-        vantage = np.array(tree.first)
-        away = np.sqrt(np.maximum(square - 2 * (tree.comps[vantage] @ self.vector), 0))
-        ranges, slack = tree.ranges, 1e-9 * square + 1e-6
+        # a query as long as the rows has the same order of them, and distances that tell most
+        square, scale = 2 * tree.longest, (tree.longest / own) ** 0.5 if own and tree.longest else 1.0
+        vantage = np.array(tree.first, np.int64)
+        away = np.sqrt(np.maximum(square - 2 * scale * (tree.comps[vantage] @ self.vector), 0))
+        ranges, slack = np.reshape(tree.ranges, (-1, 4)), 1e-7 * square + 1e-6
         nearest = np.maximum(np.maximum(away[:, None] - ranges[:, 1::2], ranges[:, ::2] - away[:, None]), 0)
         farthest = away[:, None] + ranges[:, 1::2]
         #: Of both children of each node, scores that none of its rows is above, and below.
-        self.high = (square - nearest**2) / 2 + slack
-        self.low = (square - farthest**2) / 2 - slack
+        self.high = (square - nearest**2 + slack) / (2 * scale)
+        self.low = (square - farthest**2 - slack) / (2 * scale)
 
     def scores(self, node: int) -> np.ndarray:
         """Exact scores of a leaf's rows, or of a node's vantage point."""
