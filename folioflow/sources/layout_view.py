@@ -50,11 +50,23 @@ def layout_lines(documents: DataFrame) -> DataFrame:
     """(doc_key, page_no, line_no, text, x0, y0, x1, y1, font_size): a source as one file, its documents (doc_id each its own) as pages of 15 lines.
 
     Pages are 600 x 800; odd pages have one column, even pages two columns and wide lines. Only ids and
-    numbers of pages are put in order, in stretches of ids; no text is.
+    numbers of pages are put in order, in stretches of ids; no text is. Rows without a doc_id come first,
+    rows that share one stand by a hash of doc_id and text; rows that are equal in both follow each other.
     """
     source, text = F.coalesce("source", F.lit("")), F.coalesce("text", F.lit(""))
-    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), source.alias("source"), text.alias("text"))
-    sized = rows.select("id", F.col("source").alias("file"), F.floor((F.regexp_count("text", F.lit("\n")) + LINES) / LINES).alias("pages"))
-    firsts = staged(sum_before(sized, "file", "id", "pages", "first", 1 << 16).select("id", "file", F.col("first").cast("int").alias("first")))
-    placed = rows.join(bounded(firsts, 1_000_000), (F.col("source") == F.col("file")) & (rows["id"] == firsts["id"])).select("source", "text", "first")
+    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64("doc_id", "text").alias("row"), source.alias("source"), text.alias("text"))
+    pages = F.floor((F.regexp_count("text", F.lit("\n")) + LINES) / LINES)
+    sized = staged(rows.groupBy(F.col("source").alias("file"), "id", "row").agg(F.count("*").alias("copies"), F.first(pages).alias("pages")).withColumn("all", F.col("pages") * F.col("copies")))
+    ids = sum_before(sized.groupBy("file", "id").agg(F.sum("all").alias("of_id")), "file", "id", "of_id", "first", 1 << 16)
+    # of rows that share an id, those with the smaller hash come first, whatever their number
+    within = sum_before(sized.withColumn("file_id", F.struct("file", "id")), "file_id", "row", "all", "in_id", 1 << 48)
+    within = within.join(ids.withColumnsRenamed({"file": "of_file", "id": "at_id"}), (F.col("file") == F.col("of_file")) & (F.col("id") == F.col("at_id")))
+    firsts = staged(within.select(F.col("id").alias("at_id"), "file", F.col("row").alias("at_row"), (F.col("first") + F.col("in_id")).cast("int").alias("first"), "copies", "pages"))
+    here = (F.col("source") == F.col("file")) & (F.col("id") == F.col("at_id")) & (F.col("row") == F.col("at_row"))
+    placed = rows.join(bounded(firsts.filter("copies = 1"), 1_000_000), here).select("source", "text", "first")
+    repeated = firsts.filter("copies > 1")
+    if not repeated.isEmpty():
+        once = rows.join(bounded(repeated, 200_000), here).groupBy("source", "id", "row").agg(*[F.first(c).alias(c) for c in ("text", "first", "copies", "pages")])
+        places = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), lambda k: (F.col("first") + k * F.col("pages")).cast("int")))
+        placed = placed.unionByName(once.select("source", "text", places.alias("first")))
     return documents.sparkSession.sql(_SPARK_HEAD + _TAIL + "SELECT * FROM layout_lines", placed=placed)
