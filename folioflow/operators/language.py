@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from folioflow.config import model_language
 from folioflow.functions import language as lg
+from folioflow.functions import text as tx
+from folioflow.operators import ngrams
 from folioflow.operators.running import sum_before
 
 #: Of each page of a sample so many characters, and pages until so many are together.
@@ -29,13 +31,15 @@ def first_pages(pages: DataFrame, first: int = 1, count: int = 4, chars: int = 5
     return rows.groupBy("doc_key").agg(F.array_join(F.transform(listed, lambda x: x["text"]), "\n").alias("sample"))
 
 
-def dominant_language(pages: DataFrame, codes: list[str], target: str, scores: lg.Scores = lg.word_scores) -> DataFrame:
-    """(doc_key, dominant, score): the language that pages (doc_key, page_no, text) have in sum.
+def dominant_language(pages: DataFrame, codes: list[str], target: str, scores: lg.Scores = lg.word_scores, model: ngrams.LanguageModel | None = None) -> DataFrame:
+    """(doc_key, dominant, score): the language that pages (doc_key, page_no, text) have in sum, by a model of its codes or else by scores.
 
     Scores of a document are the means of its pages' scores, weighted by their length, so a sample is
     never one text. Documents with under 30 letters have the first language that isn't the target.
     """
     rows = sample_pages(pages).withColumns({"size": F.length("excerpt"), "letters": lg.letters("excerpt")})
+    if model is not None:
+        codes, scores, rows = model.codes, ngrams.given(), ngrams.scored(rows, "excerpt", model)
     each = rows.select("doc_key", "size", "letters", F.posexplode(scores(F.col("excerpt"), codes)).alias("nth", "s"))
     sums = each.groupBy("doc_key", "nth", F.col("s.code").alias("code")).agg(F.sum(F.col("s.score") * F.col("size")).alias("points"), F.sum("size").alias("size"), F.sum("letters").alias("letters"))
     top = F.max(F.struct(F.round(F.col("points") / F.col("size"), 9).alias("score"), (-F.col("nth")).alias("first"), F.col("code"), F.col("letters")))
@@ -46,11 +50,13 @@ def dominant_language(pages: DataFrame, codes: list[str], target: str, scores: l
     return found.select("doc_key", F.when(few, other).otherwise(F.col("top.code")).alias("dominant"), F.when(~few, F.col("top.score")).alias("score"))
 
 
-def with_language(units: DataFrame, dominant: DataFrame, codes: list[str], text: str = "text", scores: lg.Scores = lg.word_scores) -> DataFrame:
-    """units with lang, lang_score and lang_reason, from their text and the language of their document."""
+def with_language(units: DataFrame, dominant: DataFrame, codes: list[str], text: str = "text", scores: lg.Scores = lg.word_scores, model: ngrams.LanguageModel | None = None) -> DataFrame:
+    """units with lang, lang_score and lang_reason, from their text and the language of their document; by a model of its codes, or else by scores."""
     rows = units.join(dominant.select("doc_key", "dominant"), "doc_key", "left")
+    if model is not None:
+        codes, scores, rows = model.codes, ngrams.given(), ngrams.scored(rows.withColumn("clean", tx.normalize_spaces(F.coalesce(F.col(text), F.lit("")))), "clean", model)
     rows = rows.withColumn("found", lg.unit_language(text, codes, F.col("dominant"), scores))
-    return rows.withColumns({"lang": F.col("found.code"), "lang_score": F.col("found.score"), "lang_reason": F.col("found.reason")}).drop("found", "dominant")
+    return rows.withColumns({"lang": F.col("found.code"), "lang_score": F.col("found.score"), "lang_reason": F.col("found.reason")}).drop("found", "dominant", "lang_scores", "clean")
 
 
 def newest_packages(packages: DataFrame) -> DataFrame:
