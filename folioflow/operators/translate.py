@@ -13,9 +13,12 @@ from folioflow.functions import text as tx
 from folioflow.functions.glossary import glossary
 from folioflow.functions.split import split_text
 from folioflow.plans.stages import staged
+from folioflow.sources.cache_store import CacheStore
 
 Runner = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 CACHE = "key string, value string"
+#: What gives (key, value) of a table's keys.
+Finder = Callable[[DataFrame], DataFrame]
 
 
 def full_key(namespace: str, text: str | Column, lang: str | Column, target: str) -> Column:
@@ -27,15 +30,24 @@ def valid_cache(cache: DataFrame) -> DataFrame:
     return cache.filter(F.col("key").isNotNull() & tx.is_valid_translation("value")).groupBy("key").agg(F.min("value").alias("value"))
 
 
-def looked_up(wanted: DataFrame, cache: DataFrame, run: Runner) -> DataFrame:
+def finder(cache: DataFrame | CacheStore) -> Finder:
+    """What gives (key, value) of asked keys: a store reads its buckets where they lie, of any other table the valid entries are grouped and joined."""
+    if isinstance(cache, CacheStore):
+        return cache.lookup
+    valid = valid_cache(cache)
+    return lambda asked: asked.select("key").join(valid, "key")
+
+
+def looked_up(wanted: DataFrame, find: Finder, run: Runner) -> DataFrame:
     """(key, value, error, cached) of each distinct wanted (key, lang, text): from the cache, else from the model.
 
     Equal texts reach the model once, wherever they stand. Misses are dealt out by key, so a source
     with many texts is not one task, and results are written before they are used twice.
     """
     asked = wanted.dropDuplicates(["key"])
-    known = asked.select("key").join(cache, "key").select("key", "value", F.lit(None).cast("string").alias("error"), F.lit(True).alias("cached"))
-    missing = asked.join(cache.select("key"), "key", "left_anti").select("key", "lang", "text").repartition("key")
+    hits = staged(find(asked.select("key")))
+    known = hits.select("key", "value", F.lit(None).cast("string").alias("error"), F.lit(True).alias("cached"))
+    missing = asked.join(hits.select("key"), "key", "left_anti").select("key", "lang", "text").repartition("key")
     new = missing.mapInPandas(run, "key string, value string, error string")
     usable = tx.is_valid_translation("value")
     why = F.coalesce("error", F.when(~usable, F.lit("ValueError: not a translation")))
@@ -44,7 +56,7 @@ def looked_up(wanted: DataFrame, cache: DataFrame, run: Runner) -> DataFrame:
 
 
 def translate(
-    units: DataFrame, cache: DataFrame, run: Runner, target: str, namespace: str, label: str = "local", protect_elements: bool = True,
+    units: DataFrame, cache: DataFrame | CacheStore, run: Runner, target: str, namespace: str, label: str = "local", protect_elements: bool = True,
     profile: str | None = None, custom: dict[str, str] | None = None, variant: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Results for units (text, lang) and the cache's new entries (key, value).
@@ -61,13 +73,13 @@ def translate(
     spans = protect.protected("part") if protect_elements else F.array().cast(protect._SPAN)
     parts = parts.withColumn("spans", spans).withColumn("segments", protect.segments("part", "spans"))
     parts = staged(parts.withColumn("key", full_key(namespace, F.when(F.size("spans") > 0, protect.masked("segments")).otherwise(F.col("part")), "lang", target)))
-    cache = valid_cache(cache)
+    find = finder(cache)
     masked = F.when(F.size("spans") > 0, protect.masked("segments")).otherwise(F.col("part"))
-    first = looked_up(parts.select("key", "lang", masked.alias("text")), cache, run)
+    first = looked_up(parts.select("key", "lang", masked.alias("text")), find, run)
     rows = parts.join(first, "key")
     restored = F.when(F.size("spans") > 0, protect.restored("value", "spans")).otherwise(F.col("value"))
     rows = staged(rows.withColumn("restored", F.when(F.col("error").isNull(), restored)))
-    second, pieces = _between(rows.filter(F.col("restored").isNull() & (F.size("spans") > 0)), cache.unionByName(first.filter("value is not null and not cached").select("key", "value")), run, namespace, target)
+    second, pieces = _between(rows.filter(F.col("restored").isNull() & (F.size("spans") > 0)), finder_of_both(find, first), run, namespace, target)
     rows = rows.join(pieces, ["id", "part_no"], "left")
     rows = rows.withColumns({"out": F.coalesce("restored", "joined"), "why": F.when(F.col("restored").isNull() & F.col("joined").isNull(), F.coalesce("piece_error", "error", F.lit("ValueError: an element is lost")))})
     rows = rows.withColumn("terms", glossary("part", "out", "lang", profile, custom))
@@ -86,13 +98,24 @@ def translate(
     return staged(results.drop("id")), added
 
 
-def _between(failed: DataFrame, cache: DataFrame, run: Runner, namespace: str, target: str) -> tuple[DataFrame, DataFrame]:
+def finder_of_both(find: Finder, first: DataFrame) -> Finder:
+    """find, and behind it what the model gave in the round before."""
+    new = first.filter("value is not null and not cached").select("key", "value")
+
+    def both(asked: DataFrame) -> DataFrame:
+        keys = asked.select("key")
+        return find(keys).unionByName(keys.join(new, "key"))
+
+    return both
+
+
+def _between(failed: DataFrame, find: Finder, run: Runner, namespace: str, target: str) -> tuple[DataFrame, DataFrame]:
     """Looked-up segments, and (id, part_no, joined, piece_error, pieces_cached): elements as they are, the text between them translated by itself."""
     each = failed.select("id", "part_no", "lang", F.posexplode("segments").alias("k", "s"))
     plain = ~F.col("s.hit") & (tx.latin_letters("s.text") >= 2)
     each = each.select("id", "part_no", "lang", "k", F.col("s.text").alias("segment"), F.when(plain, tx.strip("s.text")).alias("inner"))
     each = each.withColumn("key", F.when(F.col("inner").isNotNull(), full_key(namespace, "inner", "lang", target)))
-    found = looked_up(each.filter("key is not null").select("key", "lang", F.col("inner").alias("text")), cache, run)
+    found = looked_up(each.filter("key is not null").select("key", "lang", F.col("inner").alias("text")), find, run)
     each = each.join(found, "key", "left")
     blank = lambda pattern: F.when(tx.rx(F.col("segment"), pattern), " ").otherwise("")
     piece = F.when(F.col("key").isNull(), F.col("segment")).when(F.col("value").isNotNull(), F.concat(blank(r"^\s"), tx.strip("value"), blank(r"\s$")))

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from folioflow.config import Options
 from folioflow.functions import language as lg
 from folioflow.functions import text as tx
-from folioflow.operators import language, layout, report
+from folioflow.operators import language, layout, ngrams, report
 from folioflow.operators.translate import Runner, translate
 from folioflow.plans.stages import staged
+from folioflow.sources.cache_store import CacheStore
 
 
 def prepared(lines: DataFrame, pages: DataFrame, options: Options) -> DataFrame:
@@ -33,8 +34,8 @@ def prepared(lines: DataFrame, pages: DataFrame, options: Options) -> DataFrame:
     return staged(layout.with_continuations(units, groups).join(pages_of, ["doc_key", "group_id"], "left"))
 
 
-def run(lines: DataFrame, pages: DataFrame, cache: DataFrame, runner: Runner, namespace: str, options: Options, label: str = "local", scores: lg.Scores = lg.word_scores) -> tuple[DataFrame, DataFrame]:
-    """Units with their states, translations and doubts, and the cache's new entries.
+def run(lines: DataFrame, pages: DataFrame, cache: DataFrame | CacheStore, runner: Runner, namespace: str, options: Options, label: str = "local", scores: lg.Scores = lg.word_scores, model: ngrams.LanguageModel | None = None) -> tuple[DataFrame, DataFrame]:
+    """Units with their states, translations and doubts, and the cache's new entries. Languages are told by model, if one was learned, else by scores.
 
     Units kept as they are never reach a model; equal inputs reach it once; the two members of a
     paragraph over a page's end share one input.
@@ -45,9 +46,9 @@ def run(lines: DataFrame, pages: DataFrame, cache: DataFrame, runner: Runner, na
         codes = list(options.source) if options.mixed else list(lg.FUNCTION_WORDS)
         codes += [options.target] if options.target not in codes else []
         texts = units.groupBy("doc_key", "page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
-        dominant = staged(language.dominant_language(texts, codes, options.target, scores))
+        dominant = staged(language.dominant_language(texts, codes, options.target, scores, model))
         if options.mixed:
-            units = language.with_language(units, dominant, codes, "input", scores)
+            units = language.with_language(units, dominant, codes, "input", scores, model)
         else:
             units = units.join(dominant.select("doc_key", F.col("dominant").alias("lang")), "doc_key").withColumns({"lang_score": F.lit(None).cast("double"), "lang_reason": F.lit(None).cast("string")})
     else:

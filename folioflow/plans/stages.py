@@ -4,22 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir, its lineage cut, so that what comes next neither plans nor computes it again.
-
-    The folder is shared by all executors, so a lost one loses nothing. Where none is set, a temporary
-    one is on a local master, as in tests; elsewhere it is an error.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share. Where none is set, a temporary one is on a local master, as in tests; elsewhere it is an error."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, its lineage cut, so that what comes next neither plans nor computes it again; a lost executor loses nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -2,35 +2,45 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.config import Options
 from folioflow.functions import language as lg
 from folioflow.functions import text as tx
-from folioflow.operators import axtree, language, report
+from folioflow.operators import axtree, language, ngrams, report
 from folioflow.operators.backends import LexicalModel, runner
 from folioflow.operators.translate import valid_cache
 from folioflow.plans import documents
-from folioflow.plans.stages import staged
+from folioflow.plans.stages import shared_folder, staged
 from folioflow.queries import duck, layout
 from folioflow.queries.text import lines, table
 from folioflow.sources import files
+from folioflow.sources.cache_store import CacheStore
 from folioflow.sources.layout_view import HEIGHT, WIDTH
 
-CODES = ["en", "fr", "es", "de", "pt"]
+CODES = ["en", "fr", "es", "de"]
+
+
+def _model(spark: SparkSession, sf_dir: str) -> ngrams.LanguageModel:
+    """Learned from all documents but every fourth, which are left for a test of accuracy."""
+    return ngrams.learn(table(spark, sf_dir, "documents").filter("doc_id % 4 != 2").select("text", "lang"), CODES)
 
 
 def q_dominant_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source as a document, its texts as pages."""
     rows = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("doc_key"), F.col("doc_id").alias("page_no"), F.coalesce("text", F.lit("")).alias("text"))
-    return language.dominant_language(rows, CODES, "pt").select("doc_key", "dominant")
+    return language.dominant_language(rows, CODES, "pt", model=_model(spark, sf_dir)).select("doc_key", "dominant", F.round("score", 6).alias("dominant_score"))
 
 
 def q_lang_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text by itself: its language, and whether a model has to be asked for a translation into English."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", lg.unit_language("text", CODES, F.lit("fr")).alias("found"))
-    return rows.select("doc_id", F.col("found.code").alias("unit_lang"), F.col("found.reason").alias("reason"), F.round("found.score", 6).alias("unit_score"), F.when(F.col("found.code") == "en", "preserve").otherwise(F.col("found.code")).alias("route"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("doc_key"), "text")
+    main = rows.select("doc_key", F.lit("fr").alias("dominant")).distinct()
+    rows = language.with_language(rows, main, CODES, model=_model(spark, sf_dir))
+    return rows.select("doc_id", F.col("lang").alias("unit_lang"), F.col("lang_reason").alias("reason"), F.round("lang_score", 6).alias("unit_score"), F.when(F.col("lang") == "en", "preserve").otherwise(F.col("lang")).alias("route"))
 
 
 PACKAGES = [(0, "fr", "en", "1.2"), (1, "en", "pb", "1.0"), (2, "fr", "en", "1.10"), (3, "fr", "es", "2"), (4, "es", "it", "1"), (5, "it", "pb", "1"), (6, "de", "en", "1.9"), (7, "en", "fr", "1")]
@@ -58,6 +68,28 @@ def q_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("lang").agg(F.count("*").alias("n_units"), F.count("value").alias("n_hits"), F.count_distinct(F.when(F.col("value").isNull(), F.col("key"))).alias("n_asked"))
 
 
+def q_cache_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in two rounds against a store: those of every other document, then, with the store compacted, those of all; each round adds what was missing, and what a third finds is counted."""
+    rows = lines(spark, sf_dir).filter("trim(line) != ''").select("lang", "doc_id", "line", tx.cache_key("line", F.coalesce("lang", F.lit("")), F.lit("pt")).alias("key"))
+    rows = staged(rows)
+    store = CacheStore(spark, f"{shared_folder(spark)}/cache-{uuid.uuid4().hex}")
+
+    def a_round(asked: DataFrame, number: int) -> None:
+        missing = asked.join(staged(store.lookup(asked)), "key", "left_anti").groupBy("key").agg(F.min("line").alias("line"))
+        value = F.when(F.col("line").rlike("[0-9]"), "<html><body>503</body></html>").otherwise(F.concat(F.lit(f"{number} "), F.col("line")))
+        store.add(missing.select("key", value.alias("value")), number)
+
+    a_round(rows.filter("doc_id % 2 = 0"), 1)
+    store.compact()
+    a_round(rows, 2)
+    store.compact()
+    found = rows.join(staged(store.lookup(rows)), "key", "left").withColumn("round", F.substring("value", 1, 1))
+    out = staged(found.groupBy("lang").agg(F.count("*").alias("n_units"), F.count_if(F.col("round") == "1").alias("n_first"), F.count_if(F.col("round") == "2").alias("n_second"), F.count_distinct(F.when(F.col("value").isNull(), F.col("key"))).alias("n_missing")))
+    store.vacuum()
+    store.close()
+    return out
+
+
 def _worked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Body lines as units with a made-up outcome: errors, translations, and a language from their length."""
     rows = layout.marked(spark, sf_dir)
@@ -130,13 +162,34 @@ def q_translate_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_key", "page_no", "unit_no", "state", "kind", "lang", F.md5("translation").alias("translation_md5"), F.array_join(F.transform("flags", lambda x: x["code"]), ",").alias("codes"))
 
 
-def _duck_scores(x: str) -> str:
-    words = f"regexp_extract_all(lower(substr({x}, 1, {lg.SAMPLE_CHARS})), '\\p{{L}}+')"
-    listed = lambda k: "[" + ", ".join(f"'{w}'" for w in lg.FUNCTION_WORDS[k].split()) + "]"
-    counts = ", ".join(f"len(list_filter(w, lambda z: list_contains({listed(k)}, z)))" for k in CODES)
-    return f"(SELECT [(c + {1.0 / len(CODES)!r}) / (list_sum(cs) + 1) FOR c IN cs] FROM (SELECT [{counts}] AS cs FROM (SELECT {words} AS w)))"
+# Written out: the first 15,000 characters, words of letters with a blank on both sides, runs of 1 to 3 letters in 65,536 classes.
+_duck_words = lambda x: f"regexp_extract_all(lower(substr({x}, 1, 15000)), '\\p{{L}}+')"
+_LEARNED = f"""lw AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest({_duck_words('text')}) AS word FROM documents WHERE doc_id % 4 != 2 AND lang IN ('en', 'fr', 'es', 'de') AND text IS NOT NULL) GROUP BY ALL)"""
+
+
+def _duck_grams(table: str, keep: str) -> str:
+    of = lambda n: ", ".join(f"ascii(p[k + {j}:k + {j}]) * {f}" for j, f in enumerate((1, 263, 69169)[:n])).replace(", ", " + ")
+    each = " UNION ALL ".join(f"SELECT {keep}, ({of(n)} + {7919 * n}) % 65536 AS bucket FROM (SELECT {keep}, p, unnest(range(1, length(p) - {n} + 2)) AS k FROM (SELECT {keep}, concat(' ', word, ' ') AS p FROM {table}))" for n in (1, 2, 3))
+    return f"({each})"
+
+
+def _duck_scores(texts: str) -> str:
+    """CTEs of sc (text_key, sc): the posteriors of texts, a table with x, by the learned weights."""
+    log = lambda n, k: f"round(ln(({n} + 1.0) / (sum_{k} + 65536.0)) * 1000)"
+    return f"""{_LEARNED},
+lc AS (SELECT bucket, {', '.join(f"sum(CASE WHEN lang = '{k}' THEN n ELSE 0 END) AS n_{k}" for k in CODES)} FROM {_duck_grams('lw', 'lang, n')} GROUP BY bucket),
+ls AS (SELECT {', '.join(f'sum(n_{k}) AS sum_{k}' for k in CODES)} FROM lc),
+lm AS (SELECT bucket, {', '.join(f"{log(f'n_{k}', k)} AS w_{k}" for k in CODES)} FROM lc, ls),
+lu AS (SELECT {', '.join(f"{log('0', k)} AS u_{k}" for k in CODES)} FROM ls),
+tk AS (SELECT x, unnest({_duck_words('x')}) AS word FROM (SELECT DISTINCT x FROM {texts})),
+tw AS (SELECT DISTINCT word FROM tk),
+ws AS (SELECT word, {', '.join(f'sum(coalesce(w_{k}, u_{k})) AS s_{k}' for k in CODES)} FROM {_duck_grams('tw', 'word')} LEFT JOIN lm USING (bucket), lu GROUP BY word),
+xs AS (SELECT x, [{', '.join(f'sum(s_{k})' for k in CODES)}] AS s FROM tk JOIN ws USING (word) GROUP BY x),
+xp AS (SELECT x, [exp((v - list_max(s)) / 1000.0) FOR v IN s] AS p FROM xs),
+sc AS (SELECT x, [v / list_sum(p) FOR v IN p] AS sc FROM xp)"""
 
 
+_UNSURE = "[" + ", ".join([repr(1 / 4)] * 4) + "]"
 _codes = "[" + ", ".join(f"'{k}'" for k in CODES) + "]"
 
 
@@ -169,6 +222,7 @@ QUERIES = {
     "q_model_route": q_model_route,
     "q_dedupe_units": q_dedupe_units,
     "q_cache_hits": q_cache_hits,
+    "q_cache_store": q_cache_store,
     "q_status_totals": q_status_totals,
     "q_batch_summary": q_batch_summary,
     "q_annotations": q_annotations,
@@ -179,15 +233,17 @@ QUERIES = {
 }
 _LINES = "(SELECT doc_id, lang, unnest(range(len(a))) AS pos, unnest(a) AS line FROM (SELECT doc_id, lang, string_split(coalesce(text, ''), chr(10)) AS a FROM documents))"
 ORACLE = {
-    "q_dominant_lang": f"""WITH p AS (SELECT coalesce(source, '') AS doc_key, doc_id, substr(coalesce(text, ''), 1, 2500) AS e FROM documents),
-q AS (SELECT *, coalesce(sum(length(e)) OVER (PARTITION BY doc_key ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef FROM p WHERE length(e) > 0),
-s AS (SELECT doc_key, length(e) AS size, len(regexp_extract_all(e, '\\p{{L}}')) AS letters, {_duck_scores('e')} AS sc FROM q WHERE bef < 100000),
-u AS (SELECT doc_key, size, letters, unnest(sc) AS score, unnest({_codes}) AS code, unnest(range({len(CODES)})) AS nth FROM s),
+    "q_dominant_lang": f"""WITH p AS (SELECT coalesce(source, '') AS doc_key, doc_id, substr(coalesce(text, ''), 1, 2500) AS x FROM documents),
+q AS (SELECT *, coalesce(sum(length(x)) OVER (PARTITION BY doc_key ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef FROM p WHERE length(x) > 0),
+z AS (SELECT doc_key, x, length(x) AS size, len(regexp_extract_all(x, '\\p{{L}}')) AS letters FROM q WHERE bef < 100000),
+{_duck_scores('z')},
+u AS (SELECT doc_key, size, letters, unnest(coalesce(sc, {_UNSURE})) AS score, unnest({_codes}) AS code, unnest(range({len(CODES)})) AS nth FROM z LEFT JOIN sc USING (x)),
 g AS (SELECT doc_key, code, nth, round(sum(score * size) / sum(size), 9) AS score, sum(letters) AS letters FROM u GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_key ORDER BY score DESC, nth) AS k FROM g)
-SELECT d.doc_key, CASE WHEN coalesce(r.letters, 0) < 30 THEN 'en' ELSE r.code END AS dominant FROM (SELECT DISTINCT doc_key FROM p) d LEFT JOIN r ON r.doc_key = d.doc_key AND r.k = 1""",
-    "q_lang_route": f"""WITH p AS (SELECT doc_id, {duck.norm("coalesce(text, '')")} AS t FROM documents),
-s AS (SELECT doc_id, t, len(regexp_extract_all(t, '\\p{{L}}')) AS n, {_duck_hint('t')} AS hint, {_duck_scores('t')} AS sc FROM p),
+SELECT d.doc_key, CASE WHEN coalesce(r.letters, 0) < 30 THEN 'en' ELSE r.code END AS dominant, CASE WHEN r.letters >= 30 THEN round(r.score, 6) END AS dominant_score FROM (SELECT DISTINCT doc_key FROM p) d LEFT JOIN r ON r.doc_key = d.doc_key AND r.k = 1""",
+    "q_lang_route": f"""WITH z AS (SELECT doc_id, {duck.norm("coalesce(text, '')")} AS x FROM documents),
+{_duck_scores('z')},
+s AS (SELECT doc_id, len(regexp_extract_all(x, '\\p{{L}}')) AS n, {_duck_hint('x')} AS hint, coalesce(sc, {_UNSURE}) AS sc FROM z LEFT JOIN sc USING (x)),
 b AS (SELECT *, list_max(sc) AS top, {_codes}[list_position(sc, list_max(sc))] AS code FROM s),
 f AS (SELECT doc_id, CASE WHEN hint IS NOT NULL THEN 1.0 WHEN n < 8 THEN NULL ELSE top END AS sc2,
   CASE WHEN hint IS NOT NULL THEN hint WHEN n < 8 THEN 'fr' WHEN (n >= 40 AND top >= 0.80) OR (n >= 15 AND top >= 0.96) THEN code ELSE 'fr' END AS unit_lang,
@@ -205,6 +261,9 @@ SELECT asked, CAST(unnest(range(1, len(way) + 1)) AS INT) AS hop, unnest(way).fr
     "q_cache_hits": f"""WITH l AS (SELECT lang, line, {_key} AS key FROM {_LINES} WHERE trim(line) <> ''),
 c AS (SELECT key FROM l GROUP BY key HAVING count(*) > 1 AND NOT regexp_matches(min(line), '[0-9]'))
 SELECT lang, count(*) AS n_units, count(c.key) AS n_hits, count(DISTINCT CASE WHEN c.key IS NULL THEN l.key END) AS n_asked FROM l LEFT JOIN c ON c.key = l.key GROUP BY lang""",
+    "q_cache_store": f"""WITH l AS (SELECT doc_id, lang, line, {_key} AS key FROM {_LINES} WHERE trim(line) <> ''),
+k AS (SELECT key, bool_or(doc_id % 2 = 0) AS early, regexp_matches(min(line), '[0-9]') AS bad FROM l GROUP BY key)
+SELECT lang, count(*) AS n_units, count(*) FILTER (early AND NOT bad) AS n_first, count(*) FILTER (NOT early AND NOT bad) AS n_second, count(DISTINCT CASE WHEN bad THEN l.key END) AS n_missing FROM l JOIN k USING (key) GROUP BY lang""",
     "q_status_totals": f"{_WORKED} {_TOTALS}",
     "q_batch_summary": f"""{_WORKED}, tt AS ({_TOTALS}),
 pgs AS (SELECT DISTINCT doc_key, page_no FROM layout_lines),

@@ -5,24 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from folioflow.operators.translate import CACHE, Runner, translate
-from folioflow.sources.sinks import append_cache
+from folioflow.operators.translate import Runner, translate
+from folioflow.sources.cache_store import CacheStore
 
 
 def start(spark: SparkSession, inbox: str, schema: str, cache_path: str, results_path: str, state_path: str, runner: Runner, target: str, namespace: str, files_per_batch: int = 100) -> StreamingQuery:
     """A query over all files that are in inbox now; started again, it takes those that came since.
 
-    A batch that is repeated after a failure writes its results over those of its first run, under its
-    number, and adds entries to the cache that are equal to those already there.
+    The cache is a CacheStore, of which a batch reads what it asks for alone. A batch that is repeated after
+    a failure writes its results over those of its first run, under its number, and adds entries to the
+    cache that count once with those already there.
     """
+    store = CacheStore(spark, cache_path)
 
     def each(batch: DataFrame, number: int) -> None:
-        exists = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache_path)
-        there = exists.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(exists)
-        cache = spark.read.schema(CACHE).parquet(cache_path) if there else spark.createDataFrame([], CACHE)
-        results, added = translate(batch, cache, runner, target, namespace)
+        results, added = translate(batch, store, runner, target, namespace)
         results.write.mode("overwrite").parquet(f"{results_path}/batch={number}")
-        append_cache(added, cache_path)
+        store.add(added, number)
 
     units = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(inbox)
     return units.writeStream.foreachBatch(each).option("checkpointLocation", state_path).trigger(availableNow=True).start()

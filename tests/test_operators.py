@@ -307,6 +307,7 @@ def test_model_packages(tmp_path):
 
 
 def test_inbox(spark, tmp_path):
+    from folioflow.sources.cache_store import CacheStore
     from folioflow.streaming import inbox
 
     paths = {k: str(tmp_path / k) for k in ("in", "cache", "results", "state")}
@@ -319,7 +320,7 @@ def test_inbox(spark, tmp_path):
     found = {(r["batch"], r["text"]): r["n_cached"] for r in spark.read.parquet(paths["results"]).collect()}
     assert found[1, "le chat"] == 1
     assert found[1, "new ones"] == 0
-    assert spark.read.parquet(paths["cache"]).count() == 3
+    assert CacheStore(spark, paths["cache"]).entries().count() == 3
 
 
 # catalog, one text, sums ---------------------------------------------------------------------------
