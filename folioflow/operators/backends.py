@@ -1,8 +1,7 @@
-"""Translation models behind one interface, run over distinct texts in Arrow batches.
+"""Translation models behind one interface, asked for different parts of texts in batches.
 
-A model has a label and translate(texts, source, target, beam), which returns as many texts, and
-count_tokens(text). What isn't the model's own work is here: sentences, packing of words into inputs
-that fit, the check that nothing is lost, and another try with halves of what failed.
+A stage takes a text apart into parts that fit its model, runs of words or of tokens, and is asked for
+parts. What becomes of parts that fail is a plan's work: operators.recovery.
 """
 
 from __future__ import annotations
@@ -10,18 +9,26 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
 
 # Share of the source's words that a translation has to have, by the source's words.
 LEAST_SHARES = ((18, 0.48), (9, 0.30))
+#: Tokens of a part at most, parts asked for at a time, and the first beam.
+MOST_TOKENS, BATCH, BEAM = 220, 8, 4
+#: Tries for a part that fails, and how often it is halved.
+TRIES, DEPTH = 10, 3
 _WORDS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _SENTENCES = re.compile(r"(?<=[.!?])\s+(?=[A-ZÀ-ÖØ-Þ0-9“\"(•●▪◦‣])")
 
 
 class Model(Protocol):
+    """What a whole-text model has: as many translations as texts, and the number of a text's tokens, which grows with it."""
+
     label: str
 
     def translate(self, texts: list[str], source: str, target: str, beam: int) -> list[str]: ...
@@ -29,98 +36,133 @@ class Model(Protocol):
     def count_tokens(self, text: str) -> int: ...
 
 
+class Parts(Protocol):
+    """What a stage is made of. ask gives None for a part that isn't translated in full; other faults are exceptions."""
+
+    def split(self, text: str) -> list[list[str]]: ...
+
+    def ask(self, parts: list[list[str]], source: str, target: str, beam: int) -> list[str | None]: ...
+
+
 class ChunkError(ValueError):
-    """A text that the model did not translate in full."""
+    """A part that the model did not translate in full."""
 
 
-def complete(source: str, target: str) -> str:
-    """target, if it has words enough."""
+def complete(source: str, target: str) -> bool:
+    """Whether target has words enough for source."""
     n = len(_WORDS.findall(source))
     least = next((share for words, share in LEAST_SHARES if n >= words), 0.0)
-    if not target.strip() or len(_WORDS.findall(target)) < least * n:
-        raise ChunkError("the translation is incomplete")
-    return target.strip()
+    return bool(target.strip()) and len(_WORDS.findall(target)) >= least * n
 
 
-def packed(text: str, model: Model, max_tokens: int) -> list[str]:
-    """Sentences of a text, those with too many tokens parted between words."""
+def fitting(words: list[str], model: Model, most: int) -> int:
+    """How many first words fit, one at least: tokens grow with words, so the place is searched by halves."""
+    return max(1, bisect_right(range(1, len(words) + 1), most, key=lambda k: model.count_tokens(" ".join(words[:k]))))
+
+
+def packed(text: str, model: Model, most: int) -> list[list[str]]:
+    """The words of a text's sentences, those with more tokens than most parted where they are full."""
     out = []
-    for sentence in [x.strip() for x in _SENTENCES.split(text.strip()) if x.strip()] or [text.strip()]:
-        if model.count_tokens(sentence) <= max_tokens:
-            out.append(sentence)
-            continue
-        line = ""
-        for word in sentence.split():
-            if line and model.count_tokens(f"{line} {word}") > max_tokens:
-                out.append(line)
-                line = word
-            else:
-                line = f"{line} {word}".strip()
-        out += [line] if line else []
+    for sentence in _SENTENCES.split(text.strip()):
+        words = sentence.split()
+        while words:
+            k = fitting(words, model, most)
+            out.append(words[:k])
+            words = words[k:]
     return out
 
 
-def recovered(text: str, model: Model, source: str, target: str, tries: int = 10, depth: int = 3) -> str:
-    """text translated with the narrowest beam; what fails is halved, to a depth and with a number of tries for all of it."""
-    left = tries
-
-    def attempt(part: str, level: int) -> str:
-        nonlocal left
-        if left <= 0:
-            raise ChunkError("no tries are left")
-        left -= 1
-        try:
-            return complete(part, model.translate([part], source, target, 1)[0])
-        except ChunkError:
-            words = part.split()
-            if level >= depth or len(words) < 4 or left < 2:
-                raise
-            middle = len(words) // 2
-            return f"{attempt(' '.join(words[:middle]), level + 1)} {attempt(' '.join(words[middle:]), level + 1)}"
+class WordParts:
+    """A whole-text model asked for runs of words."""
 
-    return attempt(text, 0)
+    def __init__(self, model: Model, most_tokens: int) -> None:
+        self.model, self.most_tokens = model, most_tokens
 
+    def split(self, text: str) -> list[list[str]]:
+        return packed(text, self.model, self.most_tokens)
 
-def translated(text: str, model: Model, source: str, target: str, max_tokens: int = 220, batch: int = 8, beam: int = 4) -> str:
-    parts, out = packed(text, model, max_tokens), []
-    for k in range(0, len(parts), batch):
-        some = parts[k : k + batch]
-        found = model.translate(some, source, target, beam)
-        if len(found) != len(some):
-            raise ChunkError("the model gave back another number of texts")
-        for part, result in zip(some, found, strict=True):
-            try:
-                out.append(complete(part, result))
-            except ChunkError:
-                out.append(recovered(part, model, source, target))
-    return " ".join(out)
+    def ask(self, parts: list[list[str]], source: str, target: str, beam: int) -> list[str | None]:
+        texts = [" ".join(p) for p in parts]
+        found = self.model.translate(texts, source, target, beam)
+        if len(found) != len(texts):
+            raise RuntimeError("the model gave back another number of texts")
+        return [y.strip() if complete(x, y) else None for x, y in zip(texts, found, strict=True)]
 
 
-_models: dict[str, Model] = {}
+_made: dict[str, Parts] = {}
 
+PARTS = "key string, lang string, nth int, units array<string>, error string"
+ANSWERS = "lang string, units array<string>, value string, error string, again boolean"
+Frames = Iterator[pd.DataFrame]
 
-def runner(name: str, make: Callable[[], Model], target: str, max_tokens: int = 220) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """For mapInPandas over (key, lang, text): (key, value, error). The model is made once a worker and kept by its name.
 
-    A text that fails gives an error in its row, never a failed task.
-    """
+@dataclass(frozen=True)
+class Stage:
+    """One model or package of a runner. make is called once a worker, what it gives is kept by name. tries are each part's own, or shared by all parts of a text."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if name not in _models:
-            _models[name] = make()
-        model = _models[name]
+    name: str
+    make: Callable[[], Parts]
+    on_words: bool = True
+    tries: int = TRIES
+    depth: int = DEPTH
+    shared: bool = False
+    batch: int = BATCH
+    beam: int = BEAM
 
-        def one(text: str, lang: str) -> tuple[str | None, str | None]:
-            try:
-                return translated(text, model, lang, target, max_tokens), None
-            except Exception as e:  # a model's own errors are of any kind, and are the row's result
-                return None, f"{type(e).__name__}: {e}"
+    def made(self) -> Parts:
+        if self.name not in _made:
+            _made[self.name] = self.make()
+        return _made[self.name]
 
+    def split(self, frames: Frames) -> Frames:
+        """For mapInPandas over (key, lang, text): PARTS in order, or one row with an error."""
         for frame in frames:
-            found = [one(t, k) for t, k in zip(frame["text"], frame["lang"], strict=True)]
-            yield pd.DataFrame({"key": frame["key"], "value": [x[0] for x in found], "error": [x[1] for x in found]})
+            out = []
+            for key, lang, text in zip(frame["key"], frame["lang"], frame["text"], strict=True):
+                try:
+                    parts, error = self.made().split(text), None
+                except Exception as e:  # a model's own errors are of any kind, and are the row's result
+                    parts, error = [], f"{type(e).__name__}: {e}"
+                if not parts:
+                    out.append((key, lang, 0, None, error or "ChunkError: the text has no parts"))
+                out += [(key, lang, k, p, None) for k, p in enumerate(parts)]
+            yield pd.DataFrame(out, columns=["key", "lang", "nth", "units", "error"])
+
+    def answers(self, parts: list[list[str]], lang: str, target: str, beam: int) -> list[tuple[str | None, str | None, bool]]:
+        """(value, error, again) of each part; where asking for several fails, each is asked for alone."""
+        try:
+            found = self.made().ask(parts, lang, target, beam)
+            return [(v, None, False) if v is not None else (None, "ChunkError: not translated in full", True) for v in found]
+        except Exception as e:  # as above
+            if len(parts) == 1:
+                return [(None, f"{type(e).__name__}: {e}", isinstance(e, ChunkError))]
+        return [x for p in parts for x in self.answers([p], lang, target, beam)]
+
+    def asker(self, target: str, beam: int) -> Callable[[Frames], Frames]:
+        """For mapInPandas over (lang, units): ANSWERS. A part that fails is a row, never a failed task."""
+
+        def ask(frames: Frames) -> Frames:
+            for frame in frames:
+                for lang, rows in frame.groupby("lang"):
+                    parts = [list(u) for u in rows["units"]]
+                    found = [x for k in range(0, len(parts), self.batch) for x in self.answers(parts[k : k + self.batch], lang, target, beam)]
+                    yield pd.DataFrame({"lang": lang, "units": parts, "value": [x[0] for x in found], "error": [x[1] for x in found], "again": [x[2] for x in found]})
+
+        return ask
+
+
+@dataclass(frozen=True)
+class Runner:
+    """The stages that a text goes through, one after the other. namespace is what keys of a cache begin with."""
+
+    stages: tuple[Stage, ...]
+    target: str
+    namespace: str
+
 
-    return run
+def runner(name: str, make: Callable[[], Model], target: str, max_tokens: int = MOST_TOKENS, known: str | None = None, **more: object) -> Runner:
+    """A whole-text model as a runner; known is its namespace, by default its name. more goes to its stage."""
+    return Runner((Stage(f"{name}|{max_tokens}", lambda: WordParts(make(), max_tokens), **more),), target, known or name)
 
 
 class LexicalModel:
@@ -163,7 +205,7 @@ class SeqModel:
         return len(self.pieces.encode(text))
 
 
-def namespace(backend: str, metadata: dict, precision: str, beam: int | None = None) -> str:
+def namespace(backend: str, metadata: object, precision: str, beam: int | None = None) -> str:
     """What cache keys of a model begin with: another model, precision or beam is another namespace."""
     known = json.dumps([backend, metadata, precision, beam], sort_keys=True, ensure_ascii=False)
     return f"{backend}-{hashlib.sha256(known.encode()).hexdigest()[:16]}"

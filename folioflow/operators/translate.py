@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +11,11 @@ from folioflow.functions import portuguese, protect
 from folioflow.functions import text as tx
 from folioflow.functions.glossary import glossary
 from folioflow.functions.split import split_text
+from folioflow.operators.backends import Runner
+from folioflow.operators.recovery import translated
 from folioflow.plans.stages import staged
 from folioflow.sources.cache_store import CacheStore
 
-Runner = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 CACHE = "key string, value string"
 #: What gives (key, value) of a table's keys.
 Finder = Callable[[DataFrame], DataFrame]
@@ -41,14 +41,14 @@ def finder(cache: DataFrame | CacheStore) -> Finder:
 def looked_up(wanted: DataFrame, find: Finder, run: Runner) -> DataFrame:
     """(key, value, error, cached) of each distinct wanted (key, lang, text): from the cache, else from the model.
 
-    Equal texts reach the model once, wherever they stand. Misses are dealt out by key, so a source
-    with many texts is not one task, and results are written before they are used twice.
+    Equal texts reach the model once, wherever they stand, and so do their parts. Misses go through the
+    rounds of operators.recovery, so a source with many texts, or a text that fails, is not one task.
     """
     asked = wanted.dropDuplicates(["key"])
     hits = staged(find(asked.select("key")))
     known = hits.select("key", "value", F.lit(None).cast("string").alias("error"), F.lit(True).alias("cached"))
-    missing = asked.join(hits.select("key"), "key", "left_anti").select("key", "lang", "text").repartition("key")
-    new = missing.mapInPandas(run, "key string, value string, error string")
+    missing = asked.join(hits.select("key"), "key", "left_anti").select("key", "lang", "text")
+    new = translated(staged(missing), run)
     usable = tx.is_valid_translation("value")
     why = F.coalesce("error", F.when(~usable, F.lit("ValueError: not a translation")))
     new = new.select("key", F.when(usable, F.col("value")).alias("value"), why.alias("error"), F.lit(False).alias("cached"))

@@ -9,7 +9,8 @@ from folioflow.config import Options
 from folioflow.functions import language as lg
 from folioflow.functions import text as tx
 from folioflow.operators import language, layout, ngrams, report
-from folioflow.operators.translate import Runner, translate
+from folioflow.operators.backends import Runner
+from folioflow.operators.translate import translate
 from folioflow.plans.stages import staged
 from folioflow.sources.cache_store import CacheStore
 
@@ -34,12 +35,13 @@ def prepared(lines: DataFrame, pages: DataFrame, options: Options) -> DataFrame:
     return staged(layout.with_continuations(units, groups).join(pages_of, ["doc_key", "group_id"], "left"))
 
 
-def run(lines: DataFrame, pages: DataFrame, cache: DataFrame | CacheStore, runner: Runner, namespace: str, options: Options, label: str = "local", scores: lg.Scores = lg.word_scores, model: ngrams.LanguageModel | None = None) -> tuple[DataFrame, DataFrame]:
+def run(lines: DataFrame, pages: DataFrame, cache: DataFrame | CacheStore, runner: Runner, namespace: str | None, options: Options, label: str = "local", scores: lg.Scores = lg.word_scores, model: ngrams.LanguageModel | None = None) -> tuple[DataFrame, DataFrame]:
     """Units with their states, translations and doubts, and the cache's new entries. Languages are told by model, if one was learned, else by scores.
 
     Units kept as they are never reach a model; equal inputs reach it once; the two members of a
     paragraph over a page's end share one input.
     """
+    namespace = namespace or runner.namespace  # a model's own, so that entries of another are never met
     units = prepared(lines, pages, options)
     units = units.withColumns({"input": F.coalesce("group_text", tx.normalize_spaces("text")), "kind": report.preserved_kind(tx.normalize_spaces("text"), "preserve")})
     if options.mixed or options.source == "auto":

@@ -12,6 +12,7 @@ from folioflow.functions import language as lg
 from folioflow.functions import text as tx
 from folioflow.operators import axtree, language, ngrams, report
 from folioflow.operators.backends import LexicalModel, runner
+from folioflow.operators.recovery import translated
 from folioflow.operators.translate import valid_cache
 from folioflow.plans import documents
 from folioflow.plans.stages import shared_folder, staged
@@ -145,6 +146,22 @@ def q_ax_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return axtree.dump_units(dump).select("doc_key", "page_no", "nth", F.md5("text").alias("text_md5"), F.col("bounds.y").alias("y"))
 
 
+class Forgetful(LexicalModel):
+    """The stand-in, which fails on long runs of words, and on every run whose letters make a multiple of 7."""
+
+    def translate(self, texts: list[str], source: str, target: str, beam: int) -> list[str]:
+        found = super().translate(texts, source, target, beam)
+        return ["" if len(x.split()) > 40 // beam or sum(c.isalpha() for c in x) % 7 == 0 else y for x, y in zip(texts, found, strict=True)]
+
+
+def q_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different lines of all documents through a model that fails by a rule: what came of each, after how many more tries."""
+    rows = lines(spark, sf_dir).select(tx.normalize_spaces("line").alias("text")).filter("text != ''").distinct()
+    rows = staged(rows.select(F.md5("text").alias("key"), F.lit("fr").alias("lang"), "text"))
+    found = translated(rows, runner("forgetful", Forgetful, "pt", max_tokens=24))
+    return found.select("key", F.when(F.col("error").isNull(), "translated").otherwise("failed").alias("state"), F.md5("value").alias("value_md5"), F.when(F.col("error").isNull(), F.col("n_tries")).alias("n_tries"))
+
+
 def model_runner(target: str = "pt"):
     return runner("stand-in", LexicalModel, target)
 
@@ -229,6 +246,7 @@ QUERIES = {
     "q_file_scan": q_file_scan,
     "q_ax_nodes": q_ax_nodes,
     "q_ax_dump": q_ax_dump,
+    "q_recovery": q_recovery,
     "q_translate_units": q_translate_units,
 }
 _LINES = "(SELECT doc_id, lang, unnest(range(len(a))) AS pos, unnest(a) AS line FROM (SELECT doc_id, lang, string_split(coalesce(text, ''), chr(10)) AS a FROM documents))"

@@ -5,29 +5,10 @@ import json
 import pytest
 
 from folioflow.operators import axtree, hops
-from folioflow.operators.backends import ChunkError, namespace, runner
+from folioflow.operators.backends import ChunkError, namespace
 from folioflow.sources import files, models, sinks
 
 
-class Stub:
-    """Words as tokens; adds a letter to each. Rows with a bad word fail unless they are short."""
-
-    def __init__(self, letter, longest=10**9):
-        self.letter, self.longest, self.calls = letter, longest, 0
-
-    def encode(self, text):
-        return ["▁" + w for w in text.split()]
-
-    def run(self, rows, beam):
-        self.calls += 1
-        return [[] if len(r) > self.longest else [t + self.letter for t in r] for r in rows]
-
-    def decode(self, tokens):
-        if not tokens:
-            raise ChunkError("nothing")
-        return "".join(tokens).replace("▁", " ").strip()
-
-
 def test_windows_lose_nothing():
     tokens = [("▁" if k % 7 == 0 else "") + str(k) for k in range(950)]
     found = hops.windows(tokens)
@@ -37,24 +18,6 @@ def test_windows_lose_nothing():
     assert hops.windows([]) == []
 
 
-def test_hops_in_order_and_recovery():
-    assert hops.RouteModel([Stub("a"), Stub("b")], "way").translate(["one two. Three"], "fr", "pt", 4) == ["oneab two.ab Threeab"]
-    weak = Stub("a", longest=2)
-    assert hops.step("p q r s", weak, 4) == "pa qa ra sa"
-    assert weak.calls == 4  # the first, the whole again, and two halves
-    with pytest.raises(ChunkError):
-        hops.step(" ".join("w" * 40), Stub("a", longest=2), 4)  # too deep
-    with pytest.raises(ChunkError):
-        hops.step("  ", Stub("a"), 4)
-    assert hops.middle(["▁a", "b", "c"]) is None
-
-
-def test_way_runs_as_a_model(spark):
-    rows = spark.createDataFrame([("k", "fr", "un deux")], "key string, lang string, text string")
-    run = runner("test-way", lambda: hops.RouteModel([Stub("x"), Stub("y")], "way"), "pt")
-    assert [tuple(r) for r in rows.mapInPandas(run, "key string, value string, error string").collect()] == [("k", "unxy deuxxy", None)]
-
-
 def test_package_hop():
     class Result:
         def __init__(self, tokens):
@@ -72,8 +35,9 @@ def test_package_hop():
         def decode(self, tokens):
             return "".join(tokens)
 
-    hop = hops.PackageHop("p", "<pt>", most_output=9, load=lambda path: (Model(), Pieces()))
-    assert hops.step("a b", hop, 4) == "a b"
+    hop = hops.PackageHop("p", "pt", "<pt>", most_output=9, load=lambda path: (Model(), Pieces()))
+    parts = hops.TokenParts(hop)
+    assert parts.ask(parts.split("a b"), "fr", "pt", 4) == ["a b"]
     for bad in ([], ["x"] * 9, ["<pt>"]):
         with pytest.raises(ChunkError):
             hop.decode(bad)
@@ -91,6 +55,7 @@ def test_converted_models(tmp_path):
     assert not models.is_converted(root)
     (root / "model").mkdir(parents=True)
     (root / "tokenizer").mkdir()
+    (root / "tokenizer" / "tokenizer.json").write_text("{}")
     (root / "model" / "model.bin").write_text("x")
     (root / "metadata.json").write_text(json.dumps({"modelo": "nllb_600m"}))
     assert models.is_converted(root) and models.is_converted(root, "nllb_600m") and not models.is_converted(root, "other")

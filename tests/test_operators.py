@@ -150,22 +150,6 @@ def test_valid_cache(spark):
     assert [tuple(r) for r in valid_cache(df).collect()] == [("a", "x")]
 
 
-def test_recovery_halves():
-    class Short(backends.LexicalModel):
-        def translate(self, texts, source, target, beam):
-            return [t if len(t.split()) <= 10 else "x" for t in texts]
-
-    text = " ".join(["abc"] * 36)
-    assert backends.translated(text, Short(), "fr", "pt") == text
-    with pytest.raises(backends.ChunkError):
-        backends.translated(" ".join(["abc"] * 200), Short(), "fr", "pt")
-
-
-def test_packed():
-    model = backends.LexicalModel()
-    assert backends.packed("One two. Three four five six.", model, 3) == ["One two.", "Three four five", "six."]
-
-
 # states --------------------------------------------------------------------------------------------
 
 
