@@ -23,8 +23,12 @@ _BASES = tuple(int(x) % _PRIME for x in np.random.default_rng(3).integers(1 << 4
 _LOW61, _LOW31, _LOW30 = np.uint64(_PRIME), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
 _30, _31, _61 = np.uint64(30), np.uint64(31), np.uint64(61)
 _powers: dict[int, np.ndarray] = {}
-#: Longest word, in bytes, whose hash is kept, and most words that are.
-KEPT_BYTES, KEPT_WORDS = 32, 500_000
+_BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+#: Bytes of a word that are a number below the prime, and what is left of eight bytes if so many count.
+CHUNK = 7
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(CHUNK + 1)], np.uint64)
+#: Bytes of text that are hashed together.
+TOGETHER = 1 << 20
 
 
 def _reduced(x: np.ndarray) -> np.ndarray:
@@ -55,32 +59,38 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-class _Digests(dict):
-    """Word -> its 128-bit XXH3, short words kept."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        import xxhash
-
-        found = xxhash.xxh3_128_digest(word)
-        if len(word) <= KEPT_BYTES:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[word] = found
-        return found
-
-
-_digests = _Digests()
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops of the words of a text's bytes."""
+    blank = np.concatenate([[True], _BLANK[data], [True]])
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    return edges[::2], edges[1::2]
 
 
 class Words:
-    """Two independent hashes of any run of a text's words, by differences of running sums of the words' XXH3."""
+    """Two independent hashes of any run of a text's words, by differences of running sums.
+
+    A word of up to CHUNK bytes is a number by itself, with its length; of longer ones, chunks are summed by
+    powers of the base, and then the length.
+    """
 
     def __init__(self, text: bytes) -> None:
-        each = np.frombuffer(b"".join(map(_digests.__getitem__, text.split())), "<u8").reshape(-1, 2)
-        self.n = len(each)
+        self.starts, stops = _words(np.frombuffer(text, np.uint8))
+        self.n = len(self.starts)
+        eight = np.ndarray(len(text) + 1, "<u8", text + bytes(8), strides=(1,))
+        sizes = stops - self.starts
+        first = (eight[self.starts] & _FIRST[np.minimum(sizes, CHUNK)]) + (np.minimum(sizes, CHUNK + 1).astype(np.uint64) << np.uint64(8 * CHUNK))
+        long_ = np.flatnonzero(sizes > CHUNK)
         self.sums = []
-        for k, base in enumerate(_BASES):
-            terms = _times(_reduced(each[:, k]), _power(self.n, base))
+        for base in _BASES:
+            each = first.copy()
+            rest, at = long_, CHUNK
+            while len(rest):
+                more = eight[self.starts[rest] + at] & _FIRST[np.minimum(sizes[rest] - at, CHUNK)]
+                each[rest] = _reduced(_times(each[rest], np.full(len(rest), base, np.uint64)) + more)
+                at += CHUNK
+                rest = rest[sizes[rest] > at]
+            each[long_] = _reduced(_times(each[long_], np.full(len(long_), base, np.uint64)) + sizes[long_].astype(np.uint64))
+            terms = _times(each, _power(self.n, base))
             low, high = np.cumsum(terms & _LOW31, dtype=np.uint64), np.cumsum(terms >> _31, dtype=np.uint64)
             high = _reduced(high)
             self.sums.append(np.concatenate([[np.uint64(0)], _reduced(_reduced(low) + (((high & _LOW30) << _31) | (high >> _30)))]))
@@ -93,16 +103,20 @@ class Words:
         """Both hashes of each run: what tells pieces apart."""
         return pa.StructArray.from_arrays([pa.array(self.runs(start, stop, k).view(np.int64)) for k in (0, 1)], ["a", "b"])
 
-    def pieces(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Anchor's hash, first window and number of windows of each run of windows that share an anchor; the first of equal anchors counts."""
+    def pieces(self, length: int, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Anchor's hash, first window and number of windows of each run of windows that share an anchor; the first of equal anchors counts. No window has words of two texts, where of tells the text of each word."""
         n = self.n - length + 1
         if n < 1:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         anchors = np.arange(self.n - ANCHOR + 1)
         grams = self.runs(anchors, anchors + ANCHOR)
         least = np.lib.stride_tricks.sliding_window_view(grams, length - ANCHOR + 1).argmin(axis=1) + np.arange(n)
-        first = np.flatnonzero(np.diff(least, prepend=-1))
-        return grams[least[first]], first, np.diff(first, append=n)
+        windows = np.arange(n) if of is None else np.flatnonzero(of[:n] == of[length - 1 :])
+        least = least[windows]
+        new = np.diff(least, prepend=-1) != 0
+        new[1:] |= np.diff(windows) > 1
+        first = np.flatnonzero(new)
+        return grams[least[first]], windows[first], np.diff(first, append=len(windows))
 
 
 class Automaton:
@@ -184,20 +198,24 @@ def _occurrences(rows: DataFrame, length: int) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            anchors, hashes, places, sizes, counts = [], [], [], [], []
-            for text in batch.column(2).to_pylist():
-                words = Words(text.encode())
-                anchor, at, n = words.pieces(length)
-                anchors.append(anchor)
-                hashes.append(words.pair(at, at + n + length - 1))
-                places.append(at)
-                sizes.append(n)
-                counts.append(len(at))
-            each = pa.array(np.repeat(np.arange(batch.num_rows), counts))
-            columns = [pa.array(np.concatenate([*x, np.zeros(0, t)]).astype(t)) for x, t in ((anchors, np.uint64), (places, np.int32), (sizes, np.int32))]
-            whole = pa.chunked_array(hashes, PIECE).combine_chunks()
-            columns = [columns[0].view(pa.int64()), whole, batch.column(0).take(each), batch.column(1).take(each), *columns[1:]]
-            yield pa.RecordBatch.from_arrays(columns, ["anchor", "piece", "doc_id", "row", "at", "n"])
+            held, size, first = [], 0, 0
+            for k in range(batch.num_rows):
+                held.append(batch.column(2)[k].as_py().encode())
+                size += len(held[-1])
+                if size >= TOGETHER or k + 1 == batch.num_rows:
+                    yield pieces(batch.slice(first, len(held)), held)
+                    held, size, first = [], 0, k + 1
+
+    def pieces(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
+        """The pieces of some texts, which are hashed as one."""
+        words, text = _together(texts)
+        anchor, at, n = words.pieces(length, text)
+        each = text[at] if len(at) else at
+        whole = words.pair(at, at + n + length - 1)
+        at = at - np.searchsorted(text, each)
+        where = pa.array(each)
+        columns = [pa.array(anchor.view(np.int64)), whole, batch.column(0).take(where), batch.column(1).take(where), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, ["anchor", "piece", "doc_id", "row", "at", "n"])
 
     return rows.mapInArrow(of, "anchor long, piece struct<a: long, b: long>, doc_id long, row long, at int, n int")
 
@@ -211,12 +229,11 @@ def _passages(rows: DataFrame, firsts: DataFrame, length: int) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                doc_id, row, words = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].as_py().encode().split()
-                places = batch.column(3)[k].as_py()
-                texts = [b" ".join(words[p["at"] : p["at"] + p["n"] + length - 1]) for p in places]
-                columns = [[p["key"] for p in places], [p["piece"] for p in places], [doc_id] * len(places), [row] * len(places), [p["at"] for p in places], texts]
-                types = [pa.int64(), PIECE, pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "piece", "doc_id", "row", "at", "text"])
+                words, places = batch.column(2)[k].as_py().encode().split(), batch.column(3)[k].values
+                at, n = (places.field(c).to_numpy().tolist() for c in ("at", "n"))
+                texts = pa.array([b" ".join(words[x : x + y + length - 1]) for x, y in zip(at, n, strict=True)], pa.binary())
+                whose = [pa.repeat(batch.column(c)[k], len(places)) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([places.field("key"), places.field("piece"), *whose, places.field("at"), texts], ["key", "piece", "doc_id", "row", "at", "text"])
 
     wanted = firsts.groupBy(F.col("doc_id").alias("of_id"), F.col("row").alias("of_row")).agg(F.collect_list(F.struct("key", "piece", "at", "n")).alias("places"))
     # merged at every size, as lists of places have no bound
@@ -224,6 +241,12 @@ def _passages(rows: DataFrame, firsts: DataFrame, length: int) -> DataFrame:
     return joined.select("doc_id", "row", "text", "places").mapInArrow(of, PASSAGE)
 
 
+def _together(texts: list[bytes]) -> tuple[Words, np.ndarray]:
+    """Some texts hashed as one, and the text of each word."""
+    words = Words(b" ".join(texts))
+    return words, np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), words.starts, "right")
+
+
 def _finer(passages: DataFrame, length: int) -> DataFrame:
     """passages parted once more, as (up_key, up_piece, off) and the columns of PASSAGE: each window by that of its six-word runs which the fewest passages of its key hold.
 
@@ -232,42 +255,53 @@ def _finer(passages: DataFrame, length: int) -> DataFrame:
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for text in batch.column(5).to_pylist():
-                words = Words(text)
-                at = np.arange(words.n - ANCHOR + 1)
-                found.append(words.runs(at, at + ANCHOR).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], [*batch.schema.names, "grams"])
+            words, text = _together(batch.column(5).to_pylist())
+            at = np.arange(max(0, words.n - ANCHOR + 1))
+            at = at[text[at] == text[at + ANCHOR - 1]]
+            offsets = np.searchsorted(text[at], np.arange(batch.num_rows + 1)).astype(np.int32)
+            grams = pa.ListArray.from_arrays(pa.array(offsets), pa.array(words.runs(at, at + ANCHOR).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, grams], [*batch.schema.names, "grams"])
 
     of = stored(passages.mapInArrow(runs, f"{PASSAGE}, grams array<long>"), "grams")
-    counts = of.select("key", F.explode(F.array_distinct("grams")).alias("gram")).groupBy("key", "gram").agg(F.count("*").alias("n"))
+    # most runs are in one passage of their key alone, and need not be joined
+    counts = of.select("key", F.explode(F.array_distinct("grams")).alias("gram")).groupBy("key", "gram").agg(F.count("*").alias("n")).filter("n > 1")
     each = of.select("key", "piece", F.posexplode("grams").alias("pos", "gram")).join(counts, ["key", "gram"])
-    listed = each.groupBy("key", "piece").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "n"))), lambda x: x["n"]).alias("counts"))
+    listed = each.groupBy("key", "piece").agg(F.collect_list("pos").alias("shared"), F.collect_list("n").alias("counts"))
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                words = Words(r["text"])
-                n, grams = words.n - length + 1, np.array(r["grams"], np.int64).view(np.uint64)
-                order = np.lexsort([np.arange(len(grams)), grams, np.array(r["counts"])])
+            if not batch.num_rows:
+                continue
+            of = {n: batch.column(n) for n in batch.schema.names}
+            texts = of["text"].to_pylist()
+            words, text = _together(texts)
+            bases = np.searchsorted(text, np.arange(len(texts)))
+            firsts, stops, grams_of, whose, out = [], [], [], [], []
+            for k, tokens in enumerate(x.split(b" ") for x in texts):
+                grams = of["grams"][k].values.to_numpy().view(np.uint64)
+                n, counts = len(tokens) - length + 1, np.ones(len(grams), np.int64)
+                if of["shared"][k].is_valid:
+                    counts[of["shared"][k].values.to_numpy()] = of["counts"][k].values.to_numpy()
+                order = np.lexsort([np.arange(len(grams)), grams, counts])
                 rank = np.empty(len(order), np.int64)
                 rank[order] = np.arange(len(order))
                 least = np.lib.stride_tricks.sliding_window_view(rank, length - ANCHOR + 1).argmin(axis=1) + np.arange(n)
                 first = np.flatnonzero(np.diff(least, prepend=-1))
                 stop = np.append(first[1:], n)
-                tokens = r["text"].split(b" ")
-                keys = _mixed(grams[least[first]] ^ np.array(r["key"], np.int64).view(np.uint64) * np.uint64(_ODD)).view(np.int64)
-                whole = words.pair(first, stop + length - 1).to_pylist()
-                out += [
-                    (r["key"], r["piece"], a, key, piece, r["doc_id"], r["row"], r["at"] + a, b" ".join(tokens[a : b + length - 1]))
-                    for a, b, key, piece in zip(first.tolist(), stop.tolist(), keys.tolist(), whole, strict=True)
-                ]
-            types = [pa.int64(), PIECE, pa.int32(), pa.int64(), PIECE, pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                firsts.append(first)
+                stops.append(stop)
+                grams_of.append(grams[least[first]])
+                whose.append(np.full(len(first), k))
+                out += [b" ".join(tokens[a : b + length - 1]) for a, b in zip(first.tolist(), stop.tolist(), strict=True)]
+            first, stop, grams, k = (np.concatenate(x) for x in (firsts, stops, grams_of, whose))
+            up = {n: of[n].take(pa.array(k)) for n in ("key", "piece", "doc_id", "row", "at")}
+            keys = _mixed(grams ^ up["key"].to_numpy().view(np.uint64) * np.uint64(_ODD)).view(np.int64)
+            whole = words.pair(bases[k] + first, bases[k] + stop + length - 1)
+            at = pa.array((up["at"].to_numpy() + first).astype(np.int32))
             names = ["up_key", "up_piece", "off", "key", "piece", "doc_id", "row", "at", "text"]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names)
+            yield pa.RecordBatch.from_arrays([up["key"], up["piece"], pa.array(first.astype(np.int32)), pa.array(keys), whole, up["doc_id"], up["row"], at, pa.array(out, pa.binary())], names)
 
-    return of.join(listed, ["key", "piece"]).mapInArrow(parts, f"up_key long, up_piece struct<a: long, b: long>, off int, {PASSAGE}")
+    return of.join(listed, ["key", "piece"], "left").mapInArrow(parts, f"up_key long, up_piece struct<a: long, b: long>, off int, {PASSAGE}")
 
 
 def _automata(passages: DataFrame, length: int, shard_words: int) -> DataFrame:
@@ -275,23 +309,30 @@ def _automata(passages: DataFrame, length: int, shard_words: int) -> DataFrame:
 
     A task takes its passages by key and place. They are the shards of reference: each passage streams
     through the suffix automaton of those before it, which gives its matching statistics, and what is
-    new in it is added. A shard ends at the key with which it has shard_words.
+    new in it is added. A shard ends at the key with which it has shard_words. A key's only passage meets
+    no other, as equal windows have equal keys, and is in no automaton.
     """
     rows = passages.repartition("key").sortWithinPartitions("key", "doc_id", "row", "at", "piece")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, ids, size, last = Automaton(), _Ids(), 0, (None, None)
+        automaton, ids, size, last, alone = Automaton(), _Ids(), 0, (None, None), b""
         for batch in batches:
             stay, starts, stops = [], [], []
             for k, (key, piece) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 if (key, piece) == last:
                     continue  # an equal row of the table
-                if key != last[0] and size >= shard_words:
-                    automaton, ids, size = Automaton(), _Ids(), 0
-                words = list(map(ids.__getitem__, batch.column(5)[k].as_py().split(b" ")))
-                found = seen_in(automaton, words, length)
-                size, last = size + len(words), (key, piece)
-                seen = set(found)
+                text = batch.column(5)[k].as_py()
+                if key != last[0]:
+                    if size >= shard_words:
+                        automaton, ids, size = Automaton(), _Ids(), 0
+                    found, alone = [], text
+                else:
+                    for passage in (alone, text) if alone else (text,):
+                        words = list(map(ids.__getitem__, passage.split(b" ")))
+                        found = seen_in(automaton, words, length)
+                        size += len(words)
+                    alone = b""
+                last, seen = (key, piece), set(found)
                 stay.append(k)
                 starts.append([x for x in found if x - 1 not in seen])
                 stops.append([x + 1 for x in found if x + 1 not in seen])

@@ -173,6 +173,8 @@ def test_sequences_that_collide_in_sums_modulo_two_to_the_64(spark):
     order = thue_morse(2048)
     texts += [[["red", "blue"][x ^ y] for x in order] for y in (0, 1)]
     texts += [["y" * 100_000, *words], ["y" * 99_999 + "z", *words], ["y" * 100_000, *words]]
+    odd = ["a", "a\0", "\0a", "a\0\0", "abcdefg", "abcdefg\0", "abcdefgh", "abcdefg\0\0\0\0\0\0\0", "abcdefghabcdefg", "abcdefgabcdefg"]
+    texts += [[x, *[f"o{k}" for k in range(19)]] for x in odd]
     rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     expected = brute_substrings(rows)
@@ -180,6 +182,18 @@ def test_sequences_that_collide_in_sums_modulo_two_to_the_64(spark):
     assert [r[2] for r in expected[:2]] == [0, 0]
 
 
+def test_texts_hashed_together_are_apart(monkeypatch):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 12) for _ in range(rng.choice([0, 3, 19, 20, 21, 60]))) for _ in range(40)]
+    both = b" ".join(t.encode() for t in texts)
+    words = substrings.Words(both)
+    of = np.searchsorted(np.cumsum([len(t.encode()) + 1 for t in texts]), words.starts, "right")
+    anchor, at, n = words.pieces(20, of)
+    together = [(int(of[a]), int(h), int(a - np.searchsorted(of, of[a])), int(c)) for h, a, c in zip(anchor, at, n)]
+    alone = [(k, int(h), int(a), int(c)) for k, t in enumerate(texts) for h, a, c in zip(*substrings.Words(t.encode()).pieces(20))]
+    assert together == alone
+
+
 def test_hashes_of_runs():
     rng = random.Random(5)
     text = [rng.choice("abc") for _ in range(400)]
