@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as tx
+from folioflow.operators.running import last_so_far, most_before, sum_before
+from folioflow.operators.trees import descendants
 from folioflow.plans.stages import staged
 
 # Lines that the viewer itself puts around a text; names of a page; roles.
@@ -108,29 +110,6 @@ def node_page(role: str | Column, name: str | Column) -> Column:
     return F.when(F.lower(tx.strip(role)).isin(*PAGE_ROLES) & (number != ""), number.try_cast("int"))
 
 
-def descendants(nodes: DataFrame, roots: DataFrame, most_levels: int = 200) -> DataFrame:
-    """(doc_key, root, node_id, path): every node below each root (doc_key, root), path sorting them depth first.
-
-    nodes: doc_key, node_id, child_ids. One join a level of the tree; a node that is its own ancestor
-    ends its branch, and one reached twice keeps its first place.
-    """
-    edges = staged(nodes.select("doc_key", F.col("node_id").alias("parent"), F.posexplode(F.coalesce("child_ids", F.array().cast("array<string>"))).alias("k", "child")))
-    level = roots.select("doc_key", "root", F.col("root").alias("node_id"), F.array().cast("array<int>").alias("path"), F.array("root").alias("above"))
-    found = None
-    for _ in range(most_levels):
-        below = level.join(edges, (level["doc_key"] == edges["doc_key"]) & (level["node_id"] == edges["parent"])).filter(~F.array_contains("above", F.col("child")))
-        level = staged(below.select(level["doc_key"], "root", F.col("child").alias("node_id"), F.array_append("path", F.col("k")).alias("path"), F.array_append("above", F.col("child")).alias("above")))
-        if level.isEmpty():
-            break
-        part = level.select("doc_key", "root", "node_id", "path")
-        found = part if found is None else found.unionByName(part)
-    else:
-        raise ValueError(f"a tree of more than {most_levels} levels")
-    if found is None:
-        return level.select("doc_key", "root", "node_id", "path")
-    return found.groupBy("doc_key", "root", "node_id").agg(F.min("path").alias("path"))
-
-
 def node_units(nodes: DataFrame) -> DataFrame:
     """(doc_key, page_no, nth, text) of nodes (doc_key, pos, node_id, role, name, child_ids).
 
@@ -142,17 +121,18 @@ def node_units(nodes: DataFrame) -> DataFrame:
     role, name = F.lower(tx.strip(F.coalesce("role", F.lit("")))), tx.normalize_spaces(F.coalesce("name", F.lit("")))
     nodes = staged(nodes.select("doc_key", "pos", "node_id", role.alias("role"), name.alias("name"), "child_ids", node_page(role, name).alias("page_no")))
     pages = nodes.filter("page_no is not null").select("doc_key", F.col("node_id").alias("root"), F.col("pos").alias("root_pos"), "page_no")
-    below = staged(descendants(nodes, pages).join(nodes.select("doc_key", "node_id", "role", "name"), ["doc_key", "node_id"]))
-    heads = below.filter(F.col("role").isin(*PARAGRAPH_ROLES)).select("doc_key", F.col("root").alias("page_root"), F.col("node_id").alias("root"), F.col("path").alias("at"))
-    texts = below.filter((F.col("role") == "statictext") & (F.col("name") != "")).select("doc_key", "root", "node_id", "path", "name")
-    # paragraphs above a text are those whose path begins its own
-    above = texts.join(heads.select("doc_key", F.col("page_root").alias("root"), F.col("root").alias("head"), "at"), ["doc_key", "root"]).filter(F.slice("path", F.lit(1), F.greatest(F.size("at"), F.lit(1))) == F.col("at"))
-    owner = above.groupBy("doc_key", "root", "node_id").agg(F.min("at").alias("at"))
-    rows = texts.join(owner, ["doc_key", "root", "node_id"], "left")
-    whole = lambda x: tx.normalize_spaces(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "name"))), lambda t: t["name"]), x))
+    below = descendants(nodes, pages).join(nodes.select("doc_key", "node_id", "role", "name"), ["doc_key", "node_id"])
+    below = below.filter(F.col("role").isin("statictext", *PARAGRAPH_ROLES)).withColumn("page", F.struct("doc_key", "root"))
+    head = F.col("role").isin(*PARAGRAPH_ROLES)
+    # only outermost paragraphs count: those that don't lie in the reach of one before
+    below = staged(most_before(below, "page", "pre", F.when(head, F.col("last")), "reach"))
+    outer = F.when(head & F.coalesce(F.col("reach") < F.col("pre"), F.lit(True)), F.struct(F.col("pre").alias("at"), F.col("last").alias("reach")))
+    rows = last_so_far(below, "page", "pre", ["node_id"], outer, "owner").filter((F.col("role") == "statictext") & (F.col("name") != ""))
+    rows = staged(rows.select("doc_key", "root", "pre", "name", F.when(F.col("owner.reach") >= F.col("pre"), F.col("owner.at")).alias("at")))
+    whole = lambda x: tx.normalize_spaces(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "name"))), lambda t: t["name"]), x))
     inside = rows.filter("at is not null").groupBy("doc_key", "root", "at").agg(whole(" ").alias("text")).select("doc_key", "root", F.lit(0).alias("kind"), "at", F.lit(0).alias("k"), "text")
-    left = rows.filter(F.col("at").isNull() & ~tx.is_noise("name")).groupBy("doc_key", "root").agg(F.transform(F.array_sort(F.collect_list(F.struct("path", "name"))), lambda t: t["name"]).alias("names"))
-    left = left.select("doc_key", "root", F.lit(1).alias("kind"), F.array().cast("array<int>").alias("at"), F.posexplode(buffered("names")).alias("k", "text"))
+    left = rows.filter(F.col("at").isNull() & ~tx.is_noise("name")).groupBy("doc_key", "root").agg(F.transform(F.array_sort(F.collect_list(F.struct("pre", "name"))), lambda t: t["name"]).alias("names"))
+    left = left.select("doc_key", "root", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("at"), F.posexplode(buffered("names")).alias("k", "text"))
     units = inside.filter(~tx.is_noise("text")).unionByName(left.filter("text != ''")).join(pages, ["doc_key", "root"])
     last = Window.partitionBy("doc_key", "page_no").orderBy(F.desc("root_pos"))
     units = units.withColumn("newest", F.dense_rank().over(last)).filter("newest = 1")
@@ -199,6 +179,41 @@ def best_snapshots(units: DataFrame, requested: DataFrame) -> DataFrame:
     return units.join(best.select("doc_key", (-F.col("top.first")).alias("snapshot")), ["doc_key", "snapshot"])
 
 
+def snapshot_runs(units: DataFrame, requested: DataFrame, least: int = LEAST_LETTERS) -> DataFrame:
+    """(doc_key, snapshot, letters, ready, stable): of units (doc_key, snapshot, page_no, text), how much each snapshot read of the pages asked for, requested (doc_key, page_no).
+
+    ready: it has letters enough on each of them. stable counts the snapshots since one read more than all before
+    it; that one itself has 0. Snapshots without any unit of the pages asked for read 0 letters; a document without
+    such pages is ready at once.
+    """
+    asked = requested.select("doc_key", "page_no").distinct()
+    wanted = asked.groupBy("doc_key").agg(F.count("*").alias("wanted"))
+    on = units.join(asked, ["doc_key", "page_no"], "left_semi").groupBy("doc_key", "snapshot", "page_no").agg(F.sum(F.coalesce(tx.latin_letters("text"), F.lit(0)).cast("long")).alias("letters"))
+    sums = on.groupBy("doc_key", "snapshot").agg(F.sum("letters").alias("letters"), F.count_if(F.col("letters") >= least).alias("full"))
+    rows = units.select("doc_key", "snapshot").distinct().join(sums, ["doc_key", "snapshot"], "left").join(wanted, "doc_key", "left")
+    zero = F.lit(0).cast("long")
+    rows = rows.select("doc_key", "snapshot", F.coalesce("letters", zero).alias("letters"), (F.coalesce("full", zero) >= F.coalesce("wanted", zero)).alias("ready"), F.lit(1).alias("one"))
+    rows = sum_before(most_before(staged(rows), "doc_key", "snapshot", F.col("letters"), "most"), "doc_key", "snapshot", "one", "nth")
+    grew = F.coalesce(F.col("letters") > F.col("most"), F.lit(True))
+    rows = last_so_far(rows, "doc_key", "snapshot", [], F.when(grew, F.col("nth")), "since")
+    return rows.select("doc_key", "snapshot", "letters", "ready", (F.col("nth") - F.col("since")).alias("stable"))
+
+
+def chosen_snapshots(runs: DataFrame, least_stable: int = 1) -> DataFrame:
+    """(doc_key, snapshot, letters, settled) of snapshot_runs: the first that is ready and stable; where none is, the first of those that read most, not settled."""
+    first = F.min(F.when(F.col("ready") & (F.col("stable") >= least_stable), F.struct("snapshot", "letters")))
+    most = F.max(F.struct("letters", (-F.col("snapshot")).alias("first")))
+    found = runs.groupBy("doc_key").agg(first.alias("settled"), most.alias("most"))
+    of = lambda x, y: F.when(F.col("settled").isNotNull(), x).otherwise(y)
+    return found.select("doc_key", of(F.col("settled.snapshot"), -F.col("most.first")).alias("snapshot"), of(F.col("settled.letters"), F.col("most.letters")).alias("letters"), F.col("settled").isNotNull().alias("settled"))
+
+
+def read_pages(units: DataFrame, requested: DataFrame, chosen: DataFrame) -> DataFrame:
+    """What the cache of read pages takes: of units those of requested pages in the chosen snapshots that are settled."""
+    kept = units.join(chosen.filter("settled").select("doc_key", "snapshot"), ["doc_key", "snapshot"], "left_semi")
+    return kept.join(requested.select("doc_key", "page_no").distinct(), ["doc_key", "page_no"], "left_semi")
+
+
 def cached_pages(cache: DataFrame, requested: DataFrame, least: int = LEAST_LETTERS) -> DataFrame:
     """Rows of cache (sha256, page_no, text, …) for requested (doc_key, sha256, page_no), of documents of which every page asked for has letters enough."""
     read = cache.groupBy("sha256", "page_no").agg(F.sum(tx.latin_letters("text")).alias("letters"))

@@ -23,6 +23,16 @@ def sum_before(rows: DataFrame, key: str, place: str, value: str, name: str, str
     return rows.withColumn(name, within).join(sums, [key, "stretch"]).withColumn(name, F.col(name) + F.col("ahead")).drop("stretch", "ahead")
 
 
+def most_before(rows: DataFrame, key: str, place: str, value: Column, name: str, stretch: int = STRETCH) -> DataFrame:
+    """rows with name: the largest value that isn't null among the rows of the key at smaller places; null where there is none. Places are whole numbers, once a key."""
+    rows = rows.withColumn("value", value).withColumn("stretch", F.floor(F.col(place) / stretch))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    most = rows.groupBy(key, "stretch").agg(F.max("value").alias("of"))
+    most = most.select(key, "stretch", F.max("of").over(before.partitionBy(key).orderBy("stretch")).alias("ahead"))
+    within = F.max("value").over(before.partitionBy(key, "stretch").orderBy(place))
+    return rows.withColumn(name, within).join(most, [key, "stretch"]).withColumn(name, F.greatest(name, "ahead")).drop("stretch", "ahead", "value")
+
+
 def last_so_far(rows: DataFrame, key: str, place: str, order: list[str], event: Column, name: str, stretch: int = STRETCH) -> DataFrame:
     """rows with name: the last event that isn't null among the rows of the key up to this one, ordered by place and then by order."""
     rows = rows.withColumn("event", event).withColumn("stretch", F.floor(F.col(place) / stretch))

@@ -21,6 +21,7 @@ from folioflow.queries.text import lines, table
 from folioflow.sources import files
 from folioflow.sources.cache_store import CacheStore
 from folioflow.sources.layout_view import HEIGHT, WIDTH
+from folioflow.streaming import finished
 
 CODES = ["en", "fr", "es", "de"]
 
@@ -110,6 +111,27 @@ def q_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.batch_totals(states.join(report.totals(rows).select("doc_key", F.col("revisao_recomendada").alias("n_reviews")), "doc_key", "left"))
 
 
+def q_finished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of all documents as a stream would bring them: those that are whole, with their sums and states."""
+    rows = staged(_worked(spark, sf_dir))
+    pages = finished.page_totals(layout.pages(layout.lines(spark, sf_dir)), rows)
+    found = finished.documents_of(pages)
+    return found.withColumn("n_empty", F.size("empty_pages")).drop("empty_pages")
+
+
+def q_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents that were read several times: each turn is a snapshot of two pages, of which one is settled on."""
+    rows = table(spark, sf_dir, "conversations").filter("conv_id is not null").groupBy("conv_id", "turn").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    page = lambda n, text: F.struct(F.lit(n).alias("page_no"), text.alias("text"))
+    both = F.explode(F.array(page(1, F.left("text", half)), page(2, F.expr("substring(text, int(floor(length(text) / 2)) + 1)")))).alias("p")
+    units = staged(rows.select(F.col("conv_id").cast("string").alias("doc_key"), F.col("turn").alias("snapshot"), both).select("doc_key", "snapshot", "p.*"))
+    asked = units.select("doc_key", "page_no").distinct()
+    chosen = staged(axtree.chosen_snapshots(axtree.snapshot_runs(units, asked)))
+    taken = axtree.read_pages(units, asked, chosen).groupBy("doc_key").agg(F.count("*").alias("n_cached"))
+    return chosen.join(taken, "doc_key", "left").select("doc_key", "snapshot", "letters", "settled", F.coalesce("n_cached", F.lit(0).cast("long")).alias("n_cached"))
+
+
 def q_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = F.when(F.col("ocr"), F.array().cast("array<struct<x0:double>>")).otherwise(F.array(F.struct("x0")))
     rows = _worked(spark, sf_dir).withColumns({"quads": box, "group_pages": F.when(F.col("unit_no") == 1, F.array(F.col("page_no"), F.col("page_no") + 1))})
@@ -136,6 +158,17 @@ def q_ax_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return axtree.node_units(nodes).select("doc_key", "page_no", "nth", F.md5("text").alias("text_md5"))
 
 
+def q_ax_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as trees as deep as they have lines: each line below the one before, every seventh below the first, every third below the one three before; every fifth is a paragraph, the others are texts."""
+    rows = lines(spark, sf_dir).filter("doc_id is not null").select("doc_id", "pos", "line")
+    parent = F.when(F.col("pos") % 7 == 6, 0).when((F.col("pos") % 3 == 0) & (F.col("pos") >= 3), F.col("pos") - 3).otherwise(F.col("pos") - 1)
+    below = rows.filter("pos > 0").groupBy("doc_id", parent.alias("pos")).agg(F.transform(F.array_sort(F.collect_list("pos")), lambda x: x.cast("string")).alias("child_ids"))
+    role = F.when(F.col("pos") == 0, "region").when(F.col("pos") % 5 == 0, "heading").otherwise("StaticText")
+    name = F.when(F.col("pos") == 0, "Page 1").otherwise(F.col("line"))
+    nodes = rows.join(below, ["doc_id", "pos"], "left").select(F.col("doc_id").cast("string").alias("doc_key"), "pos", F.col("pos").cast("string").alias("node_id"), role.alias("role"), name.alias("name"), "child_ids")
+    return axtree.node_units(nodes).select("doc_key", "page_no", "nth", F.md5("text").alias("text_md5"))
+
+
 def q_ax_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as dumped trees: a paragraph for every third line."""
     rows = lines(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_key"), "pos", F.regexp_replace("line", r"['\\]", " ").alias("line"))
@@ -243,8 +276,11 @@ QUERIES = {
     "q_status_totals": q_status_totals,
     "q_batch_summary": q_batch_summary,
     "q_annotations": q_annotations,
+    "q_finished": q_finished,
+    "q_snapshots": q_snapshots,
     "q_file_scan": q_file_scan,
     "q_ax_nodes": q_ax_nodes,
+    "q_ax_deep": q_ax_deep,
     "q_ax_dump": q_ax_dump,
     "q_recovery": q_recovery,
     "q_translate_units": q_translate_units,
@@ -289,6 +325,16 @@ op AS (SELECT doc_key, bool_or(coalesce(o, true)) AS o FROM pgs LEFT JOIN (SELEC
 x AS (SELECT count(*) AS arquivos, count(*) FILTER (NOT o) AS concluidos, count(*) FILTER (o) AS com_pendencias, CAST(coalesce(sum(revisao_recomendada), 0) AS BIGINT) AS trechos_para_revisao FROM op LEFT JOIN tt USING (doc_key))
 SELECT arquivos, concluidos, com_pendencias, CAST(0 AS BIGINT) AS ignorados_existentes, CAST(0 AS BIGINT) AS ignorados_ja_traduzidos, CAST(0 AS BIGINT) AS erros, trechos_para_revisao,
   CASE WHEN arquivos = 0 THEN 'sem_arquivos' WHEN com_pendencias > 0 THEN 'concluido_com_pendencias' ELSE 'concluido' END AS estado FROM x""",
+    "q_finished": f"""{_WORKED},
+pgs AS (SELECT DISTINCT doc_key, page_no FROM layout_lines),
+pt AS (SELECT doc_key, page_no, count(state) AS n_units, {_n("state = 'traduzido'", 'n_translated')}, {_n("state = 'preservado'", 'n_kept')}, {_n("state NOT IN ('traduzido', 'preservado')", 'n_open')}, {_n("state = 'traduzido' AND n % 5 = 0", 'n_reviews')} FROM pgs LEFT JOIN worked USING (doc_key, page_no) GROUP BY ALL)
+SELECT doc_key, CAST(count(*) AS INT) AS n_pages, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in ('n_units', 'n_translated', 'n_kept', 'n_open', 'n_reviews'))}, CAST(count(*) FILTER (n_units = 0) AS INT) AS n_empty,
+  CASE WHEN sum(n_open) > 0 OR count(*) FILTER (n_units = 0) > 0 THEN 'concluido_com_pendencias' ELSE 'concluido' END AS state FROM pt GROUP BY doc_key""",
+    "q_snapshots": f"""WITH r AS (SELECT CAST(conv_id AS VARCHAR) AS doc_key, turn AS snapshot, min(coalesce(text, '')) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY ALL),
+h AS (SELECT doc_key, snapshot, {duck.letters('substr(t, 1, length(t) // 2)')} AS a, {duck.letters('substr(t, length(t) // 2 + 1)')} AS b FROM r),
+g AS (SELECT *, a + b AS letters, a >= 35 AND b >= 35 AS ready, coalesce(a + b <= max(a + b) OVER (PARTITION BY doc_key ORDER BY snapshot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS still FROM h),
+c AS (SELECT doc_key, min(snapshot) FILTER (ready AND still) AS settled_at, arg_min(snapshot, [-letters, snapshot]) AS most_at FROM g GROUP BY doc_key)
+SELECT c.doc_key, g.snapshot, CAST(g.letters AS BIGINT) AS letters, settled_at IS NOT NULL AS settled, CASE WHEN settled_at IS NOT NULL THEN 2 ELSE 0 END AS n_cached FROM c JOIN g ON g.doc_key = c.doc_key AND g.snapshot = coalesce(settled_at, most_at)""",
     "q_annotations": f"""{_WORKED}
 SELECT doc_key, page_no, unit_no, CASE WHEN state = 'traduzido' THEN 'translated' ELSE 'failed' END AS kind, CASE WHEN n % 2 = 0 THEN 'note' ELSE 'highlight' END AS form,
   CASE WHEN state = 'traduzido' THEN CASE WHEN n % 2 = 0 THEN 'Chrome OCR | tradução FR → PT' ELSE 'Tradução FR → PT | local' END ELSE CASE WHEN n % 2 = 0 THEN 'Chrome OCR | tradução pendente' ELSE 'Tradução pendente' END END AS subject,
@@ -299,4 +345,19 @@ FROM worked WHERE state <> 'preservado'""",
     "q_ax_nodes": f"""WITH u AS (SELECT CAST(conv_id AS VARCHAR) AS doc_key, turn, {_ax} AS t FROM conversations),
 k AS (SELECT doc_key, t, min(turn) AS turn FROM u WHERE NOT {duck.noise('t')} GROUP BY ALL)
 SELECT doc_key, 3 AS page_no, CAST(row_number() OVER (PARTITION BY doc_key ORDER BY turn) AS INT) AS nth, md5(t) AS text_md5 FROM k""",
+    "q_ax_deep": f"""WITH RECURSIVE l AS (SELECT doc_id, pos, {duck.norm('line')} AS name, CASE WHEN pos % 7 = 6 THEN 0 WHEN pos % 3 = 0 AND pos >= 3 THEN pos - 3 ELSE pos - 1 END AS parent, pos > 0 AND pos % 5 = 0 AS head FROM {_LINES} WHERE doc_id IS NOT NULL),
+w AS (SELECT doc_id, pos, [pos] AS path, CAST([] AS BIGINT[]) AS own, name FROM l WHERE pos = 0
+  UNION ALL SELECT l.doc_id, l.pos, list_append(w.path, l.pos), CASE WHEN len(w.own) > 0 THEN w.own WHEN l.head THEN list_append(w.path, l.pos) ELSE w.own END, l.name FROM w JOIN l ON l.doc_id = w.doc_id AND l.parent = w.pos AND l.pos > 0),
+t AS (SELECT doc_id, path, own, name FROM w WHERE pos > 0 AND pos % 5 <> 0 AND name <> ''),
+ins AS (SELECT doc_id, 0 AS kind, own AS place, 0 AS part, {duck.norm("string_agg(name, ' ' ORDER BY path)")} AS text FROM t WHERE len(own) > 0 GROUP BY doc_id, own),
+lst AS (SELECT doc_id, list(struct_pack(n := length(name) + 1, tail := name, out := [name]) ORDER BY path) AS s FROM t WHERE len(own) = 0 AND NOT {duck.noise('name')} GROUP BY doc_id),
+red AS (SELECT doc_id, list_reduce(s, lambda a, x: struct_pack(
+  n := CASE WHEN a.n + x.n - 1 > 900 OR regexp_matches(a.tail, '[.!?;:]$') THEN x.n ELSE a.n + x.n END, tail := x.tail,
+  out := CASE WHEN a.n + x.n - 1 > 900 OR regexp_matches(a.tail, '[.!?;:]$') THEN list_concat(a.out, x.out) ELSE list_append(a.out[:-2], concat(a.out[-1], ' ', x.tail)) END)).out AS out FROM lst),
+rest AS (SELECT doc_id, 1 AS kind, CAST([] AS BIGINT[]) AS place, unnest(range(len(out))) AS part, {duck.norm('unnest(out)')} AS text FROM red),
+u AS (SELECT * FROM ins WHERE NOT {duck.noise('text')} UNION ALL SELECT * FROM rest WHERE text <> ''),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY kind, place, part) AS again FROM u),
+here AS (SELECT CAST(doc_id AS VARCHAR) AS doc_key, 1 AS page_no, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY kind, place, part) AS INT) AS nth, md5(text) AS text_md5 FROM o WHERE again = 1),
+flat AS (SELECT doc_id, {duck.norm("string_agg(name, ' ' ORDER BY pos)")} AS text FROM l WHERE pos > 0 AND pos % 5 <> 0 AND NOT {duck.noise('name')} AND doc_id NOT IN (SELECT doc_id FROM o) GROUP BY doc_id)
+SELECT * FROM here UNION ALL SELECT CAST(doc_id AS VARCHAR), 1, 1, md5(text) FROM flat WHERE text <> ''""",
 }

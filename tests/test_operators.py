@@ -71,6 +71,34 @@ def test_fold():
     assert len(fold_page(rows, 1200, 3500, False)) == 4
 
 
+def plain_cuts(sizes, stops, limit, most):
+    out, rest = [], list(range(len(sizes)))
+    while rest:
+        ends = [(sum(sizes[i] for i in rest[:k]) + k - 1, k) for k in range(1, len(rest) + 1)]
+        good = [(abs(n - limit), k) for n, k in ends if 0.55 * limit <= n <= 1.35 * limit and stops[rest[k - 1]]]
+        if ends[-1][0] <= limit:
+            k = len(rest)
+        elif good:
+            k = min(good)[1]
+        elif ends[-1][0] <= most:
+            k = len(rest)
+        else:
+            k = max([k for n, k in ends if n <= most], default=1)
+        rest = rest[k:]
+        out.append(len(sizes) - len(rest))
+    return out
+
+
+def test_cuts_equal_plain_ones():
+    rng = random.Random(3)
+    for _ in range(3_000):
+        n = rng.randrange(0, 40)
+        sizes, stops = [rng.choice([0, 3, 20, 80, 200, 900]) for _ in range(n)], [rng.random() < 0.3 for _ in range(n)]
+        limit = rng.choice([200, 300, 1200])
+        most = max(rng.choice([400, 3500]), int(1.6 * limit))
+        assert cuts(sizes, stops, limit, most) == plain_cuts(sizes, stops, limit, most)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 400), st.booleans()), min_size=1, max_size=40), st.integers(200, 800))
 def test_cuts_keep_all_lines(lines, limit):
