@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.plans.stages import staged
+from folioflow.plans.stages import rewritten, staged
 
 
 def parents(nodes: DataFrame) -> DataFrame:
@@ -45,12 +45,12 @@ def ranked(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     enter = F.when(F.col("below").isNotNull(), step(F.col("below"), False)).otherwise(step(F.col("node_id"), True))
     leave = F.when(F.col("beside").isNotNull(), step(F.col("beside"), False)).when(F.col("parent").isNotNull(), step(F.col("parent"), True)).otherwise(none)
     steps = rows.select("doc_key", F.explode(F.array(F.struct(step(F.col("node_id"), False).alias("at"), enter.alias("to"), F.lit(1).cast("long").alias("n")), F.struct(step(F.col("node_id"), True).alias("at"), leave.alias("to"), F.lit(0).cast("long").alias("n")))).alias("s"))
-    steps = staged(steps.select("doc_key", "s.*"))
+    steps, at = rewritten(steps.select("doc_key", "s.*"))
     for _ in range(_rounds(nodes)):
         if steps.filter("to is not null").isEmpty():
             break
         there = steps.select("doc_key", F.col("at").alias("to"), F.col("to").alias("then"), F.col("n").alias("more"))
-        steps = staged(steps.join(there, ["doc_key", "to"], "left").select("doc_key", "at", F.col("then").alias("to"), (F.col("n") + F.coalesce("more", F.lit(0).cast("long"))).alias("n")))
+        steps, at = rewritten(steps.join(there, ["doc_key", "to"], "left").select("doc_key", "at", F.col("then").alias("to"), (F.col("n") + F.coalesce("more", F.lit(0).cast("long"))).alias("n")), at)
     rings = staged(steps.filter("to is not null").select("doc_key").distinct())
     ends = steps.groupBy("doc_key", F.col("at.node_id").alias("node_id")).agg(F.max(F.when(~F.col("at.leaves"), -F.col("n"))).alias("pre"), F.max(F.when(F.col("at.leaves"), -F.col("n") - 1)).alias("last"))
     found = rows.select("doc_key", "node_id", "parent").join(ends, ["doc_key", "node_id"]).join(rings, "doc_key", "left_anti")
@@ -60,10 +60,10 @@ def ranked(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 def nearest(nodes: DataFrame, marked: DataFrame) -> DataFrame:
     """(doc_key, node_id, mark) of ranked nodes: the nearest of marked (doc_key, node_id) above a node, for nodes that have one, by doubling the way up."""
     marks = marked.select("doc_key", F.col("node_id").alias("parent"), F.col("node_id").alias("mark"))
-    rows = staged(nodes.select("doc_key", "node_id", "parent").join(marks, ["doc_key", "parent"], "left").withColumn("up", F.when(F.col("mark").isNull(), F.col("parent"))).select("doc_key", "node_id", "up", "mark"))
+    rows, at = rewritten(nodes.select("doc_key", "node_id", "parent").join(marks, ["doc_key", "parent"], "left").withColumn("up", F.when(F.col("mark").isNull(), F.col("parent"))).select("doc_key", "node_id", "up", "mark"))
     while not rows.filter("up is not null").isEmpty():  # ends, as ranked nodes have no rings
         there = rows.select("doc_key", F.col("node_id").alias("up"), F.col("up").alias("then"), F.col("mark").alias("found"))
-        rows = staged(rows.join(there, ["doc_key", "up"], "left").select("doc_key", "node_id", F.col("then").alias("up"), F.coalesce("mark", "found").alias("mark")))
+        rows, at = rewritten(rows.join(there, ["doc_key", "up"], "left").select("doc_key", "node_id", F.col("then").alias("up"), F.coalesce("mark", "found").alias("mark")), at)
     return rows.filter("mark is not null").select("doc_key", "node_id", "mark")
 
 
@@ -73,7 +73,7 @@ def _of_trees(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> tuple[Dat
     pairs = found = above.select("doc_key", "node_id", F.col("mark").alias("root"))
     over = above.select("doc_key", F.col("node_id").alias("root"), "mark")
     while not pairs.isEmpty():  # a round for each root around another
-        pairs = staged(pairs.join(over, ["doc_key", "root"]).select("doc_key", "node_id", F.col("mark").alias("root")))
+        pairs, _ = rewritten(pairs.join(over, ["doc_key", "root"]).select("doc_key", "node_id", F.col("mark").alias("root")))
         found = found.unionByName(pairs)
     return found.join(order, ["doc_key", "node_id"]).select("doc_key", "root", "node_id", "pre", "last"), rings
 
@@ -86,10 +86,10 @@ def _by_levels(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     while True:
         below = level.join(edges.withColumnRenamed("parent", "node_id"), ["doc_key", "node_id"]).filter(~F.array_contains("above", F.col("child")))
         level = below.select("doc_key", "root", F.col("child").alias("node_id"), F.array_append("path", F.col("k")).alias("path"), F.array_append("above", F.col("child")).alias("above"))
-        level = staged(level.groupBy("doc_key", "root", "node_id").agg(F.min_by(F.struct("path", "above"), "path").alias("b")).select("doc_key", "root", "node_id", "b.*"))
+        level, _ = rewritten(level.groupBy("doc_key", "root", "node_id").agg(F.min_by(F.struct("path", "above"), "path").alias("b")).select("doc_key", "root", "node_id", "b.*"))
         if level.isEmpty():
             break
-        known = staged(known.unionByName(level.select("doc_key", "root", "node_id", "path")))
+        known = known.unionByName(level.select("doc_key", "root", "node_id", "path"))
     once = known.groupBy("doc_key", "root", "node_id").agg(F.min("path").alias("path"))
     once = staged(once.withColumn("pre", F.row_number().over(Window.partitionBy("doc_key", "root").orderBy("path")).cast("long")))
     inner = once.select("doc_key", "root", F.col("path").alias("inner"), F.col("pre").alias("at"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,21 @@ def staged(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def rewritten(df: DataFrame, last: str | None = None) -> tuple[DataFrame, str]:
+    """df written as Parquet to the shared folder and read again, and where; the table of the round before, at last, is deleted.
+
+    For rounds that join a table with itself: a checkpoint keeps the estimated size of what it was made of, a
+    product that each round squares, until planning takes longer than the work; a file has its own size.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if last is not None:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(last)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """df, to be broadcast if it has at most so many rows; it has to be written already, as it is counted here."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
