@@ -73,11 +73,10 @@ def q_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_cache_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines in two rounds against a store: those of every other document, then, with the store compacted, those of all; each round adds what was missing, and what a third finds is counted."""
     rows = lines(spark, sf_dir).filter("trim(line) != ''").select("lang", "doc_id", "line", tx.cache_key("line", F.coalesce("lang", F.lit("")), F.lit("pt")).alias("key"))
-    rows = staged(rows)
     store = CacheStore(spark, f"{shared_folder(spark)}/cache-{uuid.uuid4().hex}")
 
     def a_round(asked: DataFrame, number: int) -> None:
-        missing = asked.join(staged(store.lookup(asked)), "key", "left_anti").groupBy("key").agg(F.min("line").alias("line"))
+        missing = asked.join(staged(store.lookup(asked).select("key")), "key", "left_anti").groupBy("key").agg(F.min("line").alias("line"))
         value = F.when(F.col("line").rlike("[0-9]"), "<html><body>503</body></html>").otherwise(F.concat(F.lit(f"{number} "), F.col("line")))
         store.add(missing.select("key", value.alias("value")), number)
 
@@ -85,8 +84,8 @@ def q_cache_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.compact()
     a_round(rows, 2)
     store.compact()
-    found = rows.join(staged(store.lookup(rows)), "key", "left").withColumn("round", F.substring("value", 1, 1))
-    out = staged(found.groupBy("lang").agg(F.count("*").alias("n_units"), F.count_if(F.col("round") == "1").alias("n_first"), F.count_if(F.col("round") == "2").alias("n_second"), F.count_distinct(F.when(F.col("value").isNull(), F.col("key"))).alias("n_missing")))
+    found = rows.select("lang", "key").join(staged(store.lookup(rows).select("key", F.substring("value", 1, 1).alias("round"))), "key", "left")
+    out = staged(found.groupBy("lang").agg(F.count("*").alias("n_units"), F.count_if(F.col("round") == "1").alias("n_first"), F.count_if(F.col("round") == "2").alias("n_second"), F.count_distinct(F.when(F.col("round").isNull(), F.col("key"))).alias("n_missing")))
     store.vacuum()
     store.close()
     return out
