@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioflow.functions.terms import WORD, fold, like, terms_of, word_needed
 from folioflow.functions.text import col
 
 # By source language, what the source says, what a translation then may say, and what it
@@ -66,52 +69,57 @@ ENGLISH = (
 PROFILES = {"didatica_matematica": {"fr": FRENCH, "it": ITALIAN, "en": ENGLISH}}
 
 
-def _cased(found: str, term: str) -> str:
-    if found.isupper():
-        return term.upper()
-    head, tail = found[:1], found[1:]
-    return term[:1].upper() + term[1:] if head.isupper() and tail.islower() else term
+class Profile:
+    """The rules of a profile for one source language. A source's words tell which rules can apply at all; only those look at it."""
 
+    def __init__(self, rules: tuple) -> None:
+        self.rules = [(word_needed(says), re.compile(says, re.I), [re.compile(o, re.I) for o in options], term) for says, options, term in rules]
 
-def _rewrite(source: str, target: str, rules: tuple, custom: list[tuple[re.Pattern, str]]) -> tuple[str, int]:
-    total = 0
-    for says, options, term in rules:
-        if says.search(source):
-            for option in options:
-                target, n = option.subn(lambda m, t=term: _cased(m[0], t), target, count=1)
-                total += n
-                if n:
-                    break
-    for pattern, term in custom:
-        target, n = pattern.subn(lambda m, t=term: _cased(m[0], t), target)
-        total += n
-    return target, total
+    def put(self, source: str, target: str) -> tuple[str, int]:
+        """target with the first match of each rule's first option that has one replaced, and how many were."""
+        words, total = set(WORD.findall(fold(source))), 0
+        for needed, says, options, term in self.rules:
+            if (needed is None or needed in words) and says.search(source):
+                match = next((m for o in options if (m := o.search(target))), None)
+                if match:
+                    target = target[: match.start()] + like(match[0], term) + target[match.end() :]
+                    total += 1
+        return target, total
+
+
+@lru_cache(maxsize=4)
+def profile_of(name: str) -> dict[str, Profile]:
+    return {lang: Profile(rules) for lang, rules in PROFILES[name].items()}
 
 
 def glossary(source: str | Column, target: str | Column, lang: str | Column, profile: str | None = None, custom: dict[str, str] | None = None) -> Column:
     """Struct (text, n): target with terms put right, and how often. Null targets stay null.
 
-    Only rows in which a rule's source or a custom term occurs go through Python, as replacing the
-    first match alone and looking around a term are beyond column functions; others pass in the JVM.
+    A profile's rules come first, then the user's own terms, each in their order. All of the user's terms are found by
+    one automaton, so a text is read once for any number of them; it is made once a worker. Rows of languages
+    without rules go through Python only if there are terms of the user's.
     """
-    by_lang = PROFILES[profile] if profile else {}
-    custom = custom or {}
-    s, t, code = col(source), col(target), col(lang)
-    touched = F.lit(False)
-    for k, rules in by_lang.items():
-        touched = touched | ((code == k) & s.rlike(f"(?iU)(?:{'|'.join(dict.fromkeys(r[0] for r in rules))})"))
-    if custom:
-        touched = touched | t.rlike("(?iU)(?:" + "|".join(re.escape(x) for x in custom) + ")")
+    own = tuple((custom or {}).items())
+    t, code = col(target), col(lang)
+    if not profile and not own:
+        return F.struct(t.alias("text"), F.lit(0).alias("n"))
 
     @F.pandas_udf("struct<text:string,n:int>")
-    def rewritten(sources: pd.Series, targets: pd.Series, langs: pd.Series) -> pd.DataFrame:
-        compiled = {k: tuple((re.compile(a, re.I), tuple(re.compile(o, re.I) for o in b), c) for a, b, c in rules) for k, rules in by_lang.items()}
-        own = [(re.compile(rf"(?<!\w){re.escape(a)}(?!\w)", re.I), b) for a, b in custom.items()]
-        rows = [(x, 0) if x is None else _rewrite(a or "", x, compiled.get(k, ()), own) for a, x, k in zip(sources, targets, langs, strict=True)]
-        return pd.DataFrame(rows, columns=["text", "n"])
-
-    touched = F.coalesce(touched, F.lit(False))
-    if not by_lang and not custom:
-        return F.struct(t.alias("text"), F.lit(0).alias("n"))
-    found = rewritten(F.when(touched, s), F.when(touched, t), code)
+    def rewritten(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        by_lang, terms = profile_of(profile) if profile else {}, terms_of(own)
+
+        def one(source: str | None, text: str | None, lang: str | None) -> tuple[str | None, int]:
+            if text is None:
+                return None, 0
+            text, n = by_lang[lang].put(source or "", text) if lang in by_lang else (text, 0)
+            text, more = terms.put(text)
+            return text, n + more
+
+        for batch in batches:
+            yield pd.DataFrame([one(*row) for row in zip(*batch, strict=True)], columns=["text", "n"])
+
+    if own:
+        return rewritten(col(source), t, code)
+    touched = F.coalesce(code.isin(*PROFILES[profile]), F.lit(False))
+    found = rewritten(F.when(touched, col(source)), F.when(touched, t), code)
     return F.when(touched, found).otherwise(F.struct(t.alias("text"), F.lit(0).alias("n")))
