@@ -65,6 +65,8 @@ class Automaton:
             if at:
                 self.numbers[at].append(number)
         self.length = depth
+        #: Terms of one word each are looked for by those words that a text has.
+        self.single = not self.bare and max(depth) == 1
         self.fail = [0] * len(self.next)
         #: The nearest shorter end of a state at which a term ends; 0 if there is none.
         self.shorter = [0] * len(self.next)
@@ -85,9 +87,16 @@ class Automaton:
     def found(self, text: str, after: int = -1) -> list[tuple[int, int, int]]:
         """(start, stop, number) of every place of a term with a number above after, overlapping ones too; of equal terms the smallest such number."""
         low = fold(text)
-        if not self.bare and self.needed.isdisjoint(WORD.findall(low)):
+        here = () if self.bare else self.needed.intersection(WORD.findall(low))
+        if not here and not self.bare:
             return []
         out: list[tuple[int, int, int]] = []
+        if self.single:
+            for m in _any_of(frozenset(here)).finditer(low):
+                numbers = self.numbers[self.next[0][m[0]]]
+                if (k := bisect_right(numbers, after)) < len(numbers):
+                    out.append((m.start(), m.end(), numbers[k]))
+            return out
         starts: list[int] = []
         state = 0
         root, following = self.next[0], self.next
@@ -116,6 +125,11 @@ class Automaton:
         return not (start and WORD.match(low[start - 1])) and not (stop < len(low) and WORD.match(low[stop]))
 
 
+@lru_cache(maxsize=1024)
+def _any_of(words: frozenset[str]) -> re.Pattern:
+    return re.compile(rf"\b(?:{'|'.join(sorted(words))})\b")
+
+
 class Terms:
     """Terms and what each becomes: every term is replaced everywhere, one term after the other in their order, in the case of what it replaces.
 
