@@ -26,16 +26,16 @@ def _flag(code: str, message: Column, when: Column) -> Column:
 def audit(source: str | Column, target: str | Column, lang: str | Column, technical: bool = True) -> Column:
     """Array of structs (code, message), each code once at most; empty for a translation without doubts.
 
-    Null texts count as empty. technical=False leaves out the search for altered technical elements,
-    by far the dearest.
+    Null texts count as empty. technical=False leaves out the search for altered technical elements.
     """
     empty = lambda x: tx.normalize_spaces(F.coalesce(tx.col(x), F.lit("")))
-    both = F.struct(empty(source).alias("s"), empty(target).alias("t"))
-    return tx.let(both, lambda p: _flags(p["s"], p["t"], tx.col(lang), technical))
+    elements = F.transform(protect.protected(empty(source)), lambda x: x["original"]) if technical else F.lit(None).cast("array<string>")
+    both = F.struct(empty(source).alias("s"), empty(target).alias("t"), elements.alias("elements"))
+    return tx.let(both, lambda p: _flags(p["s"], p["t"], tx.col(lang), p["elements"] if technical else None))
 
 
-def _flags(s: Column, t: Column, lang: Column, technical: bool) -> Column:
-    """audit() of normalised texts."""
+def _flags(s: Column, t: Column, lang: Column, elements: Column | None) -> Column:
+    """audit() of normalised texts, the source's technical elements among them if they are to be looked for."""
     counts = F.struct(tx.latin_words(s).alias("n"), tx.latin_words(t).alias("m"), tx.last_word(s).alias("s_last"), tx.last_word(t).alias("t_last"), tx.rx(s, SENTENCE_STOP).alias("s_stops"))
     shape = tx.let(counts, lambda c: _shape_flags(s, t, c))
     european = lambda words: _flag(
@@ -47,8 +47,8 @@ def _flags(s: Column, t: Column, lang: Column, technical: bool) -> Column:
     for says, renders, message in reversed(SUSPECT_TERMS):
         suspect = F.when(tx.rx(s, f"(?i){says}") & tx.rx(t, f"(?i){renders}"), F.lit(message)).otherwise(suspect)
     more = []
-    if technical:
-        missing = F.filter(F.transform(protect.protected(s), lambda x: x["original"]), lambda x: ~F.contains(t, x))
+    if elements is not None:
+        missing = F.filter(elements, lambda x: ~F.contains(t, x))
         more.append(tx.let(missing, lambda x: _flag("elemento_tecnico_alterado", F.concat(F.lit("Elemento técnico ausente ou alterado: "), F.array_join(F.slice(x, 1, 3), ", ")), F.size(x) > 0)))
     more += [
         _flag("marcador_exposto", F.lit("Um marcador interno apareceu na tradução."), protect.exposed(t)),
