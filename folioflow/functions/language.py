@@ -36,7 +36,7 @@ Scores = Callable[[Column, list[str]], Column]
 
 
 def letters(text: str | Column) -> Column:
-    return F.regexp_count(col(text), F.lit(r"\p{L}"))
+    return F.length(F.regexp_replace(col(text), r"\P{L}+", ""))
 
 
 def _among(listed: list[str]) -> Callable[[Column], Column]:
@@ -60,19 +60,25 @@ def best(scores: Column) -> Column:
 
 def heading_hint(text: str | Column, codes: list[str]) -> Column:
     """The first of codes, in their order, of which a hint starts the text behind its numbering; else null."""
-    t = F.regexp_replace(F.lower(normalize_spaces(text)), r"^[0-9.:\-–—()\[\] ]+", "")
-    out = F.lit(None).cast("string")
-    for k in reversed(codes):
-        if k in HEADING_HINTS:
-            out = F.when(t.rlike(f"^(?:{'|'.join(HEADING_HINTS[k])})"), F.lit(k)).otherwise(out)
-    return out
+    return _hint(normalize_spaces(text), codes)
 
 
-def unit_language(text: str | Column, codes: list[str], dominant: str | Column, scores: Scores = word_scores) -> Column:
+def _hint(clean: Column, codes: list[str]) -> Column:
+    def told(t: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for k in reversed(codes):
+            if k in HEADING_HINTS:
+                out = F.when(t.rlike(f"^(?:{'|'.join(HEADING_HINTS[k])})"), F.lit(k)).otherwise(out)
+        return out
+
+    return let(F.regexp_replace(F.lower(clean), r"^[0-9.:\-–—()\[\] ]+", ""), told)
+
+
+def unit_language(text: str | Column, codes: list[str], dominant: str | Column, scores: Scores = word_scores, clean: bool = False) -> Column:
     """Struct (code, score, reason) of a unit. Short or unsure ones have the document's language, dominant.
 
     Accepted are scores from 0.80 on with 40 letters, from 0.96 on with 15; below 8 letters nothing is
-    asked. Null texts count as empty.
+    asked. Null texts count as empty. A clean text is normalised already.
     """
     of = lambda code, score, reason: F.struct(code.alias("code"), score.alias("score"), F.lit(reason).alias("reason"))
     main = F.lit(dominant) if isinstance(dominant, str) and len(dominant) == 2 else col(dominant)
@@ -87,5 +93,5 @@ def unit_language(text: str | Column, codes: list[str], dominant: str | Column,
             .otherwise(of(main, top["score"], "predominante_baixa_confianca"))
         )
 
-    facts = lambda t: F.struct(letters(t).alias("n"), heading_hint(t, codes).alias("hint"), best(scores(t, codes)).alias("top"))
-    return let(let(normalize_spaces(F.coalesce(col(text), F.lit(""))), facts), told)
+    facts = lambda t: F.struct(letters(t).alias("n"), _hint(t, codes).alias("hint"), best(scores(t, codes)).alias("top"))
+    return let(let(col(text) if clean else normalize_spaces(F.coalesce(col(text), F.lit(""))), facts), told)

@@ -55,7 +55,7 @@ def with_language(units: DataFrame, dominant: DataFrame, codes: list[str], text:
     rows = units.join(dominant.select("doc_key", "dominant"), "doc_key", "left")
     if model is not None:
         codes, scores, rows = model.codes, ngrams.given(), ngrams.scored(rows.withColumn("clean", tx.normalize_spaces(F.coalesce(F.col(text), F.lit("")))), "clean", model)
-    rows = rows.withColumn("found", lg.unit_language(text, codes, F.col("dominant"), scores))
+    rows = rows.withColumn("found", lg.unit_language(text if model is None else "clean", codes, F.col("dominant"), scores, clean=model is not None))
     return rows.withColumns({"lang": F.col("found.code"), "lang_score": F.col("found.score"), "lang_reason": F.col("found.reason")}).drop("found", "dominant", "lang_scores", "clean")
 
 
