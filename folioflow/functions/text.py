@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 # Character classes and patterns that results depend on.
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 UPPER_LATIN = "A-ZÀ-ÖØ-Þ"
+#: All that (?U)\\s matches, as characters to trim.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 CLOSERS = "”\"»’)"
 SENTENCE_END = f"[.!?][0-9{CLOSERS}]*\\s*$"
 OPENERS = " «“\"'(\\[{"
@@ -56,17 +58,18 @@ def rx(text: Column, pattern: str) -> Column:
 
 def strip(text: str | Column) -> Column:
     """Without white space at both ends, NBSP and line ends included; trim() knows the blank alone."""
-    return F.regexp_replace(col(text), r"(?U)^\s+|\s+$", "")
+    return F.btrim(col(text), F.lit(WHITE))
 
 
 def normalize_spaces(text: str | Column) -> Column:
     """Soft hyphens gone, runs of blanks and tabs one blank, line ends without white space around, both ends stripped."""
-    flat = F.regexp_replace(F.replace(col(text), F.lit("­"), F.lit("")), r"[ \t]+", " ")
-    return strip(F.regexp_replace(flat, r"(?U)\s*\n\s*", "\n"))
+    # single blanks and single line ends are as they should be, and most are single: only others are matched
+    flat = F.regexp_replace(F.replace(col(text), F.lit("­"), F.lit("")), r"[ \t]{2,}|\t", " ")
+    return strip(F.regexp_replace(flat, r"(?U)\s+\n\s*|\n\s+", "\n"))
 
 
 def latin_letters(text: str | Column) -> Column:
-    return F.regexp_count(col(text), F.lit(f"[{LATIN}]"))
+    return F.length(F.regexp_replace(col(text), f"[^{LATIN}]+", ""))
 
 
 def latin_words(text: str | Column) -> Column:
@@ -88,9 +91,9 @@ def merge_text(a: str | Column, b: str | Column) -> Column:
     return F.when(a.endswith("-") & starts_lower(b), F.concat(F.regexp_replace(a, "-$", ""), b)).otherwise(F.concat(a, F.lit(" "), b))
 
 
-def join_lines(lines: str | Column) -> Column:
-    """An array of lines as running text: blank lines go, bullets start a line, hyphens at line ends close words."""
-    kept = F.filter(F.transform(col(lines), normalize_spaces), lambda x: x != "")
+def join_lines(lines: str | Column, clean: bool = False) -> Column:
+    """An array of lines as running text: blank lines go, bullets start a line, hyphens at line ends close words. clean lines are normalised already."""
+    kept = F.filter(col(lines) if clean else F.transform(col(lines), normalize_spaces), lambda x: x != "")
     folded = F.aggregate(
         kept, F.lit("").cast("string"),
         lambda out, x: F.when(out == "", x).when(rx(x, BULLET), F.concat(out, F.lit("\n"), x)).otherwise(merge_text(out, x)),
@@ -111,22 +114,26 @@ def cache_key(text: str | Column, source: str | Column, target: str | Column) ->
 
 def is_noise(text: str | Column) -> Column:
     """Nothing to translate: under three Latin letters, or only a page number, address or identifier. Null is noise."""
-    t = normalize_spaces(text)
-    words = F.size(F.filter(F.split(t, r"(?U)\s+"), lambda x: x != ""))
-    alone = (
-        rx(t, r"(?i)^\s*(?:page\s*)?\d+(?:\s*(?:/|of)\s*\d+)?\s*$") | rx(t, r"(?i)^(?:https?://|www\.)\S+$") | rx(t, rf"(?i)^{DOI}$")
-        | (F.lower(t).contains("orcid.org/") & (words <= 3)) | rx(t, r"^\S+@\S+\.\S+$")
-    )
-    return F.coalesce((latin_letters(t) < 3) | alone, F.lit(True))
+    alone = rf"(?iU)^(?:\s*(?:page\s*)?\d+(?:\s*(?:/|of)\s*\d+)?\s*|(?:https?://|www\.)\S+|{DOI}|\S+@\S+\.\S+)$"
+
+    def told(t: Column) -> Column:
+        words = F.size(F.filter(F.split(t, r"(?U)\s+"), lambda x: x != ""))
+        return ~t.rlike(f"(?s)(?:[{LATIN}][^{LATIN}]*+){{3}}") | t.rlike(alone) | (F.lower(t).contains("orcid.org/") & (words <= 3))
+
+    return F.coalesce(let(normalize_spaces(text), told), F.lit(True))
 
 
 def is_heading(text: str | Column, font: str | Column, body: str | Column) -> Column:
     """A larger font, or a short line mostly of capitals; never over 180 characters."""
-    t = normalize_spaces(text)
-    letters, capitals = F.regexp_count(t, F.lit(r"\p{L}")), F.regexp_count(t, F.lit(r"\p{Lu}"))
-    words = F.size(F.filter(F.split(t, r"(?U)\s+"), lambda x: x != ""))
-    loud = (words <= 12) & (letters > 0) & (capitals / F.greatest(letters, F.lit(1)) > 0.72)
-    return (t != "") & (F.length(t) <= 180) & ((col(font) > col(body) * 1.15) | loud)
+    count = lambda t, others: F.length(F.regexp_replace(t, others, ""))
+
+    def told(t: Column) -> Column:
+        letters = count(t, r"\P{L}+")
+        words = F.size(F.filter(F.split(t, r"(?U)\s+"), lambda x: x != ""))
+        loud = (words <= 12) & (letters > 0) & (count(t, r"\P{Lu}+") / F.greatest(letters, F.lit(1)) > 0.72)
+        return (t != "") & (F.length(t) <= 180) & ((col(font) > col(body) * 1.15) | loud)
+
+    return let(normalize_spaces(text), told)
 
 
 def is_standalone_math(text: str | Column) -> Column:
@@ -138,9 +145,15 @@ def is_standalone_math(text: str | Column) -> Column:
 
 
 def is_reference_heading(first_line: str | Column, text: str | Column) -> Column:
-    head = F.regexp_extract(normalize_spaces(text), f"(?iU){REFERENCE_START}", 1)
-    short = (head != "") & (F.size(F.filter(F.split(head, r"(?U)\s+"), lambda x: x != "")) <= 3)
-    return rx(normalize_spaces(first_line), f"(?i)^{REFERENCE_HEADING}$") | short
+    whole = f"(?iU)^{REFERENCE_HEADING}$"
+
+    def short(t: Column) -> Column:
+        head = F.regexp_extract(t, f"(?iU){REFERENCE_START}", 1)
+        return (head != "") & (F.size(F.filter(F.split(head, r"(?U)\s+"), lambda x: x != "")) <= 3)
+
+    if isinstance(first_line, str) and first_line == text:
+        return let(normalize_spaces(text), lambda t: t.rlike(whole) | short(t))
+    return normalize_spaces(first_line).rlike(whole) | let(normalize_spaces(text), short)
 
 
 def ends_references(first_line: str | Column) -> Column:
@@ -149,20 +162,22 @@ def ends_references(first_line: str | Column) -> Column:
 
 def is_caption_or_footnote(text: str | Column, font: str | Column, body: str | Column) -> Column:
     """A caption's first word, a far smaller font, or a number in front in a smaller font. A null font counts as the body's."""
-    t, size = normalize_spaces(text), F.coalesce(col(font), col(body))
-    return rx(t, f"(?i){CAPTION}") | (size < col(body) * 0.82) | (rx(t, r"^\d+\s+") & (size < col(body) * 0.95))
+    size = F.coalesce(col(font), col(body))
+    return let(normalize_spaces(text), lambda t: rx(t, f"(?i){CAPTION}") | (size < col(body) * 0.82) | (rx(t, r"^\d+\s+") & (size < col(body) * 0.95)))
 
 
 def looks_unfinished(text: str | Column) -> Column:
-    t = normalize_spaces(text)
-    ends = rx(t, f"[.!?][{CLOSERS}]*$")
-    stops = rx(t, f"[.;!?][{CLOSERS}]*$")
-    return (F.length(t) >= 35) & (t.endswith("-") | (~ends & (~stops | last_word(t).isin(*OPEN_WORDS))))
+    def told(t: Column) -> Column:
+        ends = rx(t, f"[.!?][{CLOSERS}]*$")
+        stops = rx(t, f"[.;!?][{CLOSERS}]*$")
+        return (F.length(t) >= 35) & (t.endswith("-") | (~ends & (~stops | last_word(t).isin(*OPEN_WORDS))))
+
+    return let(normalize_spaces(text), told)
 
 
 def begins_as_continuation(text: str | Column) -> Column:
     t = F.regexp_replace(normalize_spaces(text), f"^[{OPENERS}—–-]+", "")
-    return starts_lower(t) | t.rlike(r"^[,;:)\]]")
+    return let(t, lambda t: starts_lower(t) | t.rlike(r"^[,;:)\]]"))
 
 
 def is_error_reply(text: str | Column) -> Column:

@@ -6,17 +6,22 @@ block_no, line_no, text, x0, y0, x1, y1, font_size; page tables have doc_key, pa
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as tx
 from folioflow.operators.running import last_so_far
+from folioflow.plans.stages import bounded, staged
 
 PAGE = ["doc_key", "page_no"]
 #: Share of a page's height that is margin, at the top and at the bottom.
 MARGIN = 0.10
 UNIT_CHARS, REQUEST_CHARS = 1200, 3500
+#: Running heads and feet that are broadcast.
+BROADCAST_KEYS = 200_000
 
 
 def in_margin(y0: str = "y0", y1: str = "y1", height: str | Column = "height") -> Column:
@@ -38,13 +43,13 @@ def margin_keys(lines: DataFrame, pages: DataFrame, least_pages: int = 3, ratio:
 
 def kept_lines(lines: DataFrame, pages: DataFrame, keys: DataFrame) -> DataFrame:
     """lines (with the page's width and height) without running heads and feet, page numbers in margins, and noise."""
-    rows = lines.join(pages, PAGE).withColumn("margin_key", F.when(in_margin(), tx.margin_key("text")))
-    # lines outside margins have no key, and all of a document's would be one key of the join
-    outside, margins = rows.filter("margin_key is null"), rows.filter("margin_key is not null")
-    margins = margins.join(keys.select("doc_key", "margin_key"), ["doc_key", "margin_key"], "left_anti")
-    rows = outside.unionByName(margins).drop("margin_key")
     number = F.coalesce(tx.rx(F.col("text"), r"^\s*\d+(?:\s*/\s*\d+)?\s*$"), F.lit(False))
-    return rows.filter(~(in_margin() & number) & ~tx.is_noise("text"))
+    rows = lines.filter(~tx.is_noise("text")).join(pages, PAGE).filter(~(in_margin() & number))
+    # lines outside margins meet no key; where keys aren't broadcast, they go to their page's place, not all of a document's to one
+    rows = rows.withColumn("margin_key", F.when(in_margin(), tx.margin_key("text")))
+    rows = rows.withColumns({"outside": F.col("margin_key").isNull(), "at": F.when(F.col("margin_key").isNull(), F.col("page_no")).otherwise(0), "margin_key": F.coalesce("margin_key", F.lit(""))})
+    keys = bounded(staged(keys.select("doc_key", "margin_key", F.lit(False).alias("outside"), F.lit(0).alias("at"))), BROADCAST_KEYS)
+    return rows.join(keys, ["doc_key", "margin_key", "outside", "at"], "left_anti").drop("margin_key", "outside", "at")
 
 
 def paragraphs(lines: DataFrame) -> DataFrame:
@@ -68,7 +73,8 @@ def paragraphs(lines: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(item)).alias("lines"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
         F.coalesce(F.median(F.when(F.col("font_size") > 0, F.col("font_size"))), F.lit(0.0)).alias("font_size"), F.first("width").alias("width"), F.first("height").alias("height"),
     )
-    joined = grouped.withColumn("text", tx.join_lines(F.transform("lines", lambda x: x["line_text"])))
+    alone = F.when(F.size("lines") == 1, F.get("lines", 0)["line_text"])
+    joined = grouped.withColumn("text", alone.otherwise(tx.join_lines(F.transform("lines", lambda x: x["line_text"]), clean=True)))
     joined = joined.filter(~tx.is_noise("text")).withColumn("paragraph_break_before", F.col("group_no") > 0)
     return joined.withColumn("orig_no", F.row_number().over(Window.partitionBy(*PAGE).orderBy("block_no", "group_no")))
 
@@ -149,20 +155,21 @@ def units(ordered: DataFrame, max_chars: int = UNIT_CHARS, merge: bool = True) -
     """Blocks in reading order as units: neighbours that go on in each other joined, long ones parted at line ends.
 
     What a block joins is the unit so far, not the block before, so each page is folded in order. A
-    page goes to one task; pages are small and many. What the fold asks of single blocks is
-    worked out in columns before.
+    page is a row of its blocks; pages are small and many, and pass in batches. What the fold asks of
+    single blocks is worked out in columns before.
     """
     limit = max(200, int(max_chars))
     rows = ordered.join(body_fonts(ordered), PAGE)
-    rows = rows.withColumns({"head": tx.is_heading("text", "font_size", "body_font"), "small": tx.starts_lower("text")})
+    rows = rows.withColumn("head", tx.is_heading("text", "font_size", "body_font"))
     items = F.transform("lines", lambda x: F.struct(x["line_text"].alias("text"), x["x0"].alias("x0"), x["y0"].alias("y0"), x["x1"].alias("x1"), x["y1"].alias("y1"), x["font_size"].alias("font_size")))
-    rows = rows.select(*PAGE, "place", "text", "x0", "y0", "x1", "y1", "font_size", "column", "paragraph_break_before", "body_font", "head", "small", "width", "height", items.alias("lines"))
-    from folioflow.operators.unit_fold import fold_page
+    block = F.struct("place", "text", "x0", "y0", "x1", "y1", "font_size", "column", "paragraph_break_before", "body_font", "head", "width", "height", items.alias("lines"))
+    by_page = rows.groupBy(*PAGE).agg(F.array_sort(F.collect_list(block)).alias("blocks"))
+    from folioflow.operators.unit_fold import fold_pages
 
-    def of(page: pd.DataFrame) -> pd.DataFrame:
-        return fold_page(page.sort_values("place"), limit, max(REQUEST_CHARS, int(limit * 1.6)), merge)
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fold_pages(batches, limit, max(REQUEST_CHARS, int(limit * 1.6)), merge)
 
-    return rows.groupBy(*PAGE).applyInPandas(of, UNIT)
+    return by_page.mapInArrow(of, UNIT)
 
 
 def mark_references(rows: DataFrame, order: list[str], first_line: str | Column = "text") -> DataFrame:
@@ -185,9 +192,10 @@ def continuations(rows: DataFrame, most_chars: int = REQUEST_CHARS) -> DataFrame
     """
     rows = rows.join(body_fonts(rows), PAGE)
     body = ~F.col("preserve") & ~tx.is_caption_or_footnote("text", "font_size", "body_font") & ~tx.is_heading("text", "font_size", "body_font")
-    low = F.when(body & (F.col("y1") >= F.col("height") * 0.58), F.col("unit_no"))
-    high = F.when(body & (F.col("y0") <= F.col("height") * 0.42), F.col("unit_no"))
-    ends = rows.groupBy(*PAGE).agg(F.max(F.when(low.isNotNull(), F.struct(low.alias("no"), F.col("text").alias("text")))).alias("last"), F.min(F.when(high.isNotNull(), F.struct(high.alias("no"), F.col("text").alias("text")))).alias("first"))
+    low = F.when(F.col("y1") >= F.col("height") * 0.58, F.col("unit_no"))
+    high = F.when(F.col("y0") <= F.col("height") * 0.42, F.col("unit_no"))
+    ends = rows.filter((low.isNotNull() | high.isNotNull()) & body).groupBy(*PAGE).agg(F.max(F.when(low.isNotNull(), F.struct(low.alias("no"), F.col("text").alias("text")))).alias("last"), F.min(F.when(high.isNotNull(), F.struct(high.alias("no"), F.col("text").alias("text")))).alias("first"))
+    ends = staged(ends)
     left = ends.filter(F.col("last").isNotNull() & tx.looks_unfinished("last.text")).select("doc_key", F.col("page_no").alias("left_page"), (F.col("page_no") + 1).alias("page_no"), "last")
     right = ends.filter(F.col("first").isNotNull() & tx.begins_as_continuation("first.text")).select(*PAGE, "first")
     met = left.join(right, PAGE).withColumn("text", tx.merge_text("last.text", "first.text")).filter(F.length("text") <= most_chars)

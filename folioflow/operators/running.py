@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.plans.stages import staged
+
 #: Places of one stretch.
 STRETCH = 256
 
@@ -35,7 +37,7 @@ def most_before(rows: DataFrame, key: str, place: str, value: Column, name: str,
 
 def last_so_far(rows: DataFrame, key: str, place: str, order: list[str], event: Column, name: str, stretch: int = STRETCH) -> DataFrame:
     """rows with name: the last event that isn't null among the rows of the key up to this one, ordered by place and then by order."""
-    rows = rows.withColumn("event", event).withColumn("stretch", F.floor(F.col(place) / stretch))
+    rows = staged(rows.withColumn("event", event).withColumn("stretch", F.floor(F.col(place) / stretch)))
     up_to = Window.rowsBetween(Window.unboundedPreceding, 0)
     at = F.struct(place, *order, F.col("event").alias("event"))
     ends = rows.groupBy(key, "stretch").agg(F.max(F.when(F.col("event").isNotNull(), at))["event"].alias("end"))

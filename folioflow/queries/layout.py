@@ -21,8 +21,9 @@ def pages(rows: DataFrame) -> DataFrame:
     return rows.select("doc_key", "page_no").distinct().select("doc_key", "page_no", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))
 
 
-def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines(spark, sf_dir)
+def kept(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """Lines but for running heads and noise, of rows, if these are laid out already."""
+    rows = lines(spark, sf_dir) if rows is None else rows
     return op.kept_lines(rows, pages(rows), op.margin_keys(rows, pages(rows)))
 
 
@@ -65,9 +66,9 @@ def q_body_font(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.body_fonts(blocks(spark, sf_dir))
 
 
-def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+def marked(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """Lines of the body by page and line number, with the reference flag."""
-    rows = kept(spark, sf_dir).withColumn("unit_no", F.row_number().over(Window.partitionBy("doc_key", "page_no").orderBy("y0", "x0", "line_no")))
+    rows = kept(spark, sf_dir, rows).withColumn("unit_no", F.row_number().over(Window.partitionBy("doc_key", "page_no").orderBy("y0", "x0", "line_no")))
     return op.mark_references(rows, ["page_no", "unit_no"])
 
 
@@ -78,7 +79,7 @@ def q_reference_section(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = op.continuations(marked(spark, sf_dir))
+    found = op.continuations(staged(marked(spark, sf_dir)))
     return found.select("doc_key", "group_id", "left_page", "right_page", F.md5("text").alias("text_md5"))
 
 

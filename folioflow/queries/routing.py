@@ -91,29 +91,35 @@ def q_cache_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def _worked(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _worked(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """Body lines as units with a made-up outcome: errors, translations, and a language from their length."""
-    rows = layout.marked(spark, sf_dir)
+    rows = layout.marked(spark, sf_dir, rows)
     n = F.length("text")
     rows = rows.withColumns({"kind": report.preserved_kind(tx.normalize_spaces("text"), "preserve"), "lang": F.when(n % 7 == 0, "pt").otherwise("fr"), "error": F.when(n % 11 == 0, "ValueError: x"), "translation": F.when(n % 11 != 0, F.concat(F.lit("t "), "text"))})
     rows = report.states(rows, "pt", mixed=True, policy="pular_pagina")
     return rows.withColumns({"flags": F.when((F.col("state") == "traduzido") & (n % 5 == 0), F.array(F.struct(F.lit("x").alias("code"), F.lit("y").alias("message")))).otherwise(F.array().cast("array<struct<code:string,message:string>>")), "providers": F.array(F.lit("local")), "ocr": n % 2 == 0})
 
 
+#: What sums and states of units are made of.
+OUTCOME = ["doc_key", "page_no", "unit_no", "state", "kind", "flags"]
+
+
 def q_status_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.totals(_worked(spark, sf_dir))
 
 
 def q_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = staged(_worked(spark, sf_dir))
-    states = report.document_states(layout.pages(layout.lines(spark, sf_dir)), rows)
+    laid = layout.lines(spark, sf_dir)
+    rows = staged(_worked(spark, sf_dir, laid).select(*OUTCOME))
+    states = report.document_states(layout.pages(laid), rows)
     return report.batch_totals(states.join(report.totals(rows).select("doc_key", F.col("revisao_recomendada").alias("n_reviews")), "doc_key", "left"))
 
 
 def q_finished(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of all documents as a stream would bring them: those that are whole, with their sums and states."""
-    rows = staged(_worked(spark, sf_dir))
-    pages = finished.page_totals(layout.pages(layout.lines(spark, sf_dir)), rows)
+    laid = layout.lines(spark, sf_dir)
+    rows = staged(_worked(spark, sf_dir, laid).select(*OUTCOME))
+    pages = finished.page_totals(layout.pages(laid), rows)
     found = finished.documents_of(pages)
     return found.withColumn("n_empty", F.size("empty_pages")).drop("empty_pages")
 

@@ -22,8 +22,12 @@ each AS (SELECT source, first, unnest(range(len(a))) AS i, unnest(a) AS line FRO
 base AS (SELECT source, first + CAST(floor(i / 15) AS INT) + 1 AS page_no, i % 15 AS pos, line FROM each),
 """
 #: Running heads, page numbers, section headings and sentences over page ends are put in at fixed pages.
+_PAGES = """
+pg AS (SELECT DISTINCT source, page_no FROM base),"""
+#: In Spark, pages are counted already, and no text is read for them.
+_SPARK_PAGES = """
+pg AS (SELECT * FROM {paged}),"""
 _TAIL = """
-pg AS (SELECT DISTINCT source, page_no FROM base),
 body AS (SELECT source, page_no, pos, line,
   CASE WHEN page_no % 2 = 1 THEN 'single' WHEN pos % 7 = 0 THEN 'wide' WHEN pos % 2 = 0 THEN 'left' ELSE 'right' END AS slot,
   90 + 40 * pos + (page_no * 7 + pos * 5) % 11 AS y FROM base WHERE length(trim(line)) > 0),
@@ -42,7 +46,7 @@ layout_lines AS (
  UNION ALL SELECT source, CAST(page_no AS INT), 996, 'page and it continues here without a capital letter.', CAST(60 AS DOUBLE), CAST(82 AS DOUBLE), CAST(560 AS DOUBLE), CAST(88 AS DOUBLE), CAST(9.5 AS DOUBLE) FROM pg WHERE page_no % 10 = 6)
 """
 #: The same view for DuckDB, as the start of a WITH clause.
-DUCK_VIEW = (_DUCK_HEAD + _TAIL).rstrip()
+DUCK_VIEW = (_DUCK_HEAD + _PAGES + _TAIL).rstrip()
 WIDTH, HEIGHT = 600.0, 800.0
 
 
@@ -55,7 +59,7 @@ def layout_lines(documents: DataFrame) -> DataFrame:
     """
     source, text = F.coalesce("source", F.lit("")), F.coalesce("text", F.lit(""))
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64("doc_id", "text").alias("row"), source.alias("source"), text.alias("text"))
-    pages = F.floor((F.regexp_count("text", F.lit("\n")) + LINES) / LINES)
+    pages = F.floor((F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + LINES) / LINES)
     sized = staged(rows.groupBy(F.col("source").alias("file"), "id", "row").agg(F.count("*").alias("copies"), F.first(pages).alias("pages")).withColumn("all", F.col("pages") * F.col("copies")))
     ids = sum_before(sized.groupBy("file", "id").agg(F.sum("all").alias("of_id")), "file", "id", "of_id", "first", 1 << 16)
     # of rows that share an id, those with the smaller hash come first, whatever their number
@@ -69,4 +73,5 @@ def layout_lines(documents: DataFrame) -> DataFrame:
         once = rows.join(bounded(repeated, 200_000), here).groupBy("source", "id", "row").agg(*[F.first(c).alias(c) for c in ("text", "first", "copies", "pages")])
         places = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), lambda k: (F.col("first") + k * F.col("pages")).cast("int")))
         placed = placed.unionByName(once.select("source", "text", places.alias("first")))
-    return documents.sparkSession.sql(_SPARK_HEAD + _TAIL + "SELECT * FROM layout_lines", placed=placed)
+    paged = firsts.select(F.col("file").alias("source"), F.explode(F.sequence(F.col("first") + 1, (F.col("first") + F.col("pages") * F.col("copies")).cast("int"))).alias("page_no"))
+    return documents.sparkSession.sql(_SPARK_HEAD + _SPARK_PAGES + _TAIL + "SELECT * FROM layout_lines", placed=placed, paged=paged)
