@@ -92,7 +92,7 @@ class WordParts:
 _made: dict[str, Parts] = {}
 
 PARTS = "key string, lang string, nth int, units array<string>, error string"
-ANSWERS = "lang string, units array<string>, value string, error string, again boolean"
+ANSWERS = "key string, nth int, path string, lang string, units array<string>, value string, error string, again boolean"
 Frames = Iterator[pd.DataFrame]
 
 
@@ -139,14 +139,20 @@ class Stage:
         return [x for p in parts for x in self.answers([p], lang, target, beam)]
 
     def asker(self, target: str, beam: int) -> Callable[[Frames], Frames]:
-        """For mapInPandas over (lang, units): ANSWERS. A part that fails is a row, never a failed task."""
+        """For mapInPandas over (key, nth, path, lang, units), equal parts one behind the other: ANSWERS, each different part asked for once. A part that fails is a row, never a failed task."""
 
         def ask(frames: Frames) -> Frames:
+            last: dict[tuple, tuple] = {}  # the part that the frame before ended with
             for frame in frames:
-                for lang, rows in frame.groupby("lang"):
-                    parts = [list(u) for u in rows["units"]]
-                    found = [x for k in range(0, len(parts), self.batch) for x in self.answers(parts[k : k + self.batch], lang, target, beam)]
-                    yield pd.DataFrame({"lang": lang, "units": parts, "value": [x[0] for x in found], "error": [x[1] for x in found], "again": [x[2] for x in found]})
+                for lang, rows in frame.groupby("lang", sort=False):
+                    parts = [tuple(u) for u in rows["units"]]
+                    known = {p: last[lang, p] for p in parts[:1] if (lang, p) in last}
+                    new = [list(p) for p in dict.fromkeys(parts) if p not in known]
+                    found = [x for k in range(0, len(new), self.batch) for x in self.answers(new[k : k + self.batch], lang, target, beam)]
+                    known |= {tuple(p): x for p, x in zip(new, found, strict=True)}
+                    each = [known[p] for p in parts]
+                    last = {(lang, parts[-1]): each[-1]}
+                    yield rows.assign(value=[x[0] for x in each], error=[x[1] for x in each], again=[x[2] for x in each])
 
         return ask
 

@@ -30,9 +30,12 @@ def middle(stage: Stage, units: str = "units") -> Column:
 
 
 def asked(parts: DataFrame, stage: Stage, target: str, beam: int) -> DataFrame:
-    """parts with value, error and again; equal parts reach the model once, wherever they stand."""
-    once = parts.select("lang", "units").distinct()
-    return staged(parts.join(once.mapInPandas(stage.asker(target, beam), ANSWERS), ["lang", "units"]))
+    """parts with value, error and again; equal parts reach the model once, wherever they stand.
+
+    Equal parts meet in one task, one behind the other, and carry their places with them: no part is moved a second time.
+    """
+    rows = parts.select("key", "nth", "path", "lang", "units").repartition("lang", "units").sortWithinPartitions("lang", "units")
+    return staged(rows.mapInPandas(stage.asker(target, beam), ANSWERS))
 
 
 def through(rows: DataFrame, stage: Stage, target: str) -> DataFrame:
