@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import UPPER_LATIN, col, normalize_spaces, strip
+from folioflow.functions.text import UPPER_LATIN, col, let, normalize_spaces, strip
 
 #: Most characters of one request, and most of its form-encoded length.
 REQUEST_CHARS, ENCODED_CHARS = 3500, 5500
@@ -23,7 +23,7 @@ _OPENING = f"{UPPER_LATIN}0-9“\"("
 
 def encoded_length(text: str | Column) -> Column:
     """Length of a text as a form value: plain characters count one, all others three for each byte."""
-    plain = F.regexp_count(col(text), F.lit(f"[{PLAIN}]"))
+    plain = F.length(F.regexp_replace(col(text), f"[^{PLAIN}]+", ""))
     return plain + 3 * (F.octet_length(col(text)) - plain)
 
 
@@ -57,10 +57,12 @@ def split_text(text: str | Column, limit: int = REQUEST_CHARS) -> Column:
     def parted(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else pieces_of(t, limit))
 
-    t = normalize_spaces(text)
-    fits = (F.length(t) <= limit) & (encoded_length(t) <= ENCODED_CHARS)
+    # a text whose bytes count three each and still fit needs no closer look
+    sized = lambda t: (F.length(t) <= limit) & ((3 * F.octet_length(t) <= ENCODED_CHARS) | (encoded_length(t) <= ENCODED_CHARS))
+    found = let(normalize_spaces(text), lambda t: F.struct(t.alias("t"), sized(t).alias("fits")))
     none = F.array().cast("array<string>")
-    return F.when(F.coalesce(t, F.lit("")) == "", none).when(fits, F.array(t)).otherwise(parted(F.when(~fits, t)))
+    whole = let(found, lambda x: F.when(F.coalesce(x["t"], F.lit("")) == "", none).when(x["fits"], F.array(x["t"])))
+    return F.coalesce(whole, parted(let(found, lambda x: F.when(~x["fits"], x["t"]))))
 
 
 def sentences(text: str | Column, bullets: bool = False) -> Column:

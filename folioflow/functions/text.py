@@ -78,7 +78,8 @@ def latin_words(text: str | Column) -> Column:
 
 def last_word(text: str | Column) -> Column:
     """The last run of Latin letters, lower-cased; empty where there is none."""
-    return F.regexp_extract(F.lower(col(text)), f"([{LATIN}]+)[^{LATIN}]*$", 1)
+    # tried from a run's head alone and never backwards, so that a text is read once
+    return F.regexp_extract(F.lower(col(text)), f"(?<![{LATIN}])([{LATIN}]++)[^{LATIN}]*+$", 1)
 
 
 def starts_lower(text: str | Column) -> Column:

@@ -1,12 +1,16 @@
 """What keeps the work of the layout and language steps in proportion to their input: plans, and cheaper forms against plain ones."""
 
 import re
+import time
+import uuid
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as tx
-from folioflow.operators import layout, ngrams
+from folioflow.operators import layout, ngrams, recovery
+from folioflow.operators.backends import LexicalModel, runner
 from folioflow.plans.stages import staged
 from folioflow.sources.layout_view import layout_lines
 from tests.compare import SF
@@ -81,3 +85,26 @@ def test_classes_of_joined_words_equal_those_of_each(spark):
     wanted = {r["k"]: sorted(r["b"]) for r in each.groupBy("k").agg(F.collect_list("b").alias("b")).collect()}
     joined = {r["k"]: r["j"] for r in rows.select("k", ngrams.words_joined("x").alias("j")).collect()}
     assert {k: sorted(int(b) for part in ngrams.joined_buckets(joined[k]) for b in part) for k in joined} == wanted
+
+
+def test_last_words_of_long_runs(spark):
+    texts = ["", "1", "one two", "one two!", "é1 b2 ", "x\ny\n", "a" * 60_000 + "1 b ", "A-B"]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, x string")
+    start = time.perf_counter()
+    found = {r["k"]: r["w"] for r in rows.select("k", tx.last_word("x").alias("w")).collect()}
+    assert found == {k: (re.findall(f"[{tx.LATIN}]+", x.lower()) or [""])[-1] for k, x in enumerate(texts)}
+    assert time.perf_counter() - start < 8  # a run that is tried from each of its letters takes far longer
+
+
+def test_parts_are_moved_once_for_their_answers(spark, tmp_path):
+    told = str(tmp_path)
+
+    class Told(LexicalModel):
+        def translate(self, texts, source, target, beam):
+            (Path(told) / uuid.uuid4().hex).write_text("\n".join(texts), encoding="utf-8")
+            return super().translate(texts, source, target, beam)
+
+    parts = spark.createDataFrame([(f"k{k}", k % 3, "", "fr", ["le", f"chat{k % 7}"]) for k in range(300)], "key string, nth int, path string, lang string, units array<string>")
+    found = recovery.asked(parts, runner(f"told-{told}", Told, "pt").stages[0], "pt", 1).collect()
+    assert sorted((r["key"], r["nth"], r["value"]) for r in found) == sorted((f"k{k}", k % 3, f"o chat{k % 7}") for k in range(300))
+    assert sorted(x for p in tmp_path.iterdir() for x in p.read_text(encoding="utf-8").split("\n")) == [f"le chat{k}" for k in range(7)]
