@@ -2,12 +2,65 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.plans.stages import rewritten, staged
 
 
+#: Nodes of a document that is put in order in one task.
+WHOLE_NODES = 20_000
+#: Documents that are Python objects at once.
+DOCUMENTS = 32
+ORDERED = "doc_key string, root string, node_id string, pre long, last long"
+_ORDERED = pa.schema([("doc_key", pa.string()), ("root", pa.string()), ("node_id", pa.string()), ("pre", pa.int64()), ("last", pa.int64())])
+
+
+def small_tree(nodes: list[dict]) -> tuple[list[str], dict[str, tuple[int, int]]] | None:
+    """A document's node ids depth first, and of each its place and the last place of its subtree; None if it isn't made of trees."""
+    listed, below = {x["node_id"]: x["child_ids"] for x in nodes}, set()
+    if len(listed) < len(nodes):
+        return None
+    kids: dict[str, list[str]] = {}
+    for node, children in listed.items():
+        kids[node] = [c for c in dict.fromkeys(children or ()) if c in listed]
+        if node in kids[node] or not below.isdisjoint(kids[node]):
+            return None
+        below.update(kids[node])
+    order: list[str] = []
+    places: dict[str, tuple[int, int]] = {}
+    stack = [(node, False) for node in listed if node not in below]
+    while stack:
+        node, leaves = stack.pop()
+        if leaves:
+            places[node] = (places[node][0], len(order) - 1)
+        else:
+            places[node] = (len(order), -1)
+            order.append(node)
+            stack.append((node, True))
+            stack += [(c, False) for c in reversed(kids[node])]
+    return (order, places) if len(order) == len(listed) else None  # what isn't reached lies on a ring
+
+
+def _small_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ORDERED of documents (doc_key, nodes, roots); a row without a node for those that aren't made of trees."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, DOCUMENTS):
+            out: list[tuple] = []
+            for doc in batch.slice(start, DOCUMENTS).to_pylist():
+                if (tree := small_tree(doc["nodes"])) is None:
+                    out.append((doc["doc_key"], None, None, None, None))
+                    continue
+                order, places = tree
+                for root in doc["roots"]:
+                    first, last = places.get(root, (0, -1))
+                    out += [(doc["doc_key"], root, node, *places[node]) for node in order[first + 1 : last + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [()] * 5, _ORDERED, strict=True)], schema=_ORDERED)
+
+
 def parents(nodes: DataFrame) -> DataFrame:
     """(doc_key, parent, k, child): of nodes (doc_key, node_id, child_ids) the edges to nodes that are there, a child once a parent."""
     each = nodes.select("doc_key", F.col("node_id").alias("parent"), F.posexplode(F.coalesce("child_ids", F.array().cast("array<string>"))).alias("k", "child"))
@@ -100,12 +153,27 @@ def _by_levels(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 def descendants(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """(doc_key, root, node_id, pre, last): every node below each root (doc_key, root), pre sorting them depth first, those of a node's subtree having pre up to its last.
 
-    nodes: doc_key, node_id, child_ids; ids of children that are no nodes don't count. Documents made of
-    trees take a number of rounds that grows with the logarithm of their size. Others, in which a node
+    nodes: doc_key, node_id, child_ids; ids of children that are no nodes don't count. Documents of up to
+    WHOLE_NODES nodes that are made of trees are ordered each in one task. Larger ones
+    take a number of rounds that grows with the logarithm of their size. Others, in which a node
     is listed by several parents or by one below it, take a round a level, and one reached
     twice keeps its first place.
     """
-    nodes = nodes.filter("node_id is not null").select("doc_key", "node_id", "child_ids")
+    nodes = staged(nodes.filter("node_id is not null").select("doc_key", "node_id", "child_ids"))
+    sizes = staged(nodes.groupBy("doc_key").agg(F.count("*").alias("n")).filter(F.col("n") > WHOLE_NODES).select("doc_key"))
+    few = F.array_agg(F.struct("node_id", "child_ids")).alias("nodes")
+    docs = nodes.join(sizes, "doc_key", "left_anti").groupBy("doc_key").agg(few)
+    docs = docs.join(roots.groupBy("doc_key").agg(F.array_agg("root").alias("roots")), "doc_key")
+    ordered = staged(docs.mapInArrow(_small_trees, ORDERED))
+    found = ordered.filter("node_id is not null")
+    others = staged(ordered.filter("node_id is null").select("doc_key").unionByName(sizes))
+    if others.isEmpty():
+        return found
+    return found.unionByName(_descendants(nodes.join(others, "doc_key", "left_semi"), roots.join(others, "doc_key", "left_semi")))
+
+
+def _descendants(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """descendants() of documents of any size and form, in rounds over all of them."""
     edges = staged(parents(nodes))
     odd = staged(tangled(nodes, edges))
     plain = staged(nodes.join(odd, "doc_key", "left_anti"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as tx
-from folioflow.operators import layout, ngrams, recovery
+from folioflow.operators import layout, ngrams, recovery, trees
 from folioflow.operators.backends import LexicalModel, runner
 from folioflow.plans.stages import staged
 from folioflow.sources.layout_view import layout_lines
@@ -108,3 +108,19 @@ def test_parts_are_moved_once_for_their_answers(spark, tmp_path):
     found = recovery.asked(parts, runner(f"told-{told}", Told, "pt").stages[0], "pt", 1).collect()
     assert sorted((r["key"], r["nth"], r["value"]) for r in found) == sorted((f"k{k}", k % 3, f"o chat{k % 7}") for k in range(300))
     assert sorted(x for p in tmp_path.iterdir() for x in p.read_text(encoding="utf-8").split("\n")) == [f"le chat{k}" for k in range(7)]
+
+
+@pytest.mark.parametrize("whole", [20_000, 3])
+def test_trees_of_bounded_size_take_no_rounds(spark, monkeypatch, whole):
+    calls = []
+    real = trees.rewritten
+    monkeypatch.setattr(trees, "rewritten", lambda *a: calls.append(1) or real(*a))
+    monkeypatch.setattr(trees, "WHOLE_NODES", whole)
+    docs = {"chain": {str(k): [str(k + 1)] for k in range(40)} | {"40": None}, "bush": {"0": ["2", "1", "no"], "1": [], "2": ["3"], "3": None}, "two": {"0": ["1"], "1": []}}
+    nodes = spark.createDataFrame([(d, n, kids) for d, all_ in docs.items() for n, kids in all_.items()], "doc_key string, node_id string, child_ids array<string>")
+    roots = spark.createDataFrame([("chain", "0"), ("chain", "38"), ("bush", "0"), ("two", "0"), ("two", "9")], "doc_key string, root string")
+    got = {}
+    for r in trees.descendants(nodes, roots).orderBy("pre").collect():
+        got.setdefault((r["doc_key"], r["root"]), []).append(r["node_id"])
+    assert got == {("chain", "0"): [str(k) for k in range(1, 41)], ("chain", "38"): ["39", "40"], ("bush", "0"): ["2", "3", "1"], ("two", "0"): ["1"]}
+    assert bool(calls) == (whole == 3)
