@@ -5,7 +5,9 @@ Java's \\s, \\w and \\b know only ASCII without the flag (?U), which is set wher
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,6 +53,11 @@ def let(value: Column, of: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), of), F.lit(0))
 
 
+def once(text: str | Column, of: Callable[[Column], Column]) -> Column:
+    """of(text), with text worked out once where it isn't a column's name."""
+    return of(F.col(text)) if isinstance(text, str) else let(text, of)
+
+
 def rx(text: Column, pattern: str) -> Column:
     """Whether pattern occurs in text, Unicode classes, any case where it starts with (?i)."""
     return text.rlike(f"(?U){pattern}" if not pattern.startswith("(?i)") else f"(?iU){pattern[4:]}")
@@ -61,11 +68,20 @@ def strip(text: str | Column) -> Column:
     return F.btrim(col(text), F.lit(WHITE))
 
 
+def has_any(text: Column, parts: Iterable[str]) -> Column:
+    """Whether one of parts stands in text: a search of bytes, which costs far less than a pattern."""
+    return reduce(or_, [text.contains(x) for x in parts])
+
+
 def normalize_spaces(text: str | Column) -> Column:
     """Soft hyphens gone, runs of blanks and tabs one blank, line ends without white space around, both ends stripped."""
-    # single blanks and single line ends are as they should be, and most are single: only others are matched
-    flat = F.regexp_replace(F.replace(col(text), F.lit("­"), F.lit("")), r"[ \t]{2,}|\t", " ")
-    return strip(F.regexp_replace(flat, r"(?U)\s+\n\s*|\n\s+", "\n"))
+
+    def flat(t: Column) -> Column:
+        # single blanks and single line ends are as they should be: a pattern is tried only where a text holds what it starts from
+        single = F.when(has_any(t, ("\t", "  ", "\xad")), F.regexp_replace(F.replace(t, F.lit("\xad"), F.lit("")), r"[ \t]{2,}|\t", " ")).otherwise(t)
+        return F.when(has_any(t, ("\n", "\t", "  ", "\xad")), F.regexp_replace(single, r"(?U)\s+\n\s*|\n\s+", "\n")).otherwise(t)
+
+    return strip(once(text, flat))
 
 
 def latin_letters(text: str | Column) -> Column:
@@ -141,8 +157,8 @@ def is_standalone_math(text: str | Column) -> Column:
     """A relation or operator sign, and no letters but variables, differentials and function names."""
     f, v = MATH_FUNCTION, MATH_VARIABLE
     atom = f"^(?:{f}|{v}|d{v}|{f}?{v}d{v}|{f}{v})$"
-    runs = F.regexp_extract_all(col(text), F.lit(r"(?U)([^\W\d_]+)"), F.lit(1))
-    return col(text).rlike(MATH_SIGN) & F.forall(runs, lambda x: x.rlike(atom))
+    runs = lambda t: F.regexp_extract_all(t, F.lit(r"(?U)([^\W\d_]+)"), F.lit(1))
+    return once(text, lambda t: has_any(t, MATH_SIGN.strip("[]")) & F.forall(runs(t), lambda x: x.rlike(atom)))
 
 
 def is_reference_heading(first_line: str | Column, text: str | Column) -> Column:

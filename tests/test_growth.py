@@ -124,3 +124,12 @@ def test_trees_of_bounded_size_take_no_rounds(spark, monkeypatch, whole):
         got.setdefault((r["doc_key"], r["root"]), []).append(r["node_id"])
     assert got == {("chain", "0"): [str(k) for k in range(1, 41)], ("chain", "38"): ["39", "40"], ("bush", "0"): ["2", "3", "1"], ("two", "0"): ["1"]}
     assert bool(calls) == (whole == 3)
+
+
+def test_patterns_wait_for_what_they_start_from(spark):
+    told = plan(spark.createDataFrame([("a",)], "x string").select(tx.normalize_spaces("x").alias("t"), tx.is_standalone_math("x").alias("m")))
+    assert "Contains" in told and f"RLIKE(x, {tx.MATH_SIGN})" not in re.sub(r"#\d+", "", told)
+    assert all("CASE WHEN" in told[: at.start()] for at in re.finditer("regexp_replace", told))
+    rows = spark.createDataFrame([(x,) for x in ("a = b", "sin x ≤ 1", "a = word", "a b", "", "x­ = y", "[a]", "dx√y", None)], "x string")
+    found = {r["x"]: r["m"] for r in rows.select("x", tx.is_standalone_math("x").alias("m")).collect()}
+    assert found == {"a = b": True, "sin x ≤ 1": True, "a = word": False, "a b": False, "": False, "x­ = y": True, "[a]": False, "dx√y": True, None: None}
