@@ -13,6 +13,10 @@ from folioflow.queries.text import table
 from folioflow.sources.layout_view import DUCK_VIEW, HEIGHT, WIDTH, layout_lines
 
 
+#: What columns of a page are told from. Blocks' lines, which hold each text once more, are staged only for units.
+SIDES = ["doc_key", "page_no", "orig_no", "text", "x0", "y0", "x1", "y1", "font_size", "width"]
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(layout_lines(table(spark, sf_dir, "documents")))
 
@@ -29,13 +33,11 @@ def kept(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> Dat
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line a block of its own."""
-    rows = kept(spark, sf_dir).withColumn("block_no", F.col("line_no"))
-    return staged(op.paragraphs(rows))
+    return op.paragraphs(kept(spark, sf_dir).withColumn("block_no", F.col("line_no")))
 
 
-def ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = blocks(spark, sf_dir)
-    return staged(op.reading_order(rows, op.column_pages(rows)))
+def ordered(rows: DataFrame) -> DataFrame:
+    return op.reading_order(rows, op.column_pages(rows))
 
 
 def q_margin_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,11 +57,12 @@ def q_paragraph_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.column_pages(blocks(spark, sf_dir))
+    return op.column_pages(staged(blocks(spark, sf_dir).select(*SIDES)))
 
 
 def q_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordered(spark, sf_dir).select("doc_key", "page_no", F.col("block_no").alias("line_no"), "column", "place")
+    rows = staged(blocks(spark, sf_dir).select(*SIDES, "block_no"))
+    return ordered(rows).select("doc_key", "page_no", F.col("block_no").alias("line_no"), "column", "place")
 
 
 def q_body_font(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +87,7 @@ def q_continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.units(ordered(spark, sf_dir)).drop("width", "height")
+    return op.units(staged(ordered(staged(blocks(spark, sf_dir))))).drop("width", "height")
 
 
 def q_ocr_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:

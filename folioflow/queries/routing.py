@@ -93,11 +93,12 @@ def q_cache_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _worked(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """Body lines as units with a made-up outcome: errors, translations, and a language from their length."""
-    rows = layout.marked(spark, sf_dir, rows)
-    n = F.length("text")
+    # the length as a column, so that states by page move no text where none is asked for
+    rows = layout.marked(spark, sf_dir, rows).withColumn("n", F.length("text"))
+    n = F.col("n")
     rows = rows.withColumns({"kind": report.preserved_kind(tx.normalize_spaces("text"), "preserve"), "lang": F.when(n % 7 == 0, "pt").otherwise("fr"), "error": F.when(n % 11 == 0, "ValueError: x"), "translation": F.when(n % 11 != 0, F.concat(F.lit("t "), "text"))})
     rows = report.states(rows, "pt", mixed=True, policy="pular_pagina")
-    return rows.withColumns({"flags": F.when((F.col("state") == "traduzido") & (n % 5 == 0), F.array(F.struct(F.lit("x").alias("code"), F.lit("y").alias("message")))).otherwise(F.array().cast("array<struct<code:string,message:string>>")), "providers": F.array(F.lit("local")), "ocr": n % 2 == 0})
+    return rows.withColumns({"flags": F.when((F.col("state") == "traduzido") & (n % 5 == 0), F.array(F.struct(F.lit("x").alias("code"), F.lit("y").alias("message")))).otherwise(F.array().cast("array<struct<code:string,message:string>>")), "providers": F.array(F.lit("local")), "ocr": n % 2 == 0}).drop("n")
 
 
 #: What sums and states of units are made of.

@@ -12,6 +12,8 @@ from folioflow.functions import text as tx
 from folioflow.operators import layout, ngrams, recovery, trees
 from folioflow.operators.backends import LexicalModel, runner
 from folioflow.plans.stages import staged
+from folioflow.queries import layout as queries
+from folioflow.queries import routing
 from folioflow.sources.layout_view import layout_lines
 from tests.compare import SF
 
@@ -133,3 +135,23 @@ def test_patterns_wait_for_what_they_start_from(spark):
     rows = spark.createDataFrame([(x,) for x in ("a = b", "sin x ≤ 1", "a = word", "a b", "", "x­ = y", "[a]", "dx√y", None)], "x string")
     found = {r["x"]: r["m"] for r in rows.select("x", tx.is_standalone_math("x").alias("m")).collect()}
     assert found == {"a = b": True, "sin x ≤ 1": True, "a = word": False, "a b": False, "": False, "x­ = y": True, "[a]": False, "dx√y": True, None: None}
+
+
+def windows(node):
+    """Window nodes of an optimized plan."""
+    below = [node.children().apply(k) for k in range(node.children().size())]
+    return [*([node] if node.nodeName() == "Window" else []), *[w for b in below for w in windows(b)]]
+
+
+def test_states_of_pages_move_no_text(spark):
+    found = windows(routing.q_status_totals(spark, str(SF))._jdf.queryExecution().optimizedPlan())
+    by_page = [w.children().apply(0).output().mkString(",") for w in found if "min(" in w.toString().split("\n")[0]]
+    assert by_page and not [x for x in by_page if "text#" in x]
+
+
+@pytest.mark.parametrize("name", ["q_two_columns", "q_reading_order", "q_body_font"])
+def test_lines_of_blocks_are_written_for_units_alone(spark, monkeypatch, name):
+    written = []
+    monkeypatch.setattr(queries, "staged", lambda df: written.append(df.columns) or staged(df))
+    assert queries.QUERIES[name](spark, str(SF)).count() > 0
+    assert written and not [x for x in written if "lines" in x]
