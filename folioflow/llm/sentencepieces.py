@@ -18,7 +18,7 @@ from folioflow.llm.shared import text_or_empty
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 #: Entries of the tables of words and of pairs that a worker keeps.
-WORDS_KEPT, PAIRS_KEPT = 200_000, 200_000
+WORDS_KEPT, PAIRS_KEPT = 600_000, 600_000
 #: Characters of documents worked on and given back at a time, so that a worker's memory doesn't follow the Arrow batch.
 SLICE = 2_000_000
 
@@ -45,7 +45,8 @@ class Pieces:
         if any(MARK in x.lstrip(MARK) for x in self.ids):
             raise ValueError("pieces that go over the start of a word")
         self.rank = {x: -model.get_score(k) for x, k in self.ids.items()}
-        self.longest = max(map(len, self.ids))
+        #: Each end of a piece, with the piece's number if it is one itself, else -1: no piece is longer than a string that isn't there.
+        self.ends = dict.fromkeys((x[k:] for x in self.ids for k in range(1, len(x))), -1) | self.ids
         spelled = {k: bytes([b]) for b, k in self.bytes.items()}
         self.spelling = [spelled.get(k, b"" if x not in self.ids else x.replace(MARK, " ").encode()) for k, x in enumerate(names)]
         self.names, self.size = names, n
@@ -75,7 +76,7 @@ class Pieces:
 
     def learn(self, words: list[str]) -> None:
         """Segment words, sorted, and keep their ids: as in a trie's depth-first walk each starts from the states of the prefix it shares with the one before."""
-        ids, longest, valid, fits, span = self.ids.get, self.longest, self.valid, self.fits, self.size + 1
+        ends, valid, fits, span = self.ends.get, self.valid.get, self.fits, self.size + 1
         starts, last, previous = [0], [self.size], ""
         for word in sorted(words):
             shared = 0
@@ -86,10 +87,12 @@ class Pieces:
             del starts[shared + 1 :], last[shared + 1 :]
             for stop in range(shared + 1, len(word) + 1):
                 at, piece = stop - 1, -1
-                for start in range(stop - 1, max(0, stop - longest) - 1, -1):  # at most one of these is valid
-                    if (k := ids(word[start:stop])) is not None:
+                for start in range(stop - 1, -1, -1):  # at most one of these is valid
+                    if (k := ends(word[start:stop])) is None:
+                        break
+                    if k >= 0:
                         before = last[start]
-                        if (known := before < 0 or valid.get(before * span + k)) is None:
+                        if (known := before < 0 or valid(before * span + k)) is None:
                             known = fits(before, k)
                         if known:
                             at, piece = start, k
@@ -113,8 +116,7 @@ class Pieces:
         words = set().union(*split)
         new = words.difference(self.words)
         if len(self.words) + len(new) > WORDS_KEPT:
-            self.words.clear()
-            new = words
+            self.words = {x: self.words[x] for x in words.difference(new)}  # those met here hold the frequent ones
         self.learn(list(new))
         for row in split:
             yield b"".join(map(self.words.__getitem__, row))
