@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioflow.functions.portuguese import TEXTS
 from folioflow.functions.terms import WORD, fold, like, terms_of, word_needed
 from folioflow.functions.text import col
 
@@ -97,15 +97,15 @@ def glossary(source: str | Column, target: str | Column, lang: str | Column, pro
 
     A profile's rules come first, then the user's own terms, each in their order. All of the user's terms are found by
     one automaton, so a text is read once for any number of them; it is made once a worker. Rows of languages
-    without rules go through Python only if there are terms of the user's.
+    without rules go through Python only if there are terms of the user's. A few texts at once are Python objects.
     """
     own = tuple((custom or {}).items())
     t, code = col(target), col(lang)
     if not profile and not own:
         return F.struct(t.alias("text"), F.lit(0).alias("n"))
 
-    @F.pandas_udf("struct<text:string,n:int>")
-    def rewritten(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<text:string,n:int>")
+    def rewritten(sources: pa.Array, texts: pa.Array, langs: pa.Array) -> pa.Array:
         by_lang, terms = profile_of(profile) if profile else {}, terms_of(own)
 
         def one(source: str | None, text: str | None, lang: str | None) -> tuple[str | None, int]:
@@ -115,8 +115,11 @@ def glossary(source: str | Column, target: str | Column, lang: str | Column, pro
             text, more = terms.put(text)
             return text, n + more
 
-        for batch in batches:
-            yield pd.DataFrame([one(*row) for row in zip(*batch, strict=True)], columns=["text", "n"])
+        parts = [pa.StructArray.from_arrays([pa.array([], pa.string()), pa.array([], pa.int32())], ["text", "n"])]
+        for k in range(0, len(texts), TEXTS):
+            found = [one(*row) for row in zip(*(c.slice(k, TEXTS).to_pylist() for c in (sources, texts, langs)), strict=True)]
+            parts.append(pa.StructArray.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([n for _, n in found], pa.int32())], ["text", "n"]))
+        return pa.concat_arrays(parts)
 
     if own:
         return rewritten(col(source), t, code)

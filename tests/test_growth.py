@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as tx
+from folioflow.functions.glossary import glossary, profile_of
+from folioflow.functions.terms import terms_of
 from folioflow.operators import layout, ngrams, recovery, trees
 from folioflow.operators.backends import LexicalModel, runner
 from folioflow.plans.stages import staged
@@ -155,3 +157,19 @@ def test_lines_of_blocks_are_written_for_units_alone(spark, monkeypatch, name):
     monkeypatch.setattr(queries, "staged", lambda df: written.append(df.columns) or staged(df))
     assert queries.QUERIES[name](spark, str(SF)).count() > 0
     assert written and not [x for x in written if "lines" in x]
+
+
+def test_glossary_takes_texts_in_slices(spark):
+    texts = [None if k % 7 == 3 else "" if k % 7 == 5 else f"O Feedback {k} e data do ambiente." for k in range(700)]
+    rows = spark.createDataFrame([(k, "le milieu et la rétroaction", x, ["fr", "pt", None][k % 3]) for k, x in enumerate(texts)], "k int, s string, x string, lang string").coalesce(1)
+    found = rows.select("k", glossary("s", "x", "lang", "didatica_matematica", {"data": "dados"}).alias("g"))
+    assert "], 250" in plan(found)  # Arrow arrays, of which TEXTS rows at once are Python objects, not pandas series of a whole batch
+    profile, terms = profile_of("didatica_matematica"), terms_of((("data", "dados"),))
+    for r in found.collect():
+        text, n = texts[r["k"]], 0
+        if text is not None:
+            if r["k"] % 3 == 0:
+                text, n = profile["fr"].put("le milieu et la rétroaction", text)
+            text, more = terms.put(text)
+            n += more
+        assert tuple(r["g"]) == (text, n)
