@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioflow.llm.shared import in_workers
+
 #: Characters of which n-grams are made at a time.
 CHUNK = 1 << 20
 _letters: np.ndarray | None = None
@@ -118,7 +120,7 @@ def fit(documents: DataFrame, per_language: int = 5_000, orders: tuple[int, ...]
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(total[some])], ["lang", "bucket", "n"])
 
-    found = sample.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = in_workers(sample, count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     given = np.full((n_buckets, len(languages)), alpha)
     given[found["bucket"].to_numpy(np.int64), np.searchsorted(np.array(languages, object), found["lang"].to_numpy(object))] += found["n"].to_numpy(np.float64)
     prior = np.array([sizes[k] for k in languages], np.float64)
@@ -142,4 +144,4 @@ def identify(documents: DataFrame, model: LanguageModel, text: str = "text", dro
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(found, pa.string()), pa.array(scores, pa.float64())], names)
 
     fields = [*(rows.schema.fields[k] for k in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return rows.mapInArrow(score, T.StructType(fields))
+    return in_workers(rows, score, T.StructType(fields))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.shared import text_or_empty
+from folioflow.llm.shared import in_workers, kept, text_or_empty
 
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*")
@@ -127,14 +127,9 @@ class Pieces:
         return data.removeprefix(b" ").decode("utf-8", "replace")
 
 
-_loaded: dict[str, Pieces] = {}
-
-
 def pieces(path: str) -> Pieces:
-    """One a worker, kept from task to task."""
-    if path not in _loaded:
-        _loaded[path] = Pieces(path)
-    return _loaded[path]
+    """One a worker, kept from task to task while these encode."""
+    return kept(path, lambda: Pieces(path))
 
 
 def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -179,4 +174,4 @@ def encode_documents(documents: DataFrame, model: str) -> DataFrame:
                 )
 
     rows = documents.select(F.col("doc_id").cast("long"), text_or_empty("text").alias("text"))
-    return rows.mapInArrow(of, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean, ids array<int>")
+    return in_workers(rows, of, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean, ids array<int>", model)

@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+T = TypeVar("T")
+
+#: What this Python worker keeps from task to task, by name.
+_kept: dict[str, object] = {}
 #: Byte that Spark's text writer puts after each row of a byte file.
 SEPARATOR = b"\0"
 
@@ -69,6 +76,32 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def kept(name: str, make: Callable[[], T]) -> T:
+    """What make gives, made once a worker and kept until it works for something else."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]  # type: ignore[return-value]
+
+
+def let_go(but: str = "") -> None:
+    """Drop what this worker keeps, but for one. By a function of this module, as a nested one would be sent with a copy of the table."""
+    for name in _kept.keys() - {but}:
+        del _kept[name]
+
+
+def in_workers(rows: DataFrame, of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, keeps: str = "") -> DataFrame:
+    """rows.mapInArrow(of, schema) by workers that first let go what they kept from earlier tasks, but for keeps.
+
+    Spark gives a worker to one operator after the other, and each worker's tables would stay beside the next one's data.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(keeps)
+        yield from of(batches)
+
+    return rows.mapInArrow(run, schema)
+
+
 def write_bytes(rows: DataFrame, column: str, path: str, rows_per_file: int = 0) -> None:
     """Write binary rows one after the other, SEPARATOR behind each, one file a partition.
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.decontaminate import bounded
-from folioflow.llm.shared import cut, scratch, space, stored, text_or_empty
+from folioflow.llm.shared import cut, in_workers, scratch, space, stored, text_or_empty
 
 #: Words of an anchor: of the anchors in a window, that with the least hash stands for it.
 ANCHOR = 6
@@ -217,7 +217,7 @@ def _occurrences(rows: DataFrame, length: int) -> DataFrame:
         columns = [pa.array(anchor.view(np.int64)), whole, batch.column(0).take(where), batch.column(1).take(where), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))]
         return pa.RecordBatch.from_arrays(columns, ["anchor", "piece", "doc_id", "row", "at", "n"])
 
-    return rows.mapInArrow(of, "anchor long, piece struct<a: long, b: long>, doc_id long, row long, at int, n int")
+    return in_workers(rows, of, "anchor long, piece struct<a: long, b: long>, doc_id long, row long, at int, n int")
 
 
 PASSAGE = "key long, piece struct<a: long, b: long>, doc_id long, row long, at int, text binary"
@@ -238,7 +238,7 @@ def _passages(rows: DataFrame, firsts: DataFrame, length: int) -> DataFrame:
     wanted = firsts.groupBy(F.col("doc_id").alias("of_id"), F.col("row").alias("of_row")).agg(F.collect_list(F.struct("key", "piece", "at", "n")).alias("places"))
     # merged at every size, as lists of places have no bound
     joined = rows.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("row") == F.col("of_row")))
-    return joined.select("doc_id", "row", "text", "places").mapInArrow(of, PASSAGE)
+    return in_workers(joined.select("doc_id", "row", "text", "places"), of, PASSAGE)
 
 
 def _together(texts: list[bytes]) -> tuple[Words, np.ndarray]:
@@ -262,7 +262,7 @@ def _finer(passages: DataFrame, length: int) -> DataFrame:
             grams = pa.ListArray.from_arrays(pa.array(offsets), pa.array(words.runs(at, at + ANCHOR).view(np.int64)))
             yield pa.RecordBatch.from_arrays([*batch.columns, grams], [*batch.schema.names, "grams"])
 
-    of = stored(passages.mapInArrow(runs, f"{PASSAGE}, grams array<long>"), "grams")
+    of = stored(in_workers(passages, runs, f"{PASSAGE}, grams array<long>"), "grams")
     # most runs are in one passage of their key alone, and need not be joined
     counts = of.select("key", F.explode(F.array_distinct("grams")).alias("gram")).groupBy("key", "gram").agg(F.count("*").alias("n")).filter("n > 1")
     each = of.select("key", "piece", F.posexplode("grams").alias("pos", "gram")).join(counts, ["key", "gram"])
@@ -301,7 +301,7 @@ def _finer(passages: DataFrame, length: int) -> DataFrame:
             names = ["up_key", "up_piece", "off", "key", "piece", "doc_id", "row", "at", "text"]
             yield pa.RecordBatch.from_arrays([up["key"], up["piece"], pa.array(first.astype(np.int32)), pa.array(keys), whole, up["doc_id"], up["row"], at, pa.array(out, pa.binary())], names)
 
-    return of.join(listed, ["key", "piece"], "left").mapInArrow(parts, f"up_key long, up_piece struct<a: long, b: long>, off int, {PASSAGE}")
+    return in_workers(of.join(listed, ["key", "piece"], "left"), parts, f"up_key long, up_piece struct<a: long, b: long>, off int, {PASSAGE}")
 
 
 def _automata(passages: DataFrame, length: int, shard_words: int) -> DataFrame:
@@ -340,7 +340,7 @@ def _automata(passages: DataFrame, length: int, shard_words: int) -> DataFrame:
             first = pa.StructArray.from_arrays([kept.column(2), kept.column(3), kept.column(4)], ["doc_id", "row", "at"])
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), first, pa.array(starts, pa.list_(pa.int32())), pa.array(stops, pa.list_(pa.int32()))], ["key", "piece", "first", "starts", "stops"])
 
-    return rows.mapInArrow(of, "key long, piece struct<a: long, b: long>, first struct<doc_id: long, row: long, at: int>, starts array<int>, stops array<int>")
+    return in_workers(rows, of, "key long, piece struct<a: long, b: long>, first struct<doc_id: long, row: long, at: int>, starts array<int>, stops array<int>")
 
 
 def resolved(passages: DataFrame, length: int, most_kinds: int, shard_words: int, hot_before: int | None = None) -> DataFrame:
@@ -452,7 +452,7 @@ def digests(documents: DataFrame, length: int = 20) -> DataFrame:
                 ["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    return rows.mapInArrow(of, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return in_workers(rows, of, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(documents: DataFrame, length: int = 20) -> DataFrame:
@@ -486,4 +486,4 @@ def remove_repeats(documents: DataFrame, length: int = 20) -> DataFrame:
             if texts:
                 yield part(batch.num_rows)
 
-    return rows.mapInArrow(of, documents.schema)
+    return in_workers(rows, of, documents.schema)
