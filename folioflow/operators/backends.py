@@ -94,6 +94,13 @@ _made: dict[str, Parts] = {}
 PARTS = "key string, lang string, nth int, units array<string>, error string"
 ANSWERS = "key string, nth int, path string, lang string, units array<string>, value string, error string, again boolean"
 Frames = Iterator[pd.DataFrame]
+#: Between units of a part that is one text, and before a part that had to be JSON for that.
+BETWEEN, ODD = "\0", "\1"
+
+
+def apart(text: str) -> list[str]:
+    """The units of a part that operators.recovery.together made one text."""
+    return json.loads(text[1:]) if text.startswith(ODD) else text.split(BETWEEN)
 
 
 @dataclass(frozen=True)
@@ -139,20 +146,26 @@ class Stage:
         return [x for p in parts for x in self.answers([p], lang, target, beam)]
 
     def asker(self, target: str, beam: int) -> Callable[[Frames], Frames]:
-        """For mapInPandas over (key, nth, path, lang, units), equal parts one behind the other: ANSWERS, each different part asked for once. A part that fails is a row, never a failed task."""
+        """For mapInPandas over (key, nth, path, lang, part, error), equal parts, each as one text, one behind the other: ANSWERS, each different part asked for once.
+
+        A part that fails is a row, never a failed task. units are given back only of parts that may be asked for again. Rows that have an error keep it.
+        """
 
         def ask(frames: Frames) -> Frames:
             last: dict[tuple, tuple] = {}  # the part that the frame before ended with
             for frame in frames:
-                for lang, rows in frame.groupby("lang", sort=False):
-                    parts = [tuple(u) for u in rows["units"]]
-                    known = {p: last[lang, p] for p in parts[:1] if (lang, p) in last}
-                    new = [list(p) for p in dict.fromkeys(parts) if p not in known]
-                    found = [x for k in range(0, len(new), self.batch) for x in self.answers(new[k : k + self.batch], lang, target, beam)]
-                    known |= {tuple(p): x for p, x in zip(new, found, strict=True)}
+                for lang, rows in frame.groupby("lang", sort=False, dropna=False):
+                    parts = rows["part"].tolist()
+                    known = {p: last[lang, p] for p in parts[:1] if (lang, p) in last} | {None: (None, None, False)}
+                    new = [p for p in dict.fromkeys(parts) if p not in known]
+                    units = {p: apart(p) for p in new}
+                    found = [x for k in range(0, len(new), self.batch) for x in self.answers([units[p] for p in new[k : k + self.batch]], lang, target, beam)]
+                    known |= dict(zip(new, found, strict=True))
                     each = [known[p] for p in parts]
                     last = {(lang, parts[-1]): each[-1]}
-                    yield rows.assign(value=[x[0] for x in each], error=[x[1] for x in each], again=[x[2] for x in each])
+                    failed = [(units.get(p) or apart(p)) if x[2] else None for p, x in zip(parts, each, strict=True)]
+                    why = [e if p is None else x[1] for p, e, x in zip(parts, rows["error"], each, strict=True)]
+                    yield rows[["key", "nth", "path", "lang"]].assign(units=failed, value=[x[0] for x in each], error=why, again=[x[2] for x in each])
 
         return ask
 

@@ -197,7 +197,7 @@ def q_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Different lines of all documents through a model that fails by a rule: what came of each, after how many more tries."""
     rows = lines(spark, sf_dir).select(tx.normalize_spaces("line").alias("text")).filter("text != ''").distinct()
     rows = staged(rows.select(F.md5("text").alias("key"), F.lit("fr").alias("lang"), "text"))
-    found = translated(rows, runner("forgetful", Forgetful, "pt", max_tokens=24))
+    found = translated(rows, runner("forgetful", Forgetful, "pt", max_tokens=24), spent=True)
     return found.select("key", F.when(F.col("error").isNull(), "translated").otherwise("failed").alias("state"), F.md5("value").alias("value_md5"), F.when(F.col("error").isNull(), F.col("n_tries")).alias("n_tries"))
 
 
