@@ -92,6 +92,11 @@ def profile_of(name: str) -> dict[str, Profile]:
     return {lang: Profile(rules) for lang, rules in PROFILES[name].items()}
 
 
+def has_terms(lang: str | Column, profile: str | None = None, custom: dict[str, str] | None = None) -> Column:
+    """Whether glossary asks for a source in the language."""
+    return F.lit(True) if custom else F.coalesce(col(lang).isin(*PROFILES[profile]), F.lit(False)) if profile else F.lit(False)
+
+
 def glossary(source: str | Column, target: str | Column, lang: str | Column, profile: str | None = None, custom: dict[str, str] | None = None) -> Column:
     """Struct (text, n): target with terms put right, and how often. Null targets stay null.
 

@@ -24,6 +24,12 @@ def sample_pages(pages: DataFrame) -> DataFrame:
     return sum_before(sized, "doc_key", "page_no", "size", "before").filter(F.col("before") < SAMPLE_CHARS).select("doc_key", "page_no", "excerpt")
 
 
+def sampled(sizes: DataFrame) -> DataFrame:
+    """Of pages (doc_key, page_no, chars) those that sample_pages may take; each document has one at least."""
+    sized = sizes.select("doc_key", "page_no", F.least(F.lit(PAGE_CHARS), "chars").alias("size"))
+    return sum_before(sized, "doc_key", "page_no", "size", "before").filter(F.col("before") < SAMPLE_CHARS).select("doc_key", "page_no")
+
+
 def first_pages(pages: DataFrame, first: int = 1, count: int = 4, chars: int = 5_000) -> DataFrame:
     """(doc_key, sample): the start of the first few pages asked for, one after the other."""
     rows = pages.filter((F.col("page_no") >= first) & (F.col("page_no") < first + count))

@@ -79,6 +79,15 @@ def paragraphs(lines: DataFrame) -> DataFrame:
     return joined.withColumn("orig_no", F.row_number().over(Window.partitionBy(*PAGE).orderBy("block_no", "group_no")))
 
 
+def slim(blocks: DataFrame) -> DataFrame:
+    """blocks without the text of those of one line, which full gives back: most blocks are one line, and hold it twice."""
+    return blocks.withColumn("text", F.when(F.size("lines") != 1, F.col("text")))
+
+
+def full(blocks: DataFrame) -> DataFrame:
+    return blocks.withColumn("text", F.coalesce("text", F.get("lines", F.lit(0))["line_text"]))
+
+
 def column_pages(blocks: DataFrame) -> DataFrame:
     """(doc_key, page_no, two_columns): whether blocks lie in two columns that go on beside each other.
 
@@ -142,10 +151,13 @@ def reading_order(blocks: DataFrame, pages_with_columns: DataFrame) -> DataFrame
     return rows.withColumn("place", F.row_number().over(page.orderBy("key", "orig_no"))).drop("key", "rank", "bands", "last")
 
 
+def _long_font() -> Column:
+    return F.when((F.col("font_size") > 0) & (F.length("text") > 80), F.col("font_size"))
+
+
 def body_fonts(blocks: DataFrame) -> DataFrame:
     """(doc_key, page_no, body_font): the median font of blocks over 80 characters; 10 where there is none."""
-    long = F.when((F.col("font_size") > 0) & (F.length("text") > 80), F.col("font_size"))
-    return blocks.groupBy(*PAGE).agg(F.coalesce(F.median(long), F.lit(10.0)).alias("body_font"))
+    return blocks.groupBy(*PAGE).agg(F.coalesce(F.median(_long_font()), F.lit(10.0)).alias("body_font"))
 
 
 UNIT = "doc_key string, page_no int, unit_no int, text string, x0 double, y0 double, x1 double, y1 double, font_size double, n_lines int, column string, width double, height double"
@@ -159,7 +171,8 @@ def units(ordered: DataFrame, max_chars: int = UNIT_CHARS, merge: bool = True) -
     single blocks is worked out in columns before.
     """
     limit = max(200, int(max_chars))
-    rows = ordered.join(body_fonts(ordered), PAGE)
+    # a window, as a join with body_fonts would work out what ordered is made of once more
+    rows = ordered.withColumn("body_font", F.coalesce(F.median(_long_font()).over(Window.partitionBy(*PAGE)), F.lit(10.0)))
     rows = rows.withColumn("head", tx.is_heading("text", "font_size", "body_font"))
     items = F.transform("lines", lambda x: F.struct(x["line_text"].alias("text"), x["x0"].alias("x0"), x["y0"].alias("y0"), x["x1"].alias("x1"), x["y1"].alias("y1"), x["font_size"].alias("font_size")))
     block = F.struct("place", "text", "x0", "y0", "x1", "y1", "font_size", "column", "paragraph_break_before", "body_font", "head", "width", "height", items.alias("lines"))
@@ -178,7 +191,16 @@ def mark_references(rows: DataFrame, order: list[str], first_line: str | Column
     order are the columns that give the reading order within a document, the first of them whole
     numbers, as pages are. The state is the last heading before or at the row.
     """
-    event = F.when(tx.is_reference_heading(first_line, "text"), 1).when(tx.ends_references(first_line), 0)
+    return referenced(rows, order, reference_event(first_line))
+
+
+def reference_event(first_line: str | Column = "text") -> Column:
+    """1 where a reference section starts, 0 where one ends, else null."""
+    return F.when(tx.is_reference_heading(first_line, "text"), 1).when(tx.ends_references(first_line), 0)
+
+
+def referenced(rows: DataFrame, order: list[str], event: Column) -> DataFrame:
+    """As mark_references, from events that may be worked out before, where rows then hold no text."""
     rows = last_so_far(rows, "doc_key", order[0], order[1:], event, "state")
     return rows.withColumn("preserve", F.coalesce(F.col("state") == 1, F.lit(False))).drop("state")
 

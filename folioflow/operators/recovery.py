@@ -110,14 +110,11 @@ def through(rows: DataFrame, stage: Stage, target: str, spent: bool = False) ->
 
 
 def translated(texts: DataFrame, runner: Runner, spent: bool = False) -> DataFrame:
-    """(key, value, error, n_tries) of texts (key, lang, text), keys once each: the text after all of the runner's stages, or the error of the first that it fails in. spent as in through."""
-    rows, out = texts if spent else texts.select("key", "lang", "text"), []
-    tries = None
-    for nth, stage in enumerate(runner.stages):
-        found = through(rows, stage, runner.target, spent and nth == 0)
-        found = found if tries is None else found.join(tries, "key").withColumn("n_tries", F.col("n_tries") + F.col("before")).drop("before")
-        out.append(found.filter("error is not null").select("key", "value", "error", "n_tries"))
-        rows = found.filter("error is null").select("key", "lang", F.col("value").alias("text"))
-        tries = found.select("key", F.col("n_tries").alias("before"))
-    last = found.filter("error is null").select("key", "value", "error", "n_tries")
-    return reduce(DataFrame.unionByName, [*out, last])
+    """(key, lang, value, error, n_tries) of texts (key, lang, text), keys once each, staged: the text after all of the runner's stages, or the error of the first that it fails in. spent as in through."""
+    found = through(texts if spent else texts.select("key", "lang", "text"), runner.stages[0], runner.target, spent)
+    for stage in runner.stages[1:]:
+        last = through(found.filter("error is null").select("key", "lang", F.col("value").alias("text")), stage, runner.target)
+        both = last.join(found.select("key", F.col("n_tries").alias("before")), "key").withColumn("n_tries", F.col("n_tries") + F.col("before")).drop("before")
+        before, found = found, staged(both.unionByName(found.filter("error is not null")))
+        dropped(before, last)
+    return found

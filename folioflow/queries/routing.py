@@ -15,7 +15,7 @@ from folioflow.operators.backends import LexicalModel, runner
 from folioflow.operators.recovery import translated
 from folioflow.operators.translate import valid_cache
 from folioflow.plans import documents
-from folioflow.plans.stages import shared_folder, staged
+from folioflow.plans.stages import dropped, shared_folder, staged
 from folioflow.queries import duck, layout
 from folioflow.queries.text import lines, table
 from folioflow.sources import files
@@ -205,17 +205,19 @@ def model_runner(target: str = "pt"):
     return runner("stand-in", LexicalModel, target)
 
 
-def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _run(spark: SparkSession, sf_dir: str) -> documents.Outcome:
     rows = layout.lines(spark, sf_dir)
     empty = spark.createDataFrame([], "key string, value string")
     options = Options(target="pt", source=("en", "fr", "es", "de"), variant="pt-BR", profile="didatica_matematica")
-    return documents.run(rows.withColumn("block_no", F.col("line_no")), layout.pages(rows), empty, model_runner(), "stand-in", options)
+    return documents.outcome(rows.withColumn("block_no", F.col("line_no")), layout.pages(rows), empty, model_runner(), "stand-in", options, spent=[rows], entries=False)
 
 
 def q_translate_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole plan over documents as laid out, with the stand-in for a model."""
-    rows, _ = _run(spark, sf_dir)
-    return rows.select("doc_key", "page_no", "unit_no", "state", "kind", "lang", F.md5("translation").alias("translation_md5"), F.array_join(F.transform("flags", lambda x: x["code"]), ",").alias("codes"))
+    found = _run(spark, sf_dir)
+    out = staged(found.units.select("doc_key", "page_no", "unit_no", "state", "kind", "lang", F.md5("translation").alias("translation_md5"), F.array_join(F.transform("flags", lambda x: x["code"]), ",").alias("codes")))
+    dropped(*found.of_units)
+    return out
 
 
 # Written out: the first 15,000 characters, words of letters with a blank on both sides, runs of 1 to 3 letters in 65,536 classes.

@@ -4,10 +4,13 @@ import os
 import time
 from pathlib import Path
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from folioflow.operators import backends, recovery
-from folioflow.plans import stages
+from folioflow.config import Options
+from folioflow.operators import backends, layout, recovery
+from folioflow.operators.translate import translate
+from folioflow.plans import documents, stages
 from folioflow.queries.routing import Forgetful
 
 TEXTS = "key string, lang string, text string"
@@ -63,3 +66,53 @@ def test_parts_with_odd_units(spark):
     parts = [["a", "b c"], ["x\0y", "z"], ["\1a"], [""], ["", ""], [], ["é\"\\", "\U0001d400\n"], ["\0"]]
     rows = spark.createDataFrame([(k, p) for k, p in enumerate(parts)], "k int, units array<string>").select("k", recovery.together("units").alias("t"))
     assert {r["k"]: backends.apart(r["t"]) for r in rows.collect()} == dict(enumerate(parts))
+
+
+class Dropping(backends.LexicalModel):
+    """Loses markers of texts with a word, so that their elements have to be put between."""
+
+    def translate(self, texts, source, target, beam):
+        return [t.replace("ZXQKEEP", "") if "drop" in t else f"<{t}>" for t in texts]
+
+
+def test_translation_leaves_its_results_only(spark):
+    texts = ["bonjour", "bonjour", "voir ABC ici", "voir DEF ici", "drop ABC ici", "drop DEF ici", "mot " * 2_000, "", None]
+    units = spark.createDataFrame([(t, "fr") for t in texts], "text string, lang string")
+    before = folders(spark)
+    results, added = translate(units, spark.createDataFrame([], "key string, value string"), backends.runner("dropping", Dropping, "pt"), "pt", "ns")
+    found = {r["text"]: r for r in results.collect()}
+    assert {t: (found[t]["translation"], found[t]["n_protected"], found[t]["n_recovered"]) for t in texts[1:6]} == {
+        "bonjour": ("<bonjour>", 0, 0), "voir ABC ici": ("<voir ABC ici>", 1, 0), "voir DEF ici": ("<voir DEF ici>", 1, 0),
+        "drop ABC ici": ("drop ABC <ici>", 1, 1), "drop DEF ici": ("drop DEF <ici>", 1, 1),
+    }
+    assert found["mot " * 2_000]["n_parts"] == 3 and found[""]["translation"] == "" and found[""]["n_parts"] == 0
+    assert {"<bonjour>", "<ici>"} <= {r["value"] for r in added.collect()}
+    assert len(folders(spark) - before) <= 5  # the results, and what was found in either round in the cache and by the model
+
+
+def test_run_leaves_its_units_and_entries_only(spark):
+    line = lambda p, k, text: ("d", p, k, k, text, 60.0, 100.0 + 30 * k, 540.0, 112.0 + 30 * k, 10.0)
+    lines = [line(p, k, f"The cat of house {p} is in garden {k} and it is small.") for p in range(1, 5) for k in range(6)]
+    df = spark.createDataFrame(lines, "doc_key string, page_no int, block_no int, line_no int, text string, x0 double, y0 double, x1 double, y1 double, font_size double")
+    pages = df.select("doc_key", "page_no", F.lit(600.0).alias("width"), F.lit(800.0).alias("height")).distinct()
+    empty = spark.createDataFrame([], "key string, value string")
+    options = Options(source="en,fr")
+    before = folders(spark)
+    rows, added = documents.run(df, pages, empty, backends.runner("stand-in", backends.LexicalModel, "pt"), "ns", options)
+    size = lambda p: sum(x.stat().st_size for x in p.rglob("part-*"))
+    texts = [p for p in folders(spark) - before if {"text", "value", "input", "line_text"} & {c for x in list(p.rglob("part-*"))[:1] for c in pq.read_schema(x).names}]
+    assert len(texts) <= 3 and rows.count() == 24 and added.count() == 24  # the units, entries found in the model, texts of groups over pages
+    assert all(size(p) < 100_000 for p in folders(spark) - before)
+    staged = stages.staged(df)
+    found = documents.outcome(staged, pages, empty, backends.runner("stand-in", backends.LexicalModel, "pt"), "ns", options, spent=[staged], entries=False)
+    names = ["page_no", "unit_no", "state", "translation"]
+    assert sorted(map(tuple, found.units.select(*names).collect())) == sorted(map(tuple, rows.select(*names).collect()))
+    stages.dropped(*found.of_units)
+    assert not any("value" in pq.read_schema(x).names for p in folders(spark) - before for x in list(p.rglob("part-*"))[:1] if p not in texts)
+
+
+def test_blocks_of_one_line_hold_their_text_once(spark):
+    rows = spark.createDataFrame([(0, [("a b",)], "a b"), (1, [("a-",), ("b",)], "ab"), (2, [], "x")], "k int, lines array<struct<line_text:string>>, text string")
+    slim = layout.slim(rows)
+    assert {r["k"]: r["text"] for r in slim.collect()} == {0: None, 1: "ab", 2: "x"}
+    assert {r["k"]: r["text"] for r in layout.full(slim).collect()} == {0: "a b", 1: "ab", 2: "x"}
