@@ -227,14 +227,15 @@ def continuations(rows: DataFrame, most_chars: int = REQUEST_CHARS) -> DataFrame
 
 
 def with_continuations(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """rows with group_id, group_text and owner, whether the row is the group's first member that still shows it.
+    """rows with group_id, group_text, group_pages and owner, whether the row is the group's first member that still shows it.
 
     A unit that ends one group and starts the next belongs to the later one.
     """
-    members = groups.select("doc_key", F.col("left_page").alias("page_no"), F.col("left_no").alias("unit_no"), "group_id", F.col("text").alias("group_text"), F.col("left_page").alias("at"))
-    members = members.unionByName(groups.select("doc_key", F.col("right_page").alias("page_no"), F.col("right_no").alias("unit_no"), "group_id", F.col("text").alias("group_text"), F.col("left_page").alias("at")))
-    one = members.groupBy("doc_key", "page_no", "unit_no").agg(F.max(F.struct("at", "group_id", "group_text")).alias("g"))
-    one = one.withColumns({"group_id": F.col("g.group_id"), "group_text": F.col("g.group_text")}).drop("g")
+    group = F.struct(F.col("left_page").alias("at"), "group_id", F.col("text").alias("group_text"), F.array("left_page", "right_page").alias("group_pages")).alias("g")
+    members = groups.select("doc_key", F.col("left_page").alias("page_no"), F.col("left_no").alias("unit_no"), group)
+    members = members.unionByName(groups.select("doc_key", F.col("right_page").alias("page_no"), F.col("right_no").alias("unit_no"), group))
+    one = members.groupBy("doc_key", "page_no", "unit_no").agg(F.max("g").alias("g"))
+    one = one.select("doc_key", "page_no", "unit_no", "g.group_id", "g.group_text", "g.group_pages")
     # numbered among members alone: units without a group would all be one key
     first = F.row_number().over(Window.partitionBy("doc_key", "group_id").orderBy("page_no", "unit_no")) == 1
     rows = rows.join(one.withColumn("owner", first), ["doc_key", "page_no", "unit_no"], "left")

@@ -14,9 +14,12 @@ from folioflow.functions import text as tx
 from folioflow.operators import language, layout, ngrams, report
 from folioflow.operators.backends import Runner
 from folioflow.operators.translate import digest, translations
-from folioflow.plans.stages import dropped, staged
+from folioflow.plans.stages import bounded, dropped, staged
 from folioflow.sources.cache_store import CacheStore
 
+#: Pages told apart by number that are broadcast, some forty a document.
+SAMPLED_PAGES = 1_000_000
+
 
 class Outcome(NamedTuple):
     """Units and the cache's new entries, and the staged tables that either is read from."""
@@ -58,8 +61,7 @@ def prepared(lines: DataFrame, pages: DataFrame, options: Options, spent: Sequen
 def continued(units: DataFrame, options: Options) -> DataFrame:
     """units with group_id, group_text, owner and group_pages."""
     groups = layout.continuations(units) if options.join_pages else layout.continuations(units.limit(0))
-    pages_of = groups.select("doc_key", "group_id", F.array("left_page", "right_page").alias("group_pages"))
-    return layout.with_continuations(units, groups).join(pages_of, ["doc_key", "group_id"], "left")
+    return layout.with_continuations(units, groups)
 
 
 def input_of() -> Column:
@@ -75,9 +77,11 @@ def outcome(lines: DataFrame, pages: DataFrame, cache: DataFrame | CacheStore, r
         codes = list(options.source) if options.mixed else list(lg.FUNCTION_WORDS)
         codes += [options.target] if options.target not in codes else []
         sizes = plain.groupBy("doc_key", "page_no").agg((F.sum(F.length("text")) + F.count("*") - 1).alias("chars"))
-        sampled = plain.join(language.sampled(sizes), ["doc_key", "page_no"], "left_semi")
+        wanted = staged(language.sampled(sizes))
+        sampled = plain.join(bounded(wanted, SAMPLED_PAGES), ["doc_key", "page_no"], "left_semi")
         texts = sampled.groupBy("doc_key", "page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
         dominant = staged(language.dominant_language(texts, codes, options.target, scores, model))
+        dropped(wanted)
         if options.mixed:
             units = language.with_language(units.withColumn("input", input_of()), dominant, codes, "input", scores, model).drop("input")
         else:
